@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanscope.plans import portfolio
+from loanscope.plans import pnl, portfolio, segments
 from loanscope.sources.store import loans
 
-_MODULES = [portfolio]
+_MODULES = [portfolio, segments, pnl]
 
 
 def _bind(fn):
