@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanscope.plans import pnl, portfolio, segments
+from loanscope.plans import pnl, portfolio, risk, segments, wrangling
 from loanscope.sources.store import loans
 
-_MODULES = [portfolio, segments, pnl]
+_MODULES = [wrangling, portfolio, segments, pnl, risk]
 
 
 def _bind(fn):
