@@ -2,8 +2,7 @@
 
 The loan file stores dates as month-year text.  They are parsed once in
 the cleaning job into first-of-month dates; unparseable text becomes NULL
-instead of failing the job (``try_to_date``; a plain ``to_date`` raises
-under ANSI mode).
+instead of failing the job (a plain ``to_date`` raises under ANSI mode).
 
 Two-digit years (``Dec-99``) are widened explicitly with the classic
 MySQL pivot: 70-99 -> 19xx, 00-69 -> 20xx.  Spark's ``yy`` pattern would
@@ -15,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The text layout of the source and the two-digit-year pivot.
+# The month-year text layout (English month abbreviation,
+# '-', four-digit year) and the two-digit-year pivot (70-99 -> 19xx).
 MONTH_TEXT_FORMAT = "MMM-yyyy"
-TWO_DIGIT_YEAR_PIVOT = 70  # yy >= 70 -> 19yy, else 20yy
-
-_TWO_DIGIT = r"^[A-Za-z]{3}-[0-9]{2}$"
+TWO_DIGIT_19XX = r"^([A-Za-z]{3})-([7-9][0-9])$"
+TWO_DIGIT_20XX = r"^([A-Za-z]{3})-([0-6][0-9])$"
 
 
 def _c(x) -> Column:
@@ -27,23 +26,25 @@ def _c(x) -> Column:
 
 
 def widen_year_text(text) -> Column:
-    """``Dec-99`` -> ``Dec-1999``, ``Mar-05`` -> ``Mar-2005``; others unchanged."""
-    t = _c(text)
-    yy = F.substring(t, 5, 2).try_cast("int")
-    century = F.when(yy >= TWO_DIGIT_YEAR_PIVOT, F.lit(1900)).otherwise(F.lit(2000))
-    return F.when(
-        t.rlike(_TWO_DIGIT),
-        F.concat(F.substring(t, 1, 4), (century + yy).cast("string")),
-    ).otherwise(t)
+    """``Dec-99`` -> ``Dec-1999``, ``Mar-05`` -> ``Mar-2005``; others unchanged.
+
+    Written so the input appears once in the expression: when the input is
+    itself an expression, Catalyst may inline it, and every extra reference
+    would evaluate it again.
+    """
+    return F.regexp_replace(
+        F.regexp_replace(_c(text), TWO_DIGIT_19XX, "$1-19$2"), TWO_DIGIT_20XX, "$1-20$2"
+    )
 
 
 def parse_month(text) -> Column:
-    """Month-year text -> first-of-month DATE, NULL when unparseable."""
+    """Month-year text (``Jun-2011``, ``Jun-11``) -> first-of-month DATE,
+    NULL when unparseable (``try_to_date``)."""
     return F.try_to_date(widen_year_text(text), MONTH_TEXT_FORMAT)
 
 
 def format_month(date) -> Column:
-    """DATE -> month-year text."""
+    """DATE -> month-year text (``Jun-2011``)."""
     return F.date_format(_c(date), MONTH_TEXT_FORMAT)
 
 

@@ -12,12 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanscope.functions.months import (
-    months_between_whole,
-    normalise_month,
-    parse_month,
-    term_months,
-)
+from loanscope.functions.months import format_month, months_between_whole, parse_month, term_months
 
 # The columns the source drops, in its order.  The first
 # list holds constant (or redundant) columns, the second free text and zip.
@@ -47,12 +42,21 @@ def blank_to_null(df: DataFrame, cols) -> DataFrame:
 
 
 def with_years(df: DataFrame) -> DataFrame:
-    """issue_year, normalised earliest_cr_line and credit_opened_year."""
-    return (
-        df.withColumn("issue_year", F.year(parse_month("issue_d")).cast("bigint"))
-        .withColumn("earliest_cr_line", normalise_month("earliest_cr_line"))
-        .withColumn("credit_opened_year", F.year(parse_month("earliest_cr_line")).cast("bigint"))
-    )
+    """issue_year, normalised earliest_cr_line and credit_opened_year.
+
+    Each month text is parsed once into a date column that the derived
+    columns then reference (an attribute, so the parse is not repeated in
+    every expression that uses it).
+    """
+    df = df.withColumns({
+        "_issue_date": parse_month("issue_d"),
+        "_cr_date": parse_month("earliest_cr_line"),
+    })
+    return df.withColumns({
+        "issue_year": F.year("_issue_date").cast("bigint"),
+        "earliest_cr_line": format_month("_cr_date"),
+        "credit_opened_year": F.year("_cr_date").cast("bigint"),
+    }).drop("_issue_date", "_cr_date")
 
 
 def payment_timing(term_m: Column, months_paid: Column) -> Column:
@@ -68,12 +72,21 @@ def with_derived(df: DataFrame) -> DataFrame:
     """All columns the reports derive from the raw table, computed once:
     issue_year, credit_opened_year (with earliest_cr_line normalised),
     term_months, months_made_payment and payment_timing."""
-    df = with_years(df)
     df = df.withColumns({
+        "_issue_date": parse_month("issue_d"),
+        "_last_date": parse_month("last_pymnt_d"),
+        "_cr_date": parse_month("earliest_cr_line"),
+    })
+    df = df.withColumns({
+        "issue_year": F.year("_issue_date").cast("bigint"),
+        "earliest_cr_line": format_month("_cr_date"),
+        "credit_opened_year": F.year("_cr_date").cast("bigint"),
         "term_months": term_months("term"),
-        "months_made_payment": months_between_whole(parse_month("issue_d"), parse_month("last_pymnt_d")),
+        "months_made_payment": months_between_whole("_issue_date", "_last_date"),
     })
-    return df.withColumn("payment_timing", payment_timing(F.col("term_months"), F.col("months_made_payment")))
+    return df.withColumn(
+        "payment_timing", payment_timing(F.col("term_months"), F.col("months_made_payment"))
+    ).drop("_issue_date", "_last_date", "_cr_date")
 
 
 def drop_columns(df: DataFrame, names) -> DataFrame:

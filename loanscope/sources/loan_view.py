@@ -6,15 +6,18 @@ its line items are the payments, its customer the borrower.  Amounts are
 whole dollars, rates and dti integer basis points, installments integer
 cents, so every engine computes the same numbers exactly.
 
-Plan shape (what Catalyst is left to do):
+Plan shape:
   lineitem --partial agg by l_orderkey--> Exchange --final agg--> pay
-  orders LEFT JOIN pay ON orderkey          (sort-merge; pay keeps its
-                                             hash partitioning on orderkey)
-  ... JOIN (customer JOIN nation) ON custkey (nation is 25 rows: the planner
-                                             broadcasts it by its size check)
-Only lineitem (2 columns) and orders are shuffled; column pruning keeps the
-scans to the columns used.  AQE's skew-join split covers a customer holding
-a large share of the orders.
+  orders LEFT JOIN pay ON orderkey          (sort-merge, hinted: pay keeps
+                                             its hash partitioning on the key,
+                                             only orders is shuffled to it)
+  ... JOIN (customer JOIN nation) ON custkey (the planner's size check picks
+                                             broadcast while customer is small,
+                                             sort-merge beyond; nation is 25
+                                             rows and is always broadcast)
+Column pruning keeps the scans to the columns used.  Partial aggregation
+collapses an order with very many line items before the shuffle; AQE's
+skew-join split covers a customer holding a large share of the orders.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanscope.functions.arith import idiv
+from loanscope.functions.months import format_month
 
 # Columns of the raw loan table, in order (the imported file's layout).
 RAW_COLUMNS = [
@@ -58,9 +62,13 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     borrower = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
 
+    # Both sides of the order-key join grow with the data (one pay row per
+    # order), so it is a sort-merge join on the key even when a small input
+    # would fit a broadcast: the wide per-loan projection after it then runs
+    # in the join's shuffle partitions instead of in the tasks of one scan.
     a = (
-        orders.join(pay, orders.o_orderkey == pay.l_orderkey, "left")
-        .join(borrower, orders.o_custkey == borrower.c_custkey)
+        orders.join(pay.hint("merge"), orders.o_orderkey == pay.l_orderkey, "left")
+        .join(borrower.hint("merge"), orders.o_custkey == borrower.c_custkey)
     )
 
     k = F.col("o_orderkey")
@@ -117,10 +125,10 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("addr_state"),
         F.col("annual_inc"),
         (lid % 3000).alias("dti_bp"),
-        F.date_format(F.col("od"), "MMM-yyyy").alias("issue_d"),
-        F.date_format(F.add_months(F.col("od"), F.col("mp").cast("int")), "MMM-yyyy").alias("last_pymnt_d"),
-        F.date_format(
-            F.add_months(F.col("od"), (F.lit(-12) * (F.col("o_custkey") % 30 + 3)).cast("int")), "MMM-yyyy"
+        format_month(F.col("od")).alias("issue_d"),
+        format_month(F.add_months(F.col("od"), F.col("mp").cast("int"))).alias("last_pymnt_d"),
+        format_month(
+            F.add_months(F.col("od"), (F.lit(-12) * (F.col("o_custkey") % 30 + 3)).cast("int"))
         ).alias("earliest_cr_line"),
         idiv(funded * 100 * (F.col("int_rate_bp") + 10000), tn * 10000).alias("installment_c"),
         paid,

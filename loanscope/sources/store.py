@@ -3,9 +3,15 @@
 ``loans(spark, sf_dir)`` returns the raw loan view plus the derived
 columns of the cleaning job.  Like the source (clean the table once, then
 query it many times), the table is written once per application into the
-session's shared checkpoint folder as Parquet partitioned by issue_year,
-and every report scans that: column pruning and predicate pushdown then
-reach a narrow columnar file instead of re-running the order joins.
+session's shared checkpoint folder as Parquet, and every report scans
+that: column pruning and predicate pushdown (row-group min/max statistics)
+then reach a columnar file instead of re-running the order joins.  The
+write also cuts the lineage: a lost executor costs a re-read of the
+written files, not a re-run of the joins.
+
+The table is not partitioned by a column: no report filters on a
+low-cardinality column (they group by year, not select a year), and
+``partitionBy`` would multiply the file count by the number of years.
 
 Without a shared folder (a cluster session with no ``spark.checkpoint.dir``)
 the same plan is returned lazily instead.
@@ -21,7 +27,6 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loanscope.operators.cleaning import FIRST_DROP, SECOND_DROP, drop_columns, id_first, place_after, with_derived
 from loanscope.session import shared_dir
@@ -31,6 +36,7 @@ DERIVED_COLUMNS = ["issue_year", "credit_opened_year", "term_months", "months_ma
 LOAN_COLUMNS = RAW_COLUMNS + DERIVED_COLUMNS
 
 _written: dict = {}
+_read: dict = {}
 _lock = threading.Lock()
 
 
@@ -54,12 +60,7 @@ def materialise(spark: SparkSession, sf_dir: str) -> str | None:
         if base is None:
             return None
         path = f"{base.rstrip('/')}/loanscope-loans-{uuid.uuid4().hex}"
-        (
-            build_loans(spark, sf_dir)
-            .write.mode("overwrite")
-            .partitionBy("issue_year")
-            .parquet(path)
-        )
+        build_loans(spark, sf_dir).write.mode("overwrite").parquet(path)
         _written[key] = path
         return path
 
@@ -69,8 +70,11 @@ def loans(spark: SparkSession, sf_dir: str, materialised: bool = True) -> DataFr
     path = materialise(spark, sf_dir) if materialised else None
     if path is None:
         return build_loans(spark, sf_dir)
-    df = spark.read.parquet(path)
-    return df.withColumn("issue_year", F.col("issue_year").cast("bigint")).select(*LOAN_COLUMNS)
+    df = _read.get(path)
+    if df is None:
+        # one DataFrame per written table: the file listing is done once
+        df = _read[path] = spark.read.parquet(path).select(*LOAN_COLUMNS)
+    return df
 
 
 def cleaned(df: DataFrame) -> DataFrame:
