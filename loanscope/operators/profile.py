@@ -15,16 +15,12 @@ from pyspark.sql import functions as F
 from loanscope.functions.months import parse_month
 
 
-def constant_columns(df: DataFrame, cols=None) -> DataFrame:
-    """One row per column: column_name, non_null, min_value, max_value,
-    is_constant.
+# Columns profiled per aggregate: 3 buffers each, kept under Spark's
+# whole-stage-codegen field limit (spark.sql.codegen.maxFields, 100).
+PROFILE_CHUNK = 30
 
-    A column is constant when its non-null values are all equal (NULLs are
-    ignored, so a column of 0 and NULL counts as constant) and it has at
-    least one value.  min/max are computed on the column's own type and
-    shown as text.
-    """
-    names = list(cols) if cols is not None else df.columns
+
+def _profile_chunk(df: DataFrame, names: list) -> DataFrame:
     aggs = []
     for i, c in enumerate(names):
         aggs += [
@@ -32,7 +28,6 @@ def constant_columns(df: DataFrame, cols=None) -> DataFrame:
             F.min(F.col(c)).cast("string").alias(f"lo{i}"),
             F.max(F.col(c)).cast("string").alias(f"hi{i}"),
         ]
-    one = df.agg(*aggs)
     rows = F.array(*[
         F.struct(
             F.lit(c).alias("column_name"),
@@ -42,7 +37,24 @@ def constant_columns(df: DataFrame, cols=None) -> DataFrame:
         )
         for i, c in enumerate(names)
     ])
-    out = one.select(F.inline(rows))
+    return df.select(*names).agg(*aggs).select(F.inline(rows))
+
+
+def constant_columns(df: DataFrame, cols=None) -> DataFrame:
+    """One row per column: column_name, non_null, min_value, max_value,
+    is_constant.
+
+    A column is constant when its non-null values are all equal (NULLs are
+    ignored, so a column of 0 and NULL counts as constant) and it has at
+    least one value.  min/max are computed on the column's own type and
+    shown as text.  Global aggregates over column chunks: each chunk reads
+    only its own columns, so the table is still read once in total.
+    """
+    names = list(cols) if cols is not None else df.columns
+    parts = [_profile_chunk(df, names[i:i + PROFILE_CHUNK]) for i in range(0, len(names), PROFILE_CHUNK)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out.withColumn(
         "is_constant", (F.col("non_null") > 0) & (F.col("min_value") == F.col("max_value"))
     )
@@ -79,9 +91,19 @@ def duplicate_keys(df: DataFrame, key: str, n_col: str = "occurrences") -> DataF
     """Keys seen more than once (GROUP BY key HAVING COUNT(key) > 1).
 
     COUNT(key) skips NULL keys, so a NULL key is never reported.
+
+    Candidate keys are found on a 64-bit hash first: the shuffle carries
+    8 bytes per distinct key and task instead of the key text.  Only rows
+    whose hash repeats are grouped again on the key itself, which removes
+    hash collisions, so the result is exact.  A hot key (or NULL) is
+    collapsed by partial aggregation on both passes.
     """
+    h = F.xxhash64(F.col(key))
+    keyed = df.select(key).filter(F.col(key).isNotNull()).withColumn("_h", h)
+    repeated = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_h")
     return (
-        df.groupBy(key)
+        keyed.join(repeated, "_h", "left_semi")
+        .groupBy(key)
         .agg(F.count(F.col(key)).alias(n_col))
         .filter(F.col(n_col) > 1)
     )

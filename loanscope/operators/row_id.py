@@ -4,21 +4,27 @@
 (``Exchange SinglePartition``).  Instead:
 
 1. range-partition by the key and sort within partitions;
-2. tag each row with its partition id and its position in the partition
+2. tag each row with its range partition and its position in it
    (``monotonically_increasing_id`` is ``partition_id << 33 | position``);
-3. save that frame with a reliable ``checkpoint()`` (the shared checkpoint
-   folder) so both passes below see the same partitioning even if an
-   executor is lost and tasks are recomputed;
-4. count rows per partition - a frame with one row per partition, whose
-   size is bounded by the partition count - and turn the counts into
-   starting offsets with a window over those few rows;
-5. broadcast the offsets and add them to each row's position.
-
-Requires a unique key order (ties would make positions arbitrary).
+3. write that tagged frame once to the session's shared checkpoint folder.
+   The ranges come from sampling and the positions from task order, so two
+   recomputations need not agree; after the write both passes below read
+   the same stored tags, and a lost executor only costs a re-read;
+4. count rows per range partition - one row per partition, bounded by the
+   partition count - and turn the counts into starting offsets with a
+   window over those few rows;
+5. broadcast the offsets (size bounded by the partition count) and add
+   them to each row's position.
+
+The partition count follows the input's split count (it grows with the
+data) and is at least ``spark.sql.shuffle.partitions``.  Requires a unique
+key order (ties would make positions arbitrary).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +33,28 @@ from loanscope.session import require_shared_dir
 
 def with_row_id(df: DataFrame, order_cols, id_col: str = "row_id", num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
-    require_shared_dir(spark)
+    base = require_shared_dir(spark)
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
+    n = num_partitions or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()
+    )
+    path = f"{base.rstrip('/')}/loanscope-rowid-{uuid.uuid4().hex}"
+    (
         df.repartitionByRange(n, *cols)
         .sortWithinPartitions(*cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-        .checkpoint(eager=True)
+        .write.parquet(path)
     )
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    tagged = spark.read.parquet(path)
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-    ).fillna(0, subset=["_off"])
-    # One row per range partition: bounded by n, safe to broadcast.
-    out = ranged.join(F.broadcast(offsets), "_pid")
+        F.coalesce(
+            F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0).cast("bigint"),
+        ).alias("_off"),
+    )
+    # one row per range partition: bounded by n
+    out = tagged.join(F.broadcast(offsets), "_pid")
     return out.withColumn(id_col, F.col("_off") + F.col("_pos") + 1).drop("_pid", "_pos", "_off")

@@ -46,6 +46,13 @@ def test_loan_view_joins(spark):
     assert p.count("partial_sum") == 1  # payments pre-aggregated before the shuffle
 
 
-def test_dense_ids_are_checkpointed(spark):
+def test_dense_ids_read_the_written_tags(spark):
     p = plan(E.queries()["w_row_id"](spark, SMALL))
-    assert "Scan ExistingRDD" in p  # reads the checkpointed ranged frame
+    # both passes read the stored range tags, not a recomputed range shuffle
+    assert "loanscope-r" in p
+    assert "rangepartitioning" not in p
+
+
+def test_duplicate_check_shuffles_hashes(spark):
+    p = plan(E.queries()["w_duplicate_keys"](spark, SMALL))
+    assert "xxhash64" in p and "LeftSemi" in p
