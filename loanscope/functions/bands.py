@@ -27,20 +27,22 @@ class Banding:
         if list(self.edges) != sorted(self.edges):
             raise ValueError("edges must ascend")
 
-    def label(self, col) -> Column:
-        c = F.col(col) if isinstance(col, str) else col
-        expr = F.when(c.isNull(), F.lit(UNKNOWN))
-        for edge, lab in zip(self.edges, self.labels):
-            expr = expr.when(c <= edge, F.lit(lab))
-        return expr.otherwise(F.lit(self.labels[-1]))
-
-    def ordinal(self, col) -> Column:
+    def label_sql(self, col: str) -> str:
+        """SQL CASE text of the band label of column ``col``."""
+        whens = " ".join(f"WHEN {col} <= {e} THEN '{lab}'" for e, lab in zip(self.edges, self.labels))
+        return f"CASE WHEN {col} IS NULL THEN '{UNKNOWN}' {whens} ELSE '{self.labels[-1]}' END"
+
+    def ordinal_sql(self, col: str) -> str:
+        """SQL CASE text of the band position, 1..len(labels); Unknown last."""
+        whens = " ".join(f"WHEN {col} <= {e} THEN {i}" for i, e in enumerate(self.edges, start=1))
+        return f"CASE WHEN {col} IS NULL THEN {len(self.labels) + 1} {whens} ELSE {len(self.labels)} END"
+
+    def label(self, col: str) -> Column:
+        return F.expr(self.label_sql(col))
+
+    def ordinal(self, col: str) -> Column:
         """1..len(labels) in band order; Unknown sorts last."""
-        c = F.col(col) if isinstance(col, str) else col
-        expr = F.when(c.isNull(), F.lit(len(self.labels) + 1))
-        for i, edge in enumerate(self.edges, start=1):
-            expr = expr.when(c <= edge, F.lit(i))
-        return expr.otherwise(F.lit(len(self.labels)))
+        return F.expr(self.ordinal_sql(col))
 
     def label_order(self) -> list:
         return list(self.labels) + [UNKNOWN]

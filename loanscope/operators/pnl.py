@@ -23,19 +23,17 @@ PNL_COLUMNS = [
 
 def pnl(df: DataFrame, *by: str) -> DataFrame:
     g = df.groupBy(*by) if by else df.groupBy()
-    sums = g.agg(
-        F.count(F.lit(1)).alias("number_of_loans"),
-        F.sum("funded_amnt").alias("loans_amount"),
-        F.sum(F.col("term_months") * F.col("installment_c")).alias("_supposed_c"),
-        F.sum("total_pymnt").alias("payment"),
-        F.sum("total_rec_prncp").alias("principal"),
-        F.sum("total_rec_int").alias("interests"),
-        F.sum("total_rec_late_fee").alias("late_fee"),
-        F.sum("recoveries").alias("recoveries"),
-        F.sum("collection_recovery_fee").alias("recoveries_fee"),
-    )
-    profit = F.col("payment") - F.col("loans_amount")
-    net = profit - F.col("recoveries_fee")
+    sums = g.agg(*[F.expr(e) for e in [
+        "count(1) AS number_of_loans",
+        "sum(funded_amnt) AS loans_amount",
+        "sum(term_months * installment_c) AS _supposed_c",
+        "sum(total_pymnt) AS payment",
+        "sum(total_rec_prncp) AS principal",
+        "sum(total_rec_int) AS interests",
+        "sum(total_rec_late_fee) AS late_fee",
+        "sum(recoveries) AS recoveries",
+        "sum(collection_recovery_fee) AS recoveries_fee",
+    ]])
     out = sums.select(
         *by,
         "number_of_loans",
@@ -47,8 +45,8 @@ def pnl(df: DataFrame, *by: str) -> DataFrame:
         "late_fee",
         "recoveries",
         "recoveries_fee",
-        profit.alias("profit"),
-        net.alias("profit_net_fee"),
-        avg2(net, F.col("number_of_loans")).alias("avg_profit_per_loan"),
+        F.expr("payment - loans_amount").alias("profit"),
+        F.expr("payment - loans_amount - recoveries_fee").alias("profit_net_fee"),
+        avg2("payment - loans_amount - recoveries_fee", "number_of_loans").alias("avg_profit_per_loan"),
     )
     return out

@@ -24,20 +24,16 @@ def _profile_chunk(df: DataFrame, names: list) -> DataFrame:
     aggs = []
     for i, c in enumerate(names):
         aggs += [
-            F.count(F.col(c)).alias(f"n{i}"),
-            F.min(F.col(c)).cast("string").alias(f"lo{i}"),
-            F.max(F.col(c)).cast("string").alias(f"hi{i}"),
+            f"count(`{c}`) AS n{i}",
+            f"CAST(min(`{c}`) AS STRING) AS lo{i}",
+            f"CAST(max(`{c}`) AS STRING) AS hi{i}",
         ]
-    rows = F.array(*[
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col(f"n{i}").alias("non_null"),
-            F.col(f"lo{i}").alias("min_value"),
-            F.col(f"hi{i}").alias("max_value"),
-        )
+    rows = ", ".join(
+        f"struct('{c}' AS column_name, n{i} AS non_null, lo{i} AS min_value, hi{i} AS max_value)"
         for i, c in enumerate(names)
-    ])
-    return df.select(*names).agg(*aggs).select(F.inline(rows))
+    )
+    one = df.select(*names).agg(*[F.expr(e) for e in aggs])
+    return one.selectExpr(f"inline(array({rows}))")
 
 
 def constant_columns(df: DataFrame, cols=None) -> DataFrame:

@@ -38,7 +38,7 @@ def share_of(
     counts = df.groupBy(*g, *s).agg(F.count(F.lit(1)).alias(n_col))
     w = Window.partitionBy(*g) if g else Window.partitionBy()
     return counts.withColumn(total_col, F.sum(n_col).over(w)).withColumn(
-        pct_col, pct(F.col(n_col), F.col(total_col))
+        pct_col, pct(n_col, total_col)
     )
 
 
@@ -50,8 +50,7 @@ def share_of_total(df: DataFrame, by, n_col: str = "number_of_loans", pct_col: s
     """
     b = _list(by)
     counts = df.groupBy(*b).agg(F.count(F.lit(1)).alias(n_col))
-    total = F.sum(n_col).over(Window.partitionBy())
-    return counts.withColumn(pct_col, pct(F.col(n_col), total))
+    return counts.withColumn(pct_col, pct(n_col, f"sum({n_col}) OVER ()"))
 
 
 def two_grain_avg(
@@ -71,12 +70,12 @@ def two_grain_avg(
     g = df.groupBy(*c, *f).agg(
         F.sum(value).alias("_s"), F.count(value).alias("_n")
     )
-    w = Window.partitionBy(*c)
+    w = f"OVER (PARTITION BY {', '.join(c)})"
     return g.select(
         *c,
         *f,
-        avg_hundredths(F.sum("_s").over(w), F.sum("_n").over(w)).alias(coarse_col),
-        avg_hundredths(F.col("_s"), F.col("_n")).alias(fine_col),
+        avg_hundredths(f"sum(_s) {w}", f"sum(_n) {w}").alias(coarse_col),
+        avg_hundredths("_s", "_n").alias(fine_col),
     )
 
 
@@ -88,7 +87,7 @@ def lag_ratio(df: DataFrame, order: str, value: str, prev_col: str, ratio_col: s
     (one row per ``order`` value): the window has no partition key.
     """
     prev = F.lag(value).over(Window.orderBy(order))
-    return df.withColumn(prev_col, prev).withColumn(ratio_col, pct(F.col(value), F.col(prev_col)))
+    return df.withColumn(prev_col, prev).withColumn(ratio_col, pct(value, prev_col))
 
 
 def top_per_group(df: DataFrame, group, order_by: list, rank_col: str = "_rank") -> DataFrame:

@@ -10,10 +10,10 @@ sums instead of joining two summaries of the same table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanscope.functions.arith import pct, scaled_ratio
+from loanscope.functions.arith import hundredths, pct, scaled_ratio
 from loanscope.operators.cleaning import CHARGED_OFF, EARLY, FULL, FULLY_PAID
 from loanscope.operators.pnl import pnl
 from loanscope.plans.oracle_base import CLEANED_SELECT, pct as sql_pct, ratio, with_loans
@@ -101,14 +101,11 @@ def a40_purpose_mix(df: DataFrame) -> DataFrame:
     over those few rows.
     """
     g = df.groupBy("loan_status", "purpose").agg(F.count(F.lit(1)).alias("_n"))
-    in_status = F.sum("_n").over(Window.partitionBy("loan_status"))
-    in_purpose = F.sum("_n").over(Window.partitionBy("purpose"))
-    total = F.sum("_n").over(Window.partitionBy())
     return g.select(
         "loan_status",
         "purpose",
-        pct(F.col("_n"), in_status).alias("percent_of_purpose_in_status"),
-        pct(in_purpose, total).alias("percent_of_purpose_in_total_loans"),
+        pct("_n", "sum(_n) OVER (PARTITION BY loan_status)").alias("percent_of_purpose_in_status"),
+        pct("sum(_n) OVER (PARTITION BY purpose)", "sum(_n) OVER ()").alias("percent_of_purpose_in_total_loans"),
     ).orderBy("loan_status", "purpose")
 
 
@@ -118,17 +115,22 @@ def a41_profit_by_purpose_all(df: DataFrame) -> DataFrame:
 
 def _gap_columns(g: DataFrame) -> DataFrame:
     """Final columns of the profit-gap report from per-purpose sums."""
-    avg_all_c = scaled_ratio(F.col("total_profit_all_status"), F.col("_n_all"), 100)
-    avg_fp_c = scaled_ratio(F.col("total_profit_of_fully_paid_loans"), F.col("_n_fp"), 100)
-    tp, ta = F.col("total_profit_of_fully_paid_loans"), F.col("total_profit_all_status")
-    return g.select(
+    cents = g.select(
+        "purpose",
+        "total_profit_all_status",
+        "total_profit_of_fully_paid_loans",
+        scaled_ratio("total_profit_all_status", "_n_all", 100).alias("_avg_all_c"),
+        scaled_ratio("total_profit_of_fully_paid_loans", "_n_fp", 100).alias("_avg_fp_c"),
+    )
+    return cents.select(
         "purpose",
         "total_profit_all_status",
-        (avg_all_c / F.lit(100.0)).alias("avg_profit_per_loan_all_status"),
+        hundredths("_avg_all_c").alias("avg_profit_per_loan_all_status"),
         "total_profit_of_fully_paid_loans",
-        (avg_fp_c / F.lit(100.0)).alias("avg_profit_per_loan_of_fully_paid_loans"),
-        pct(tp - ta, tp).alias("difference_percent_in_profit"),
-        pct(avg_fp_c - avg_all_c, avg_fp_c).alias("difference_percent_in_avg_profit_per_loan"),
+        hundredths("_avg_fp_c").alias("avg_profit_per_loan_of_fully_paid_loans"),
+        pct("total_profit_of_fully_paid_loans - total_profit_all_status", "total_profit_of_fully_paid_loans")
+        .alias("difference_percent_in_profit"),
+        pct("_avg_fp_c - _avg_all_c", "_avg_fp_c").alias("difference_percent_in_avg_profit_per_loan"),
     ).orderBy("purpose")
 
 

@@ -22,14 +22,14 @@ from loanscope.sources.store import cleaned
 
 def money_by(df: DataFrame, *by: str, with_count: bool = True) -> DataFrame:
     """Requested vs funded money per group (one hash aggregate)."""
-    aggs = [F.count(F.lit(1)).alias("total_loans")] if with_count else []
+    aggs = ["count(1) AS total_loans"] if with_count else []
     aggs += [
-        F.sum("loan_amnt").alias("money_inquiries"),
-        F.sum("funded_amnt").alias("money_funded"),
-        F.sum("funded_amnt_inv").alias("money_funded_by_investor"),
+        "sum(loan_amnt) AS money_inquiries",
+        "sum(funded_amnt) AS money_funded",
+        "sum(funded_amnt_inv) AS money_funded_by_investor",
     ]
-    return df.groupBy(*by).agg(*aggs).withColumn(
-        "percent_money_funded", pct(F.col("money_funded"), F.col("money_inquiries"))
+    return df.groupBy(*by).agg(*[F.expr(e) for e in aggs]).withColumn(
+        "percent_money_funded", pct("money_funded", "money_inquiries")
     )
 
 
@@ -63,7 +63,7 @@ def a03_max_funded(df: DataFrame) -> DataFrame:
 def a04_min_rate_by_grade(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("grade")
-        .agg(hundredths(F.min("int_rate_bp")).alias("lowest_int_rate"))
+        .agg(hundredths("min(int_rate_bp)").alias("lowest_int_rate"))
         .orderBy("grade")
     )
 
@@ -95,7 +95,7 @@ def a08_loans_by_term_status(df: DataFrame) -> DataFrame:
 def a09_rate_by_term_status(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("term", "loan_status")
-        .agg(avg_hundredths(F.sum("int_rate_bp"), F.count("int_rate_bp")).alias("avg_int_rate"))
+        .agg(avg_hundredths("sum(int_rate_bp)", "count(int_rate_bp)").alias("avg_int_rate"))
         .orderBy("term", "loan_status")
     )
 
@@ -131,7 +131,7 @@ def a14_income_by_grade(df: DataFrame) -> DataFrame:
     """Average annual income per grade (NULL incomes ignored, as AVG does)."""
     return (
         df.groupBy("grade")
-        .agg(avg2(F.sum("annual_inc"), F.count("annual_inc")).alias("average_income"))
+        .agg(avg2("sum(annual_inc)", "count(annual_inc)").alias("average_income"))
         .orderBy("grade")
     )
 
@@ -160,7 +160,7 @@ def a19_income_by_state(df: DataFrame) -> DataFrame:
     """Average annual income per state, rounded to whole dollars, lowest first."""
     return (
         df.groupBy(F.col("addr_state").alias("state"))
-        .agg(avg0(F.sum("annual_inc"), F.count("annual_inc")).alias("avg_income"))
+        .agg(avg0("sum(annual_inc)", "count(annual_inc)").alias("avg_income"))
         .orderBy("avg_income", "state")
     )
 

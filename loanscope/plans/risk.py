@@ -15,11 +15,11 @@ and a band with no Charged Off home owner (OWN) disappears.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanscope.functions.arith import avg_hundredths, pct
-from loanscope.functions.bands import AMOUNT_BANDS, UNKNOWN
+from loanscope.functions.bands import AMOUNT_BANDS
 from loanscope.operators.cleaning import CHARGED_OFF
 from loanscope.operators.shares import share_of, top_per_group
 from loanscope.plans.oracle_base import avg_h, pct as sql_pct, with_loans
@@ -42,34 +42,25 @@ def _banded(df: DataFrame) -> DataFrame:
 
 
 def a43_segment_risk(df: DataFrame) -> DataFrame:
-    co = F.col("loan_status") == CHARGED_OFF
-    own = co & (F.col("home_ownership") == "OWN")
-
-    def co_sum(c):
-        return F.sum(F.when(co, F.col(c)))
-
-    def co_cnt(c):
-        return F.count(F.when(co, F.col(c)))
-
-    per_grade = _banded(df).groupBy("range_of_loan", "_band_ord", "grade").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.when(co, F.lit(1))).alias("co_n"),
-        F.count(F.when(own, F.lit(1))).alias("own_n"),
-        co_sum("int_rate_bp").alias("s_rate"), co_cnt("int_rate_bp").alias("c_rate"),
-        co_sum("dti_bp").alias("s_dti"), co_cnt("dti_bp").alias("c_dti"),
-        co_sum("installment_c").alias("s_inst"), co_cnt("installment_c").alias("c_inst"),
-    )
-    per_band = per_grade.groupBy("range_of_loan", "_band_ord").agg(
-        F.sum("n").alias("total_loans"),
-        F.sum("co_n").alias("co_n"),
-        F.sum("own_n").alias("own_n"),
+    co = f"loan_status = '{CHARGED_OFF}'"
+    measures = {"rate": "int_rate_bp", "dti": "dti_bp", "inst": "installment_c"}
+    per_grade = _banded(df).groupBy("range_of_loan", "_band_ord", "grade").agg(*[F.expr(e) for e in [
+        "count(1) AS n",
+        f"count(CASE WHEN {co} THEN 1 END) AS co_n",
+        f"count(CASE WHEN {co} AND home_ownership = 'OWN' THEN 1 END) AS own_n",
+        *[f"sum(CASE WHEN {co} THEN {c} END) AS s_{k}" for k, c in measures.items()],
+        *[f"count(CASE WHEN {co} THEN {c} END) AS c_{k}" for k, c in measures.items()],
+    ]])
+    per_band = per_grade.groupBy("range_of_loan", "_band_ord").agg(*[F.expr(e) for e in [
+        "sum(n) AS total_loans",
+        "sum(co_n) AS co_n",
+        "sum(own_n) AS own_n",
         # most Charged Off loans; ties go to the better (alphabetically first) grade
-        F.min_by("grade", F.struct(-F.col("co_n"), F.col("grade"))).alias("most_grade_charged_off"),
-        F.max("co_n").alias("top_n"),
-        F.sum("s_rate").alias("s_rate"), F.sum("c_rate").alias("c_rate"),
-        F.sum("s_dti").alias("s_dti"), F.sum("c_dti").alias("c_dti"),
-        F.sum("s_inst").alias("s_inst"), F.sum("c_inst").alias("c_inst"),
-    )
+        "min_by(grade, struct(-co_n, grade)) AS most_grade_charged_off",
+        "max(co_n) AS top_n",
+        *[f"sum(s_{k}) AS s_{k}" for k in measures],
+        *[f"sum(c_{k}) AS c_{k}" for k in measures],
+    ]])
     return (
         per_band.filter((F.col("co_n") > 0) & (F.col("own_n") > 0))
         .orderBy("_band_ord")
@@ -77,13 +68,13 @@ def a43_segment_risk(df: DataFrame) -> DataFrame:
             "range_of_loan",
             "total_loans",
             F.lit(CHARGED_OFF).alias("loan_status"),
-            pct(F.col("co_n"), F.col("total_loans")).alias("percentage_of_status"),
+            pct("co_n", "total_loans").alias("percentage_of_status"),
             "most_grade_charged_off",
-            pct(F.col("top_n"), F.col("co_n")).alias("percent_of_the_most_grade_get_co"),
-            avg_hundredths(F.col("s_rate"), F.col("c_rate")).alias("average_int_rate"),
-            avg_hundredths(F.col("s_dti"), F.col("c_dti")).alias("average_dti"),
-            avg_hundredths(F.col("s_inst"), F.col("c_inst")).alias("average_installment"),
-            pct(F.col("own_n"), F.col("co_n")).alias("percent_house_owner_get_co"),
+            pct("top_n", "co_n").alias("percent_of_the_most_grade_get_co"),
+            avg_hundredths("s_rate", "c_rate").alias("average_int_rate"),
+            avg_hundredths("s_dti", "c_dti").alias("average_dti"),
+            avg_hundredths("s_inst", "c_inst").alias("average_installment"),
+            pct("own_n", "co_n").alias("percent_house_owner_get_co"),
         )
     )
 
@@ -96,20 +87,20 @@ def op_top_grade_per_band(df: DataFrame) -> DataFrame:
     g = (
         _banded(df.filter(F.col("loan_status") == CHARGED_OFF))
         .groupBy("range_of_loan", "_band_ord", "loan_status", "grade")
-        .agg(
-            F.count(F.lit(1)).alias("grade_counts"),
-            F.sum("int_rate_bp").alias("s_rate"), F.count("int_rate_bp").alias("c_rate"),
-            F.sum("dti_bp").alias("s_dti"), F.count("dti_bp").alias("c_dti"),
-            F.sum("installment_c").alias("s_inst"), F.count("installment_c").alias("c_inst"),
-        )
+        .agg(*[F.expr(e) for e in [
+            "count(1) AS grade_counts",
+            "sum(int_rate_bp) AS s_rate", "count(int_rate_bp) AS c_rate",
+            "sum(dti_bp) AS s_dti", "count(dti_bp) AS c_dti",
+            "sum(installment_c) AS s_inst", "count(installment_c) AS c_inst",
+        ]])
     )
-    w = Window.partitionBy("range_of_loan", "loan_status")
+    w = "OVER (PARTITION BY range_of_loan, loan_status)"
     ranked = g.select(
         "range_of_loan", "_band_ord", "loan_status", "grade", "grade_counts",
-        pct(F.col("grade_counts"), F.sum("grade_counts").over(w)).alias("percent_of_grade_in_co_in_range_of_loan"),
-        avg_hundredths(F.sum("s_rate").over(w), F.sum("c_rate").over(w)).alias("average_int_rate"),
-        avg_hundredths(F.sum("s_dti").over(w), F.sum("c_dti").over(w)).alias("average_dti"),
-        avg_hundredths(F.sum("s_inst").over(w), F.sum("c_inst").over(w)).alias("average_installment"),
+        pct("grade_counts", f"sum(grade_counts) {w}").alias("percent_of_grade_in_co_in_range_of_loan"),
+        avg_hundredths(f"sum(s_rate) {w}", f"sum(c_rate) {w}").alias("average_int_rate"),
+        avg_hundredths(f"sum(s_dti) {w}", f"sum(c_dti) {w}").alias("average_dti"),
+        avg_hundredths(f"sum(s_inst) {w}", f"sum(c_inst) {w}").alias("average_installment"),
     )
     top = top_per_group(ranked, ["range_of_loan", "loan_status"], [F.desc("grade_counts"), F.asc("grade")])
     return top.orderBy("_band_ord").drop("_band_ord")
@@ -145,18 +136,16 @@ def op_segment_join(df: DataFrame) -> DataFrame:
 
 def _purpose_term_risk(df: DataFrame) -> DataFrame:
     g = df.groupBy("purpose", "term", "loan_status").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("int_rate_bp").alias("_s"),
-        F.count("int_rate_bp").alias("_c"),
+        F.expr("count(1) AS _n"), F.expr("sum(int_rate_bp) AS _s"), F.expr("count(int_rate_bp) AS _c")
     )
-    w = Window.partitionBy("purpose", "term")
+    w = "OVER (PARTITION BY purpose, term)"
     return (
         g.select(
             "purpose", "term",
-            F.sum("_n").over(w).alias("term_counts"),
+            F.expr(f"sum(_n) {w}").alias("term_counts"),
             "loan_status",
-            pct(F.col("_n"), F.sum("_n").over(w)).alias("percent_of_status"),
-            avg_hundredths(F.col("_s"), F.col("_c")).alias("average_int_rate"),
+            pct("_n", f"sum(_n) {w}").alias("percent_of_status"),
+            avg_hundredths("_s", "_c").alias("average_int_rate"),
         )
         # on a window output, after the window: denominators keep all statuses
         .filter(F.col("loan_status") == CHARGED_OFF)
@@ -207,9 +196,7 @@ REPORTS = {
 
 
 def _band_case(col: str = "funded_amnt") -> str:
-    e, lab = AMOUNT_BANDS.edges, AMOUNT_BANDS.labels
-    whens = " ".join(f"WHEN {col} <= {x} THEN '{lab[i]}'" for i, x in enumerate(e))
-    return f"CASE WHEN {col} IS NULL THEN '{UNKNOWN}' {whens} ELSE '{lab[-1]}' END"
+    return AMOUNT_BANDS.label_sql(col)
 
 
 _TB6 = f"""

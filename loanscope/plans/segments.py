@@ -8,11 +8,11 @@ those windows run after the window, so denominators keep every row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanscope.functions.arith import avg2, avg_hundredths, pct
-from loanscope.functions.bands import INCOME_BANDS, UNKNOWN
+from loanscope.functions.bands import INCOME_BANDS
 from loanscope.operators.cleaning import CHARGED_OFF
 from loanscope.operators.shares import share_of
 from loanscope.plans.oracle_base import avg_h, pct as sql_pct, ratio, with_loans
@@ -39,8 +39,8 @@ def a22_avg_by_purpose(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("purpose")
         .agg(
-            avg2(F.sum("funded_amnt"), F.count("funded_amnt")).alias("avg_amount_of_money_funded"),
-            avg_hundredths(F.sum("int_rate_bp"), F.count("int_rate_bp")).alias("avg_int_rate"),
+            avg2("sum(funded_amnt)", "count(funded_amnt)").alias("avg_amount_of_money_funded"),
+            avg_hundredths("sum(int_rate_bp)", "count(int_rate_bp)").alias("avg_int_rate"),
         )
         .orderBy(F.desc("avg_int_rate"), "purpose")
     )
@@ -61,12 +61,11 @@ def a24_home_ownership(df: DataFrame) -> DataFrame:
         F.sum("int_rate_bp").alias("_s"),
         F.count("int_rate_bp").alias("_n"),
     )
-    total = F.sum("number_of_loans").over(Window.partitionBy())
     return g.select(
         "home_ownership",
         "number_of_loans",
-        pct(F.col("number_of_loans"), total).alias("percentage_to_total_loans"),
-        avg_hundredths(F.col("_s"), F.col("_n")).alias("avg_int_rate"),
+        pct("number_of_loans", "sum(number_of_loans) OVER ()").alias("percentage_to_total_loans"),
+        avg_hundredths("_s", "_n").alias("avg_int_rate"),
     ).orderBy("home_ownership")
 
 
@@ -121,7 +120,7 @@ def r03_recovery_rate_by_year(df: DataFrame) -> DataFrame:
             F.sum("funded_amnt").alias("money_funded"),
             F.sum("recoveries").alias("recoveries"),
         )
-        .withColumn("recovery_rate", pct(F.col("recoveries"), F.col("money_funded")))
+        .withColumn("recovery_rate", pct("recoveries", "money_funded"))
         .orderBy("issue_year")
     )
 
@@ -142,9 +141,7 @@ REPORTS = {
 
 
 def _income_case() -> str:
-    e, lab = INCOME_BANDS.edges, INCOME_BANDS.labels
-    whens = " ".join(f"WHEN annual_inc <= {x} THEN '{lab[i]}'" for i, x in enumerate(e))
-    return f"CASE WHEN annual_inc IS NULL THEN '{UNKNOWN}' {whens} ELSE '{lab[-1]}' END"
+    return INCOME_BANDS.label_sql("annual_inc")
 
 
 def _windowed_share(outer_keys: str, group: str, sub: str, select: str, where: str = "") -> str:

@@ -28,7 +28,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanscope.operators.cleaning import FIRST_DROP, SECOND_DROP, drop_columns, id_first, place_after, with_derived
+from loanscope.operators.cleaning import FIRST_DROP, SECOND_DROP, with_derived
 from loanscope.session import shared_dir
 from loanscope.sources.loan_view import RAW_COLUMNS, loan_view
 
@@ -77,10 +77,20 @@ def loans(spark: SparkSession, sf_dir: str, materialised: bool = True) -> DataFr
     return df
 
 
+def _cleaned_columns() -> list:
+    cols = [c for c in RAW_COLUMNS if c not in set(FIRST_DROP + SECOND_DROP)]
+    cols.insert(cols.index("issue_d") + 1, "issue_year")
+    cols.insert(cols.index("earliest_cr_line") + 1, "credit_opened_year")
+    return ["loan_id"] + [c for c in cols if c != "loan_id"]
+
+
+# The source's final table layout: constant/free-text columns dropped,
+# loan_id first, generated year columns right after their source columns.
+CLEANED_COLUMNS = _cleaned_columns()
+
+
 def cleaned(df: DataFrame) -> DataFrame:
-    """The source's final table layout: constant/free-text columns dropped,
-    loan_id first, generated year columns after their sources."""
-    out = drop_columns(df.select(*RAW_COLUMNS, "issue_year", "credit_opened_year"), FIRST_DROP + SECOND_DROP)
-    out = place_after(out, "issue_year", "issue_d")
-    out = place_after(out, "credit_opened_year", "earliest_cr_line")
-    return id_first(out)
+    """The cleaned table (CLEANED_COLUMNS): what ``SELECT *`` returns in
+    the reports.  One projection; drop_columns / id_first / place_after
+    are the step-by-step forms of the same layout."""
+    return df.select(*CLEANED_COLUMNS)

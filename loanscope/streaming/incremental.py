@@ -102,5 +102,5 @@ def share_from_counts(counts: DataFrame, group: list, sub: list) -> DataFrame:
         *group, *sub,
         F.col("_rows").alias("number_of_loans"),
         F.sum("_rows").over(w).alias("total_loans"),
-    ).withColumn("percentage", pct(F.col("number_of_loans"), F.col("total_loans")))
+    ).withColumn("percentage", pct("number_of_loans", "total_loans"))
 

@@ -95,3 +95,14 @@ def test_derived_columns(spark):
     assert [r.earliest_cr_line for r in got] == ["Dec-1999", "Mar-2001", None, None]
     assert [r.credit_opened_year for r in got] == [1999, 2001, None, None]
     assert [r.issue_year for r in got] == [2010] * 4
+
+
+def test_cleaned_layout_matches_step_by_step(spark, small_loans):
+    from loanscope.operators.cleaning import FIRST_DROP, SECOND_DROP, place_after
+    from loanscope.sources.loan_view import RAW_COLUMNS
+    from loanscope.sources.store import cleaned
+
+    steps = drop_columns(small_loans.select(*RAW_COLUMNS, "issue_year", "credit_opened_year"), FIRST_DROP + SECOND_DROP)
+    steps = id_first(place_after(place_after(steps, "issue_year", "issue_d"), "credit_opened_year", "earliest_cr_line"))
+    assert cleaned(small_loans).columns == steps.columns
+    assert "zip_code" not in steps.columns and "pymnt_plan" not in steps.columns
