@@ -37,10 +37,11 @@ def widen_year_text(text) -> Column:
     )
 
 
-def parse_month(text) -> Column:
-    """Month-year text (``Jun-2011``, ``Jun-11``) -> first-of-month DATE,
-    NULL when unparseable (``try_to_date``)."""
-    return F.try_to_date(widen_year_text(text), MONTH_TEXT_FORMAT)
+def parse_month(text, two_digit_years: bool = True) -> Column:
+    """Month-year text (``Jun-2011``, and ``Jun-11`` when
+    ``two_digit_years``) -> first-of-month DATE, NULL when unparseable."""
+    t = widen_year_text(text) if two_digit_years else _c(text)
+    return F.try_to_date(t, MONTH_TEXT_FORMAT)
 
 
 def format_month(date) -> Column:

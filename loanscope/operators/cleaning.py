@@ -49,7 +49,7 @@ def with_years(df: DataFrame) -> DataFrame:
     every expression that uses it).
     """
     df = df.withColumns({
-        "_issue_date": parse_month("issue_d"),
+        "_issue_date": parse_month("issue_d", two_digit_years=False),
         "_cr_date": parse_month("earliest_cr_line"),
     })
     return df.withColumns({
@@ -72,9 +72,11 @@ def with_derived(df: DataFrame) -> DataFrame:
     """All columns the reports derive from the raw table, computed once:
     issue_year, credit_opened_year (with earliest_cr_line normalised),
     term_months, months_made_payment and payment_timing."""
+    # issue and payment months are read as four-digit years (as the source
+    # reads them); only the credit-line month is normalised from two digits
     df = df.withColumns({
-        "_issue_date": parse_month("issue_d"),
-        "_last_date": parse_month("last_pymnt_d"),
+        "_issue_date": parse_month("issue_d", two_digit_years=False),
+        "_last_date": parse_month("last_pymnt_d", two_digit_years=False),
         "_cr_date": parse_month("earliest_cr_line"),
     })
     df = df.withColumns({
