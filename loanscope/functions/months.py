@@ -15,8 +15,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The month-year text layout (English month abbreviation,
-# '-', four-digit year) and the two-digit-year pivot (70-99 -> 19xx).
+# '-', four-digit year), the month abbreviations in calendar order, and
+# the two-digit-year pivot (70-99 -> 19xx).
 MONTH_TEXT_FORMAT = "MMM-yyyy"
+MONTH_ABBREVIATIONS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 TWO_DIGIT_19XX = r"^([A-Za-z]{3})-([7-9][0-9])$"
 TWO_DIGIT_20XX = r"^([A-Za-z]{3})-([0-6][0-9])$"
 
@@ -49,6 +51,22 @@ def format_month(date) -> Column:
     return F.date_format(_c(date), MONTH_TEXT_FORMAT)
 
 
+def month_year_code(text: str) -> Column:
+    """``Dec-1999`` -> ``1299`` (two-digit month, two-digit year; the MMyy
+    print of the parsed month), NULL unless the text is ``Mon-yyyy``.
+
+    String arithmetic on the text (month looked up in a 12-entry array), no
+    date parsing or formatting per value.
+    """
+    months = ", ".join(f"'{m}'" for m in MONTH_ABBREVIATIONS)
+    m = f"array_position(array({months}), substring({text}, 1, 3))"
+    return F.expr(
+        f"CASE WHEN length({text}) = 8 AND substring({text}, 4, 1) = '-' AND {m} > 0"
+        f" AND try_cast(substring({text}, 5, 4) AS INT) IS NOT NULL"
+        f" THEN concat(lpad(CAST({m} AS STRING), 2, '0'), substring({text}, 7, 2)) END"
+    )
+
+
 def normalise_month(text) -> Column:
     """Parse and re-print: canonical ``Mon-yyyy`` text or NULL."""
     return format_month(parse_month(text))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanscope.functions.months import parse_month
+from loanscope.functions.months import month_year_code
 
 
 # Columns profiled per aggregate: 3 buffers each, kept under Spark's
@@ -62,25 +62,35 @@ def composite_key(
     home: str = "home_ownership",
     sub_grade: str = "sub_grade",
     purpose: str = "purpose",
-    dti: Column | None = None,
+    dti: str = "dti",
     funded: str = "funded_amnt",
     issue: str = "issue_d",
 ) -> Column:
-    """The source's candidate key: zip prefix, credit-line month, home
-    ownership initial, sub grade, purpose prefix, rounded dti, funded amount
-    and issue month joined by '-'.  NULL if any part is NULL (CONCAT
-    semantics)."""
-    dti_col = dti if dti is not None else F.col("dti")
-    return F.concat(
-        F.substring(F.col(zip_code), 1, 3), F.lit("-"),
-        F.date_format(parse_month(earliest), "MMyy"), F.lit("-"),
-        F.substring(F.col(home), 1, 1), F.lit("-"),
-        F.col(sub_grade), F.lit("-"),
-        F.upper(F.substring(F.col(purpose), 1, 3)), F.lit("-"),
-        dti_col.cast("string"), F.lit("-"),
-        F.col(funded).cast("string"), F.lit("-"),
-        F.date_format(parse_month(issue), "MMyy"),
-    )
+    """The source's candidate key: zip prefix, credit-line month (MMyy),
+    home-ownership initial, sub grade, purpose prefix, rounded dti, funded
+    amount and issue month (MMyy) joined by '-'.  NULL if any part is NULL
+    (CONCAT semantics).  Arguments are SQL expressions (column names)."""
+    parts = [
+        F.expr(f"left({zip_code}, 3)"),
+        month_year_code(earliest),
+        F.expr(f"left({home}, 1)"),
+        F.expr(sub_grade),
+        F.expr(f"upper(left({purpose}, 3))"),
+        F.expr(f"CAST({dti} AS STRING)"),
+        F.expr(f"CAST({funded} AS STRING)"),
+        month_year_code(issue),
+    ]
+    # concat, not concat_ws: a NULL part makes the whole key NULL
+    return F.concat(*_interleave(parts, F.lit("-")))
+
+
+def _interleave(cols: list, sep: Column) -> list:
+    out = []
+    for i, c in enumerate(cols):
+        if i:
+            out.append(sep)
+        out.append(c)
+    return out
 
 
 def duplicate_keys(df: DataFrame, key: str, n_col: str = "occurrences") -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanscope.functions.arith import idiv
 from loanscope.operators.cleaning import blank_to_null, with_years
 from loanscope.operators.profile import composite_key, constant_columns, duplicate_keys
 from loanscope.operators.row_id import with_row_id
@@ -60,7 +59,7 @@ def w_clean(df: DataFrame) -> DataFrame:
 def w_duplicate_keys(df: DataFrame) -> DataFrame:
     """Composite keys occurring more than once (the source found none)."""
     keyed = df.select(
-        composite_key(dti=idiv(F.col("dti_bp") + 50, F.lit(100))).alias("primkey")
+        composite_key(dti="(dti_bp + 50) div 100").alias("primkey")
     )
     return duplicate_keys(keyed, "primkey")
 

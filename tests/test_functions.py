@@ -2,11 +2,10 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from loanscope.functions.arith import avg0, avg2, avg_hundredths, pct, scaled_ratio
 from loanscope.functions.bands import AMOUNT_BANDS, INCOME_BANDS, UNKNOWN
-from loanscope.functions.months import months_between_whole, normalise_month, parse_month, term_months
+from loanscope.functions.months import month_year_code, months_between_whole, normalise_month, parse_month, term_months
 from loanscope.functions.text import fmt_int, present
 
 
@@ -71,3 +70,8 @@ def test_comma_text(spark):
     got = df.select(fmt_int("a").alias("a"), fmt_int("b").alias("b")).collect()
     assert [(r.a, r.b) for r in got] == [("1,234,567", "3"), ("0", "1,234")]
     assert present(df, ["a"]).columns == ["a", "b"]
+
+
+def test_month_year_code(spark):
+    df = spark.createDataFrame([("Dec-1999",), ("Mar-2005",), ("Foo-2011",), ("Dec-99",), (None,)], "t string")
+    assert [r.c for r in df.select(month_year_code("t").alias("c")).collect()] == ["1299", "0305", None, None, None]
