@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanscope.functions.arith import idiv
-from loanscope.functions.months import format_month
 
 # Columns of the raw loan table, in order (the imported file's layout).
 RAW_COLUMNS = [
@@ -71,80 +70,59 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(borrower.hint("merge"), orders.o_custkey == borrower.c_custkey)
     )
 
-    k = F.col("o_orderkey")
-    long_term = (k % 4) == 0
-    a = a.select(
-        k.alias("loan_id"),
-        F.col("o_custkey"),
-        F.col("o_orderdate").cast("date").alias("od"),
-        F.floor(F.col("o_totalprice") / 14).cast("bigint").alias("loan_amnt"),
-        (F.lit(542) + (k * 37) % 1899).alias("int_rate_bp"),
-        F.when(long_term, "60 months").otherwise("36 months").alias("term"),
-        F.when(long_term, 60).otherwise(36).cast("bigint").alias("tn"),
-        F.when(F.col("o_orderstatus") == "F", "Charged Off").otherwise("Fully Paid").alias("loan_status"),
-        F.col("c_mktsegment").alias("purpose"),
-        F.when(F.col("o_orderpriority") == "2-HIGH", "MORTGAGE")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", "OWN")
-        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "OTHER")
-        .otherwise("RENT").alias("home_ownership"),
-        F.col("n_name").alias("addr_state"),
-        F.when((F.col("o_custkey") % 97) == 0, F.lit(None).cast("bigint"))
-        .otherwise(F.floor((F.col("c_acctbal") + 1000) * 40).cast("bigint")).alias("annual_inc"),
-        F.coalesce(F.col("paid"), F.lit(0).cast("bigint")).alias("total_pymnt"),
+    # Per-loan columns as SQL expressions (one parser call per projection).
+    a = a.selectExpr(
+        "o_orderkey AS loan_id",
+        "o_custkey",
+        "CAST(o_orderdate AS DATE) AS od",
+        "CAST(floor(o_totalprice / 14) AS BIGINT) AS loan_amnt",
+        "542 + (o_orderkey * 37) % 1899 AS int_rate_bp",
+        "CASE WHEN o_orderkey % 4 = 0 THEN '60 months' ELSE '36 months' END AS term",
+        "CAST(CASE WHEN o_orderkey % 4 = 0 THEN 60 ELSE 36 END AS BIGINT) AS tn",
+        "CASE WHEN o_orderstatus = 'F' THEN 'Charged Off' ELSE 'Fully Paid' END AS loan_status",
+        "c_mktsegment AS purpose",
+        "CASE o_orderpriority WHEN '2-HIGH' THEN 'MORTGAGE' WHEN '3-MEDIUM' THEN 'OWN'"
+        " WHEN '4-NOT SPECIFIED' THEN 'OTHER' ELSE 'RENT' END AS home_ownership",
+        "n_name AS addr_state",
+        "CASE WHEN o_custkey % 97 = 0 THEN NULL"
+        " ELSE CAST(floor((c_acctbal + 1000) * 40) AS BIGINT) END AS annual_inc",
+        "coalesce(paid, CAST(0 AS BIGINT)) AS total_pymnt",
     )
-
-    lid = F.col("loan_id")
-    tn = F.col("tn")
-    b = a.withColumns({
-        "funded_amnt": F.col("loan_amnt")
-        - F.when(lid % 20 == 0, idiv(F.col("loan_amnt"), F.lit(4))).otherwise(F.lit(0)),
-        "grade": F.substring(F.lit("ABCDEFG"), (idiv(F.col("int_rate_bp") - 542, F.lit(272)) + 1).cast("int"), 1),
-        "mp": F.when(lid % 50 == 7, F.lit(None).cast("bigint"))
-        .when(F.col("loan_status") == "Charged Off", lid % tn)
-        .when(lid % 101 == 0, tn + 4)
-        .when(lid % 3 == 0, tn + 1)
-        .otherwise(tn + 1 - lid % 11),
-    })
-
-    funded = F.col("funded_amnt")
-    paid = F.col("total_pymnt")
-    charged_off = F.col("loan_status") == "Charged Off"
-    zero = F.lit(0).cast("bigint")
-    out = b.select(
-        lid,
-        F.col("loan_amnt"),
-        funded,
-        (funded - F.when(lid % 10 == 0, idiv(funded, F.lit(10))).otherwise(zero)).alias("funded_amnt_inv"),
-        F.col("term"),
-        F.col("int_rate_bp"),
-        F.col("grade"),
-        F.concat(F.col("grade"), (lid % 5 + 1).cast("string")).alias("sub_grade"),
-        F.col("loan_status"),
-        F.col("purpose"),
-        F.col("home_ownership"),
-        F.col("addr_state"),
-        F.col("annual_inc"),
-        (lid % 3000).alias("dti_bp"),
-        format_month(F.col("od")).alias("issue_d"),
-        format_month(F.add_months(F.col("od"), F.col("mp").cast("int"))).alias("last_pymnt_d"),
-        format_month(
-            F.add_months(F.col("od"), (F.lit(-12) * (F.col("o_custkey") % 30 + 3)).cast("int"))
-        ).alias("earliest_cr_line"),
-        idiv(funded * 100 * (F.col("int_rate_bp") + 10000), tn * 10000).alias("installment_c"),
-        paid,
-        F.least(paid, funded).alias("total_rec_prncp"),
-        F.greatest(paid - funded, zero).alias("total_rec_int"),
-        F.when(lid % 15 == 0, F.lit(15).cast("bigint")).otherwise(zero).alias("total_rec_late_fee"),
-        F.when(charged_off, idiv(paid, F.lit(10))).otherwise(zero).alias("recoveries"),
-        F.when(charged_off, idiv(paid, F.lit(50))).otherwise(zero).alias("collection_recovery_fee"),
-        F.concat(F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit("xx")).alias("zip_code"),
-        (lid % 4).alias("delinq_2yrs"),
-        (lid % 2).alias("pub_rec"),
-        F.when(lid % 3 == 0, F.lit(None).cast("bigint")).otherwise(lid % 120).alias("mths_since_last_delinq"),
-        (lid % 9).alias("inq_last_6mths"),
-        F.when(lid % 200 == 0, "Y").otherwise("N").alias("debt_settlement_flag"),
-        (lid % 80 + 2).alias("total_acc"),
-        F.lit("n").alias("pymnt_plan"),
-        F.when(lid % 2 == 0, zero).otherwise(F.lit(None).cast("bigint")).alias("tax_liens"),
+    b = a.selectExpr(
+        "*",
+        "loan_amnt - CASE WHEN loan_id % 20 = 0 THEN loan_amnt div 4 ELSE 0 END AS funded_amnt",
+        "substr('ABCDEFG', CAST(1 + (int_rate_bp - 542) div 272 AS INT), 1) AS grade",
+        "CASE WHEN loan_id % 50 = 7 THEN NULL"
+        " WHEN loan_status = 'Charged Off' THEN loan_id % tn"
+        " WHEN loan_id % 101 = 0 THEN tn + 4"
+        " WHEN loan_id % 3 = 0 THEN tn + 1"
+        " ELSE tn + 1 - loan_id % 11 END AS mp",
+    )
+    out = b.selectExpr(
+        "loan_id", "loan_amnt", "funded_amnt",
+        "funded_amnt - CASE WHEN loan_id % 10 = 0 THEN funded_amnt div 10 ELSE 0 END AS funded_amnt_inv",
+        "term", "int_rate_bp", "grade",
+        "concat(grade, CAST(1 + loan_id % 5 AS STRING)) AS sub_grade",
+        "loan_status", "purpose", "home_ownership", "addr_state", "annual_inc",
+        "loan_id % 3000 AS dti_bp",
+        "date_format(od, 'MMM-yyyy') AS issue_d",
+        "date_format(add_months(od, CAST(mp AS INT)), 'MMM-yyyy') AS last_pymnt_d",
+        "date_format(add_months(od, CAST(-12 * (3 + o_custkey % 30) AS INT)), 'MMM-yyyy') AS earliest_cr_line",
+        "(funded_amnt * 100 * (10000 + int_rate_bp)) div (10000 * tn) AS installment_c",
+        "total_pymnt",
+        "least(total_pymnt, funded_amnt) AS total_rec_prncp",
+        "greatest(total_pymnt - funded_amnt, 0) AS total_rec_int",
+        "CAST(CASE WHEN loan_id % 15 = 0 THEN 15 ELSE 0 END AS BIGINT) AS total_rec_late_fee",
+        "CASE WHEN loan_status = 'Charged Off' THEN total_pymnt div 10 ELSE 0 END AS recoveries",
+        "CASE WHEN loan_status = 'Charged Off' THEN total_pymnt div 50 ELSE 0 END AS collection_recovery_fee",
+        "concat(lpad(CAST(o_custkey % 1000 AS STRING), 3, '0'), 'xx') AS zip_code",
+        "loan_id % 4 AS delinq_2yrs",
+        "loan_id % 2 AS pub_rec",
+        "CASE WHEN loan_id % 3 = 0 THEN NULL ELSE loan_id % 120 END AS mths_since_last_delinq",
+        "loan_id % 9 AS inq_last_6mths",
+        "CASE WHEN loan_id % 200 = 0 THEN 'Y' ELSE 'N' END AS debt_settlement_flag",
+        "2 + loan_id % 80 AS total_acc",
+        "'n' AS pymnt_plan",
+        "CAST(CASE WHEN loan_id % 2 = 0 THEN 0 END AS BIGINT) AS tax_liens",
     )
     return out.select(*RAW_COLUMNS)
