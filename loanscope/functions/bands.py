@@ -77,3 +77,8 @@ AMOUNT_BANDS = Banding(
         "More than $30K",
     ),
 )
+
+
+def band(col: str, edges, labels) -> Column:
+    """Label column for upper-inclusive bands given as data (see Banding)."""
+    return Banding(tuple(edges), tuple(labels)).label(col)

@@ -84,6 +84,11 @@ def composite_key(
     return F.concat(*_interleave(parts, F.lit("-")))
 
 
+def with_composite_key(df: DataFrame, name: str = "primkey", dti: str = "dti") -> DataFrame:
+    """Add the candidate key column (see composite_key)."""
+    return df.withColumn(name, composite_key(dti=dti))
+
+
 def _interleave(cols: list, sep: Column) -> list:
     out = []
     for i, c in enumerate(cols):

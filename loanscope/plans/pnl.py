@@ -134,6 +134,11 @@ def _gap_columns(g: DataFrame) -> DataFrame:
     ).orderBy("purpose")
 
 
+def pnl_gap(df: DataFrame, by: str = "purpose") -> DataFrame:
+    """a42 for any grouping column: all loans vs Fully Paid loans."""
+    return a42_profit_gap(df.withColumnRenamed(by, "purpose")).withColumnRenamed("purpose", by)
+
+
 def a42_profit_gap(df: DataFrame) -> DataFrame:
     """Profit of all loans vs Fully Paid loans per purpose, and the gap in %.
 

@@ -79,6 +79,9 @@ def a43_segment_risk(df: DataFrame) -> DataFrame:
     )
 
 
+segment_risk = a43_segment_risk
+
+
 def op_top_grade_per_band(df: DataFrame) -> DataFrame:
     """Most frequent grade among Charged Off loans of each amount band
     (ROW_NUMBER() OVER (PARTITION BY band, status ORDER BY count DESC) = 1,

@@ -106,3 +106,15 @@ def test_cleaned_layout_matches_step_by_step(spark, small_loans):
     steps = id_first(place_after(place_after(steps, "issue_year", "issue_d"), "credit_opened_year", "earliest_cr_line"))
     assert cleaned(small_loans).columns == steps.columns
     assert "zip_code" not in steps.columns and "pymnt_plan" not in steps.columns
+
+
+def test_api_wrappers(spark, small_loans):
+    from loanscope.functions.bands import band
+    from loanscope.operators.profile import with_composite_key
+    from loanscope.plans.pnl import a42_profit_gap, pnl_gap
+
+    df = spark.createDataFrame([(5,), (15,), (None,)], "x long")
+    assert [r.b for r in df.select(band("x", [10], ["low", "high"]).alias("b")).collect()] == ["low", "high", "Unknown"]
+    keyed = with_composite_key(small_loans, dti="(dti_bp + 50) div 100")
+    assert keyed.filter("primkey IS NULL").count() == 0
+    assert sorted(map(tuple, pnl_gap(small_loans, "purpose").collect())) == sorted(map(tuple, a42_profit_gap(small_loans).collect()))
