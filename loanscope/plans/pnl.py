@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loanscope.functions.arith import hundredths, pct, scaled_ratio
 from loanscope.operators.cleaning import CHARGED_OFF, EARLY, FULL, FULLY_PAID
 from loanscope.operators.pnl import pnl
+from loanscope.operators.shares import in_order
 from loanscope.plans.oracle_base import CLEANED_SELECT, pct as sql_pct, ratio, with_loans
 from loanscope.sources.store import cleaned
 
@@ -38,7 +39,7 @@ def a29_profit_by_year(df: DataFrame) -> DataFrame:
             (F.sum("total_pymnt") - F.sum("funded_amnt")).alias("profit"),
             (F.sum("total_pymnt") - F.sum("funded_amnt") - F.sum("collection_recovery_fee")).alias("profit_net_fee"),
         )
-        .orderBy("year")
+        .transform(in_order("year"))
     )
 
 
@@ -87,11 +88,13 @@ def a37_pnl_shortfall(df: DataFrame) -> DataFrame:
 
 
 def a38_loss_by_purpose(df: DataFrame) -> DataFrame:
-    return pnl(df.filter(F.col("loan_status") == CHARGED_OFF), "purpose").orderBy(F.desc("avg_profit_per_loan"), "purpose")
+    by_profit = in_order(F.desc("avg_profit_per_loan"), "purpose")
+    return pnl(df.filter(F.col("loan_status") == CHARGED_OFF), "purpose").transform(by_profit)
 
 
 def a39_profit_by_purpose_paid(df: DataFrame) -> DataFrame:
-    return pnl(df.filter(F.col("loan_status") == FULLY_PAID), "purpose").orderBy(F.desc("avg_profit_per_loan"), "purpose")
+    by_profit = in_order(F.desc("avg_profit_per_loan"), "purpose")
+    return pnl(df.filter(F.col("loan_status") == FULLY_PAID), "purpose").transform(by_profit)
 
 
 def a40_purpose_mix(df: DataFrame) -> DataFrame:
@@ -106,11 +109,11 @@ def a40_purpose_mix(df: DataFrame) -> DataFrame:
         "purpose",
         pct("_n", "sum(_n) OVER (PARTITION BY loan_status)").alias("percent_of_purpose_in_status"),
         pct("sum(_n) OVER (PARTITION BY purpose)", "sum(_n) OVER ()").alias("percent_of_purpose_in_total_loans"),
-    ).orderBy("loan_status", "purpose")
+    ).transform(in_order("loan_status", "purpose"))
 
 
 def a41_profit_by_purpose_all(df: DataFrame) -> DataFrame:
-    return pnl(df, "purpose").orderBy(F.desc("avg_profit_per_loan"), "purpose")
+    return pnl(df, "purpose").transform(in_order(F.desc("avg_profit_per_loan"), "purpose"))
 
 
 def _gap_columns(g: DataFrame) -> DataFrame:
@@ -131,7 +134,7 @@ def _gap_columns(g: DataFrame) -> DataFrame:
         pct("total_profit_of_fully_paid_loans - total_profit_all_status", "total_profit_of_fully_paid_loans")
         .alias("difference_percent_in_profit"),
         pct("_avg_fp_c - _avg_all_c", "_avg_fp_c").alias("difference_percent_in_avg_profit_per_loan"),
-    ).orderBy("purpose")
+    ).transform(in_order("purpose"))
 
 
 def pnl_gap(df: DataFrame, by: str = "purpose") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loanscope.functions.arith import avg0, avg2, avg_hundredths, hundredths, pct
 from loanscope.functions.text import present
 from loanscope.operators.cleaning import FULLY_PAID
-from loanscope.operators.shares import lag_ratio, share_of, two_grain_avg
+from loanscope.operators.shares import in_order, lag_ratio, share_of, two_grain_avg
 from loanscope.plans.oracle_base import CLEANED_SELECT, avg_h, pct as sql_pct, ratio, with_loans
 from loanscope.sources.store import cleaned
 
@@ -64,7 +64,7 @@ def a04_min_rate_by_grade(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("grade")
         .agg(hundredths("min(int_rate_bp)").alias("lowest_int_rate"))
-        .orderBy("grade")
+        .transform(in_order("grade"))
     )
 
 
@@ -73,22 +73,22 @@ def a05_yoy_funded(df: DataFrame) -> DataFrame:
     per_year = df.groupBy("issue_year").agg(F.sum("funded_amnt").alias("total_amount_funded"))
     return lag_ratio(
         per_year, "issue_year", "total_amount_funded", "amount_funded_last_year", "percent_of_last_year"
-    ).orderBy("issue_year")
+    ).transform(in_order("issue_year"))
 
 
 def a06_money_by_year(df: DataFrame) -> DataFrame:
-    return money_by(df, "issue_year").orderBy("issue_year")
+    return money_by(df, "issue_year").transform(in_order("issue_year"))
 
 
 def a07_loans_by_term(df: DataFrame) -> DataFrame:
-    return df.groupBy("term").agg(F.count(F.lit(1)).alias("total_loans")).orderBy("term")
+    return df.groupBy("term").agg(F.count(F.lit(1)).alias("total_loans")).transform(in_order("term"))
 
 
 def a08_loans_by_term_status(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("term", "loan_status")
         .agg(F.count(F.lit(1)).alias("total_loans"))
-        .orderBy("term", "loan_status")
+        .transform(in_order("term", "loan_status"))
     )
 
 
@@ -96,12 +96,12 @@ def a09_rate_by_term_status(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("term", "loan_status")
         .agg(avg_hundredths("sum(int_rate_bp)", "count(int_rate_bp)").alias("avg_int_rate"))
-        .orderBy("term", "loan_status")
+        .transform(in_order("term", "loan_status"))
     )
 
 
 def a10_money_by_term(df: DataFrame) -> DataFrame:
-    return money_by(df, "term", with_count=False).orderBy("term")
+    return money_by(df, "term", with_count=False).transform(in_order("term"))
 
 
 def a11_paid_rate_by_term(df: DataFrame) -> DataFrame:
@@ -110,12 +110,12 @@ def a11_paid_rate_by_term(df: DataFrame) -> DataFrame:
     return (
         s.filter(F.col("loan_status") == FULLY_PAID)
         .select("term", "loan_status", "total_loans", "paid_off_rate")
-        .orderBy("term")
+        .transform(in_order("term"))
     )
 
 
 def a12_money_by_grade(df: DataFrame) -> DataFrame:
-    return money_by(df, "grade").orderBy("grade")
+    return money_by(df, "grade").transform(in_order("grade"))
 
 
 def a13_paid_rate_by_grade(df: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def a13_paid_rate_by_grade(df: DataFrame) -> DataFrame:
     return (
         s.filter(F.col("loan_status") == FULLY_PAID)
         .select("grade", "loan_status", "total_loans", "paid_off_rate")
-        .orderBy("grade")
+        .transform(in_order("grade"))
     )
 
 
@@ -132,7 +132,7 @@ def a14_income_by_grade(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("grade")
         .agg(avg2("sum(annual_inc)", "count(annual_inc)").alias("average_income"))
-        .orderBy("grade")
+        .transform(in_order("grade"))
     )
 
 
@@ -157,7 +157,7 @@ def a16_top_rate_loan(df: DataFrame) -> DataFrame:
 def a17_money_by_state(df: DataFrame) -> DataFrame:
     return (
         money_by(df.withColumnRenamed("addr_state", "state"), "state")
-        .orderBy(F.desc("money_funded"), F.asc("state"))
+        .transform(in_order(F.desc("money_funded"), F.asc("state")))
     )
 
 
@@ -166,7 +166,7 @@ def a18_rate_by_state_status(df: DataFrame) -> DataFrame:
     return two_grain_avg(
         df.withColumnRenamed("addr_state", "state"),
         "state", "loan_status", "int_rate_bp", "state_avg_int_rate", "avg_int_rate",
-    ).orderBy("state_avg_int_rate", "state", "loan_status")
+    ).transform(in_order("state_avg_int_rate", "state", "loan_status"))
 
 
 def a19_income_by_state(df: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def a19_income_by_state(df: DataFrame) -> DataFrame:
     return (
         df.groupBy(F.col("addr_state").alias("state"))
         .agg(avg0("sum(annual_inc)", "count(annual_inc)").alias("avg_income"))
-        .orderBy("avg_income", "state")
+        .transform(in_order("avg_income", "state"))
     )
 
 

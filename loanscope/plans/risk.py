@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loanscope.functions.arith import avg_hundredths, pct
 from loanscope.functions.bands import AMOUNT_BANDS
 from loanscope.operators.cleaning import CHARGED_OFF
-from loanscope.operators.shares import share_of, top_per_group
+from loanscope.operators.shares import in_order, share_of, top_per_group
 from loanscope.plans.oracle_base import avg_h, pct as sql_pct, with_loans
 
 SEGMENT_COLUMNS = [
@@ -63,7 +63,7 @@ def a43_segment_risk(df: DataFrame) -> DataFrame:
     ]])
     return (
         per_band.filter((F.col("co_n") > 0) & (F.col("own_n") > 0))
-        .orderBy("_band_ord")
+        .transform(in_order("_band_ord"))
         .select(
             "range_of_loan",
             "total_loans",
@@ -106,7 +106,7 @@ def op_top_grade_per_band(df: DataFrame) -> DataFrame:
         avg_hundredths(f"sum(s_inst) {w}", f"sum(c_inst) {w}").alias("average_installment"),
     )
     top = top_per_group(ranked, ["range_of_loan", "loan_status"], [F.desc("grade_counts"), F.asc("grade")])
-    return top.orderBy("_band_ord").drop("_band_ord")
+    return top.transform(in_order("_band_ord")).drop("_band_ord")
 
 
 def op_segment_join(df: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def op_segment_join(df: DataFrame) -> DataFrame:
     keys = ["range_of_loan", "loan_status"]
     return (
         status.join(top, keys).join(home, keys)
-        .orderBy("_band_ord")
+        .transform(in_order("_band_ord"))
         .select(*SEGMENT_COLUMNS)
     )
 
@@ -152,7 +152,7 @@ def _purpose_term_risk(df: DataFrame) -> DataFrame:
         )
         # on a window output, after the window: denominators keep all statuses
         .filter(F.col("loan_status") == CHARGED_OFF)
-        .orderBy("purpose", "term")
+        .transform(in_order("purpose", "term"))
     )
 
 
@@ -184,7 +184,7 @@ def a46_status_counts_filtered(
         & (F.col("purpose") == purpose) & (F.col("term") == term)
     return (
         df.filter(cond).groupBy("loan_status").agg(F.count(F.lit(1)).alias("number_of_loans"))
-        .orderBy("loan_status")
+        .transform(in_order("loan_status"))
     )
 
 

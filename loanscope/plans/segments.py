@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loanscope.functions.arith import avg2, avg_hundredths, pct
 from loanscope.functions.bands import INCOME_BANDS
 from loanscope.operators.cleaning import CHARGED_OFF
-from loanscope.operators.shares import share_of
+from loanscope.operators.shares import in_order, share_of
 from loanscope.plans.oracle_base import avg_h, pct as sql_pct, ratio, with_loans
 
 
@@ -24,14 +24,14 @@ def a20_income_bands(df: DataFrame) -> DataFrame:
     return (
         share_of(banded, "group_of_income", "loan_status", n_col="_n", pct_col="percent_to_total_loans")
         .select("group_of_income", "loan_status", "total_loans", "percent_to_total_loans")
-        .orderBy(F.desc("total_loans"), "group_of_income", "loan_status")
+        .transform(in_order(F.desc("total_loans"), "group_of_income", "loan_status"))
     )
 
 
 def a21_loans_by_purpose(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("purpose").agg(F.count(F.lit(1)).alias("number_of_loans"))
-        .orderBy(F.desc("number_of_loans"), "purpose")
+        .transform(in_order(F.desc("number_of_loans"), "purpose"))
     )
 
 
@@ -42,7 +42,7 @@ def a22_avg_by_purpose(df: DataFrame) -> DataFrame:
             avg2("sum(funded_amnt)", "count(funded_amnt)").alias("avg_amount_of_money_funded"),
             avg_hundredths("sum(int_rate_bp)", "count(int_rate_bp)").alias("avg_int_rate"),
         )
-        .orderBy(F.desc("avg_int_rate"), "purpose")
+        .transform(in_order(F.desc("avg_int_rate"), "purpose"))
     )
 
 
@@ -50,7 +50,7 @@ def a23_status_by_purpose(df: DataFrame) -> DataFrame:
     return (
         share_of(df, "purpose", "loan_status")
         .select("purpose", "loan_status", "number_of_loans", "total_loans", "percentage")
-        .orderBy("loan_status", F.desc("percentage"), "purpose")
+        .transform(in_order("loan_status", F.desc("percentage"), "purpose"))
     )
 
 
@@ -66,7 +66,7 @@ def a24_home_ownership(df: DataFrame) -> DataFrame:
         "number_of_loans",
         pct("number_of_loans", "sum(number_of_loans) OVER ()").alias("percentage_to_total_loans"),
         avg_hundredths("_s", "_n").alias("avg_int_rate"),
-    ).orderBy("home_ownership")
+    ).transform(in_order("home_ownership"))
 
 
 def a25_owner_share_by_state(df: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def a25_owner_share_by_state(df: DataFrame) -> DataFrame:
         share_of(df, "addr_state", "home_ownership")
         .filter(F.col("home_ownership") == "OWN")
         .select("addr_state", "home_ownership", "total_loans", "number_of_loans", "percentage")
-        .orderBy(F.desc("percentage"), "addr_state")
+        .transform(in_order(F.desc("percentage"), "addr_state"))
     )
 
 
@@ -83,7 +83,7 @@ def a26_status_by_ownership(df: DataFrame) -> DataFrame:
     return (
         share_of(df, "home_ownership", "loan_status")
         .select("home_ownership", "loan_status", "number_of_loans", "percentage")
-        .orderBy("loan_status", F.desc("percentage"), "home_ownership")
+        .transform(in_order("loan_status", F.desc("percentage"), "home_ownership"))
     )
 
 
@@ -98,7 +98,7 @@ def a27_credit_history(df: DataFrame) -> DataFrame:
 def r01_status_by_year(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("issue_year", "loan_status").agg(F.count(F.lit(1)).alias("total_loans"))
-        .orderBy("issue_year", "loan_status")
+        .transform(in_order("issue_year", "loan_status"))
     )
 
 
@@ -106,7 +106,7 @@ def r02_status_rate_by_year(df: DataFrame) -> DataFrame:
     return (
         share_of(df, "issue_year", "loan_status")
         .select("issue_year", "loan_status", "number_of_loans", "total_loans", "percentage")
-        .orderBy("issue_year", "loan_status")
+        .transform(in_order("issue_year", "loan_status"))
     )
 
 
@@ -121,7 +121,7 @@ def r03_recovery_rate_by_year(df: DataFrame) -> DataFrame:
             F.sum("recoveries").alias("recoveries"),
         )
         .withColumn("recovery_rate", pct("recoveries", "money_funded"))
-        .orderBy("issue_year")
+        .transform(in_order("issue_year"))
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loanscope.operators.cleaning import blank_to_null, with_years
 from loanscope.operators.profile import composite_key, constant_columns, duplicate_keys
 from loanscope.operators.row_id import with_row_id
+from loanscope.operators.shares import in_order
 from loanscope.plans.oracle_base import CLEANED_SELECT, with_loans
 from loanscope.sources.loan_view import RAW_COLUMNS
 from loanscope.sources.store import cleaned
@@ -48,7 +49,7 @@ def w_years(df: DataFrame) -> DataFrame:
 
 def w_constant_columns(df: DataFrame) -> DataFrame:
     """Profile of every raw column: which ones hold a single value."""
-    return constant_columns(df.select(*RAW_COLUMNS)).orderBy("column_name")
+    return constant_columns(df.select(*RAW_COLUMNS)).transform(in_order("column_name"))
 
 
 def w_clean(df: DataFrame) -> DataFrame:

@@ -35,9 +35,12 @@ def shape(plan: str) -> dict:
     raw_single = False
     for i, ln in enumerate(lines):
         if "Exchange SinglePartition" in ln:
-            nxt = "\n".join(lines[i + 1:i + 3])
-            if "HashAggregate" not in nxt and "SortAggregate" not in nxt and "Window" not in nxt:
-                raw_single = True
+            for below in lines[i + 1:]:
+                if "Aggregate" in below:
+                    break
+                if "Scan parquet" in below or "FileScan" in below:
+                    raw_single = True
+                    break
     return dict(scans=len(scans), cols=read, pushed=pushed, ex=ex, joins=joins, raw_single=raw_single)
 
 

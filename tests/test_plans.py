@@ -19,16 +19,35 @@ def test_scans_are_pruned_and_filtered(spark):
     assert "GreaterThan(funded_amnt,5000)" in p and "LessThanOrEqual(funded_amnt,10000)" in p
 
 
+def _fed_by_aggregate(lines, i):
+    """True when, walking down from the exchange at line i, an aggregate
+    comes before the first file scan (the exchange carries aggregated rows)."""
+    for line in lines[i + 1:]:
+        if "Aggregate" in line:
+            return True
+        if "Scan parquet" in line or "FileScan" in line:
+            return False
+    return True
+
+
 def test_share_reports_aggregate_before_any_window(spark):
-    """No raw-row exchange into a window: every window sits above an
-    aggregate, and the only single-partition exchanges carry aggregated rows."""
+    """No raw-row exchange into a window or into one partition: every such
+    exchange sits above an aggregate."""
     for key in ["a11_paid_rate_by_term", "a23_status_by_purpose", "a24_home_ownership", "a40_purpose_mix",
-                "a18_rate_by_state_status", "a44_purpose_term_risk"]:
+                "a18_rate_by_state_status", "a44_purpose_term_risk", "a43_segment_risk", "a05_yoy_funded"]:
         lines = plan(E.queries()[key](spark, SMALL)).split("\n")
         for i, line in enumerate(lines):
-            if "Exchange SinglePartition" in line or ("Exchange hashpartitioning" in line and "Window" in lines[i - 2]):
-                below = "\n".join(lines[i + 1:i + 3])
-                assert "HashAggregate" in below, (key, line)
+            into_window = "Exchange hashpartitioning" in line and any("Window" in x for x in lines[max(0, i - 3):i])
+            if "Exchange SinglePartition" in line or into_window:
+                assert _fed_by_aggregate(lines, i), (key, line)
+
+
+def test_no_raw_rows_into_one_partition_anywhere(spark):
+    for key, fn in E.queries().items():
+        lines = plan(fn(spark, SMALL)).split("\n")
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line:
+                assert _fed_by_aggregate(lines, i), (key, line)
 
 
 def test_segment_risk_scans_once_without_join(spark):
