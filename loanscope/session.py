@@ -65,3 +65,23 @@ def require_shared_dir(spark: SparkSession) -> str:
             "set spark.checkpoint.dir to a folder shared by all executors"
         )
     return d
+
+
+def scale_conf(shuffle_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle and scan settings sized to the data, for a cluster session.
+
+    ``shuffle_bytes`` is the largest shuffle of the job (for the cleaning
+    job: the order rows plus one partial-sum row per order).  Partitions
+    start at about ``target_partition_bytes`` each and never below twice
+    the core count; AQE then coalesces small ones and splits skewed ones.
+    """
+    parts = max(2 * total_cores, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+    }

@@ -75,3 +75,17 @@ def test_comma_text(spark):
 def test_month_year_code(spark):
     df = spark.createDataFrame([("Dec-1999",), ("Mar-2005",), ("Foo-2011",), ("Dec-99",), (None,)], "t string")
     assert [r.c for r in df.select(month_year_code("t").alias("c")).collect()] == ["1299", "0305", None, None, None]
+
+
+def test_ratios_do_not_overflow_on_large_sums(spark):
+    # sums of a very large table: num * 20000 exceeds bigint, the decimal widening keeps it exact
+    df = spark.createDataFrame([(900_000_000_000_000_000, 1_000_000_000_000_000_000)], "n long, d long")
+    assert df.select(pct("n", "d").alias("p")).collect()[0].p == 90.0
+
+
+def test_scale_conf():
+    from loanscope.session import scale_conf
+
+    conf = scale_conf(shuffle_bytes=100 << 40, total_cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
