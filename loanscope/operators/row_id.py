@@ -16,9 +16,9 @@
 5. broadcast the offsets (size bounded by the partition count) and add
    them to each row's position.
 
-The partition count follows the input's split count (it grows with the
-data) and is at least ``spark.sql.shuffle.partitions``.  Requires a unique
-key order (ties would make positions arbitrary).
+The range partition count is ``spark.sql.shuffle.partitions`` (size it to
+the data, see ``session.scale_conf``); AQE merges ranges that are too
+small.  Requires a unique key order (ties would make positions arbitrary).
 """
 
 from __future__ import annotations
@@ -35,12 +35,13 @@ def with_row_id(df: DataFrame, order_cols, id_col: str = "row_id", num_partition
     spark = df.sparkSession
     base = require_shared_dir(spark)
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    n = num_partitions or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()
-    )
+    # Without an explicit count the range exchange uses the session's shuffle
+    # partitions and AQE may merge neighbouring ranges; merged ranges stay in
+    # key order, so the tags below remain globally ordered.
+    ranged = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
     path = f"{base.rstrip('/')}/loanscope-rowid-{uuid.uuid4().hex}"
     (
-        df.repartitionByRange(n, *cols)
+        ranged
         .sortWithinPartitions(*cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
