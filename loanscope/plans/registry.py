@@ -30,11 +30,7 @@ def reports() -> dict[str, Callable[[DataFrame], DataFrame]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {}
-    for m in _MODULES:
-        for k, fn in m.REPORTS.items():
-            out[k] = getattr(m, "QUERIES", {}).get(k) or _bind(fn)
-    return out
+    return {k: _bind(fn) for k, fn in reports().items()}
 
 
 def oracle_sql() -> dict[str, str]:
