@@ -11,10 +11,10 @@ Plan shape:
   orders LEFT JOIN pay ON orderkey          (sort-merge, hinted: pay keeps
                                              its hash partitioning on the key,
                                              only orders is shuffled to it)
-  ... JOIN (customer JOIN nation) ON custkey (the planner's size check picks
-                                             broadcast while customer is small,
-                                             sort-merge beyond; nation is 25
-                                             rows and is always broadcast)
+  ... JOIN (customer JOIN nation) ON custkey (sort-merge, hinted: customers
+                                             grow with the data too; nation is
+                                             25 rows and the planner's size
+                                             check broadcasts it)
 Column pruning keeps the scans to the columns used.  Partial aggregation
 collapses an order with very many line items before the shuffle; AQE's
 skew-join split covers a customer holding a large share of the orders.
@@ -61,10 +61,11 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     borrower = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
 
-    # Both sides of the order-key join grow with the data (one pay row per
-    # order), so it is a sort-merge join on the key even when a small input
-    # would fit a broadcast: the wide per-loan projection after it then runs
-    # in the join's shuffle partitions instead of in the tasks of one scan.
+    # Both joins have sides that grow with the data (one pay row per order,
+    # one customer per borrower), so they are sort-merge joins even when a
+    # small input would fit a broadcast: the plan is the same at every
+    # scale, and the wide per-loan projection after the joins runs in the
+    # shuffle partitions instead of in the few tasks of one small scan.
     a = (
         orders.join(pay.hint("merge"), orders.o_orderkey == pay.l_orderkey, "left")
         .join(borrower.hint("merge"), orders.o_custkey == borrower.c_custkey)
