@@ -9,10 +9,13 @@ map-side combining collapses repeated keys before the shuffle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanscope.functions.months import month_year_code
+from loanscope.session import require_shared_dir
 
 
 # Columns profiled per aggregate: 3 buffers each, kept under Spark's
@@ -98,23 +101,35 @@ def _interleave(cols: list, sep: Column) -> list:
     return out
 
 
+# Largest set of repeated key hashes shipped to every task (8 bytes each).
+MAX_BROADCAST_HASHES = 4_000_000
+
+
 def duplicate_keys(df: DataFrame, key: str, n_col: str = "occurrences") -> DataFrame:
     """Keys seen more than once (GROUP BY key HAVING COUNT(key) > 1).
 
     COUNT(key) skips NULL keys, so a NULL key is never reported.
 
-    Candidate keys are found on a 64-bit hash first: the shuffle carries
-    8 bytes per distinct key and task instead of the key text.  Only rows
-    whose hash repeats are grouped again on the key itself, which removes
-    hash collisions, so the result is exact.  A hot key (or NULL) is
-    collapsed by partial aggregation on both passes.
+    Candidate keys are found on a 64-bit hash first: that shuffle carries
+    8 bytes per distinct key and task instead of the key text, and partial
+    aggregation collapses a hot key.  The repeated hashes are written to the
+    shared checkpoint folder and counted: when they are few (the normal
+    case: a key is meant to be unique) they are broadcast and the rows whose
+    hash repeats are picked without another shuffle; beyond
+    MAX_BROADCAST_HASHES the pick is a shuffled semi-join.  Those rows are
+    then grouped on the key text itself, which removes hash collisions, so
+    the result is exact.
     """
-    h = F.xxhash64(F.col(key))
-    keyed = df.select(key).filter(F.col(key).isNotNull()).withColumn("_h", h)
+    spark = df.sparkSession
+    keyed = df.select(key).filter(F.col(key).isNotNull()).withColumn("_h", F.xxhash64(F.col(key)))
     repeated = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_h")
+    path = f"{require_shared_dir(spark).rstrip('/')}/loanscope-dup-hashes-{uuid.uuid4().hex}"
+    repeated.write.parquet(path)
+    hashes = spark.read.parquet(path)
+    small = hashes.count() <= MAX_BROADCAST_HASHES
+    picked = keyed.join(F.broadcast(hashes) if small else hashes, "_h", "left_semi")
     return (
-        keyed.join(repeated, "_h", "left_semi")
-        .groupBy(key)
+        picked.groupBy(key)
         .agg(F.count(F.col(key)).alias(n_col))
         .filter(F.col(n_col) > 1)
     )
