@@ -46,11 +46,23 @@ def constant_columns(df: DataFrame, cols=None) -> DataFrame:
     A column is constant when its non-null values are all equal (NULLs are
     ignored, so a column of 0 and NULL counts as constant) and it has at
     least one value.  min/max are computed on the column's own type and
-    shown as text.  Global aggregates over column chunks: each chunk reads
-    only its own columns, so the table is still read once in total.
+    shown as text.
+
+    Global aggregates over column chunks; each chunk reads only its own
+    columns, so the table is still read once in total.  Fixed-width columns
+    (numbers, dates) and text columns go to separate chunks: min/max over
+    text needs a sort-based aggregate, and mixing would pull the numeric
+    columns out of the generated-code hash aggregate too.
     """
     names = list(cols) if cols is not None else df.columns
-    parts = [_profile_chunk(df, names[i:i + PROFILE_CHUNK]) for i in range(0, len(names), PROFILE_CHUNK)]
+    types = dict(df.dtypes)
+    text = [c for c in names if types[c] in ("string", "binary")]
+    fixed = [c for c in names if c not in set(text)]
+    parts = [
+        _profile_chunk(df, group[i:i + PROFILE_CHUNK])
+        for group in (fixed, text)
+        for i in range(0, len(group), PROFILE_CHUNK)
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
