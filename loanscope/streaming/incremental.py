@@ -13,6 +13,9 @@ new files in, instead of re-reading the whole table.
   does not run non-time windows, so the query keeps the finest-grain counts
   as state and each micro-batch applies the window to that (small, static)
   batch in ``foreachBatch`` before writing it.
+* the cleaning job itself (``start_cleaning``) is stateless per row: new
+  raw loan files get their derived columns and are appended to the cleaned
+  table, exactly once per file (file source + Parquet sink + checkpoint).
 
 State and progress live under the session's shared checkpoint folder, so a
 restarted driver resumes where it stopped.
@@ -67,6 +70,29 @@ def start_aggregate(
     return w.start()
 
 
+def start_cleaning(
+    spark: SparkSession,
+    raw_folder: str,
+    raw_schema: StructType,
+    out_folder: str,
+    checkpoint: str | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Append newly arrived raw loan files, with the cleaning job's derived
+    columns, to the Parquet table at ``out_folder``."""
+    from loanscope.operators.cleaning import with_derived
+
+    cleaned = with_derived(loan_stream(spark, raw_folder, raw_schema))
+    w = (
+        cleaned.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", out_folder)
+        .option("checkpointLocation", _checkpoint(spark, "cleaning", checkpoint))
+    )
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
 def start_share(
     spark: SparkSession,
     folder: str,

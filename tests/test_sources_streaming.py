@@ -73,3 +73,24 @@ def test_streaming_reports_match_batch(spark):
     expect = share_of(full, "term", "loan_status").select(
         "term", "loan_status", "number_of_loans", "total_loans", "percentage")
     assert got["share"] == {tuple(r) for r in expect.collect()}
+
+
+def test_streaming_cleaning_appends_new_files_once(spark):
+    from loanscope.operators.cleaning import with_derived
+    from loanscope.sources.loan_view import RAW_COLUMNS, loan_view
+    from loanscope.streaming.incremental import start_cleaning
+
+    raw = loan_view(spark, SMALL)
+    src = tempfile.mkdtemp(prefix="loanscope-raw-")
+    out = tempfile.mkdtemp(prefix="loanscope-clean-")
+    ckpt = tempfile.mkdtemp(prefix="loanscope-clean-ckpt-")
+    first, rest = raw.filter("loan_id % 2 = 0"), raw.filter("loan_id % 2 = 1")
+    first.write.mode("append").parquet(src)
+    start_cleaning(spark, src, raw.schema, out, checkpoint=ckpt).awaitTermination()
+    rest.write.mode("append").parquet(src)
+    start_cleaning(spark, src, raw.schema, out, checkpoint=ckpt).awaitTermination()
+    got = spark.read.parquet(out)
+    expect = with_derived(raw)
+    assert got.count() == raw.count()
+    cols = RAW_COLUMNS + ["issue_year", "payment_timing"]
+    assert got.select(*cols).exceptAll(expect.select(*cols)).count() == 0
