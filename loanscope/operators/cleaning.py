@@ -41,22 +41,32 @@ def blank_to_null(df: DataFrame, cols) -> DataFrame:
     })
 
 
-def with_years(df: DataFrame) -> DataFrame:
-    """issue_year, normalised earliest_cr_line and credit_opened_year.
-
-    Each month text is parsed once into a date column that the derived
-    columns then reference (an attribute, so the parse is not repeated in
-    every expression that uses it).
+def _with_dates(df: DataFrame, *texts: str) -> DataFrame:
+    """Parse month-text columns into ``_<name>_date`` columns.
+
+    Each text is parsed once into a column that the derived columns then
+    reference (an attribute, so the parse is not repeated in every
+    expression that uses it).  Issue and payment months are read as
+    four-digit years, as the source reads them; only the credit-line month
+    is normalised from two digits.
     """
-    df = df.withColumns({
-        "_issue_date": parse_month("issue_d", two_digit_years=False),
-        "_cr_date": parse_month("earliest_cr_line"),
-    })
     return df.withColumns({
-        "issue_year": F.year("_issue_date").cast("bigint"),
-        "earliest_cr_line": format_month("_cr_date"),
-        "credit_opened_year": F.year("_cr_date").cast("bigint"),
-    }).drop("_issue_date", "_cr_date")
+        f"_{t}_date": parse_month(t, two_digit_years=(t == "earliest_cr_line")) for t in texts
+    })
+
+
+def _year_columns() -> dict:
+    return {
+        "issue_year": F.year("_issue_d_date").cast("bigint"),
+        "earliest_cr_line": format_month("_earliest_cr_line_date"),
+        "credit_opened_year": F.year("_earliest_cr_line_date").cast("bigint"),
+    }
+
+
+def with_years(df: DataFrame) -> DataFrame:
+    """issue_year, normalised earliest_cr_line and credit_opened_year."""
+    dated = _with_dates(df, "issue_d", "earliest_cr_line")
+    return dated.withColumns(_year_columns()).drop("_issue_d_date", "_earliest_cr_line_date")
 
 
 def payment_timing(term_m: Column, months_paid: Column) -> Column:
@@ -72,23 +82,15 @@ def with_derived(df: DataFrame) -> DataFrame:
     """All columns the reports derive from the raw table, computed once:
     issue_year, credit_opened_year (with earliest_cr_line normalised),
     term_months, months_made_payment and payment_timing."""
-    # issue and payment months are read as four-digit years (as the source
-    # reads them); only the credit-line month is normalised from two digits
-    df = df.withColumns({
-        "_issue_date": parse_month("issue_d", two_digit_years=False),
-        "_last_date": parse_month("last_pymnt_d", two_digit_years=False),
-        "_cr_date": parse_month("earliest_cr_line"),
-    })
-    df = df.withColumns({
-        "issue_year": F.year("_issue_date").cast("bigint"),
-        "earliest_cr_line": format_month("_cr_date"),
-        "credit_opened_year": F.year("_cr_date").cast("bigint"),
+    dated = _with_dates(df, "issue_d", "last_pymnt_d", "earliest_cr_line")
+    out = dated.withColumns({
+        **_year_columns(),
         "term_months": term_months("term"),
-        "months_made_payment": months_between_whole("_issue_date", "_last_date"),
+        "months_made_payment": months_between_whole("_issue_d_date", "_last_pymnt_d_date"),
     })
-    return df.withColumn(
+    return out.withColumn(
         "payment_timing", payment_timing(F.col("term_months"), F.col("months_made_payment"))
-    ).drop("_issue_date", "_last_date", "_cr_date")
+    ).drop("_issue_d_date", "_last_pymnt_d_date", "_earliest_cr_line_date")
 
 
 def drop_columns(df: DataFrame, names) -> DataFrame:
