@@ -87,6 +87,10 @@ def op_top_grade_per_band(df: DataFrame) -> DataFrame:
     (ROW_NUMBER() OVER (PARTITION BY band, status ORDER BY count DESC) = 1,
     ties to the first grade), with the band's average rate, dti and
     installment."""
+    return _top_grade(df).transform(in_order("_band_ord")).drop("_band_ord")
+
+
+def _top_grade(df: DataFrame) -> DataFrame:
     g = (
         _banded(df.filter(F.col("loan_status") == CHARGED_OFF))
         .groupBy("range_of_loan", "_band_ord", "loan_status", "grade")
@@ -105,8 +109,7 @@ def op_top_grade_per_band(df: DataFrame) -> DataFrame:
         avg_hundredths(f"sum(s_dti) {w}", f"sum(c_dti) {w}").alias("average_dti"),
         avg_hundredths(f"sum(s_inst) {w}", f"sum(c_inst) {w}").alias("average_installment"),
     )
-    top = top_per_group(ranked, ["range_of_loan", "loan_status"], [F.desc("grade_counts"), F.asc("grade")])
-    return top.transform(in_order("_band_ord")).drop("_band_ord")
+    return top_per_group(ranked, ["range_of_loan", "loan_status"], [F.desc("grade_counts"), F.asc("grade")])
 
 
 def op_segment_join(df: DataFrame) -> DataFrame:
@@ -117,7 +120,7 @@ def op_segment_join(df: DataFrame) -> DataFrame:
     banded = _banded(df)
     status = share_of(banded, ["range_of_loan", "_band_ord"], "loan_status", n_col="_n",
                       pct_col="percentage_of_status")
-    top = op_top_grade_per_band(df).select(
+    top = _top_grade(df).select(
         "range_of_loan", "loan_status",
         F.col("grade").alias("most_grade_charged_off"),
         F.col("percent_of_grade_in_co_in_range_of_loan").alias("percent_of_the_most_grade_get_co"),
