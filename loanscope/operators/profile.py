@@ -35,8 +35,8 @@ def _profile_chunk(df: DataFrame, names: list) -> DataFrame:
         f"struct('{c}' AS column_name, n{i} AS non_null, lo{i} AS min_value, hi{i} AS max_value)"
         for i, c in enumerate(names)
     )
-    one = df.select(*names).agg(*[F.expr(e) for e in aggs])
-    return one.selectExpr(f"inline(array({rows}))")
+    # aggregate functions in a projection: one global aggregate
+    return df.selectExpr(*aggs).selectExpr(f"inline(array({rows}))")
 
 
 def constant_columns(df: DataFrame, cols=None) -> DataFrame:
