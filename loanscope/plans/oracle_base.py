@@ -130,6 +130,19 @@ def hundredths(x: str) -> str:
     return f"CAST({x} AS DOUBLE) / 100"
 
 
+def share_sql(group: str, sub: str, select: str, source: str = "loans", where: str = "") -> str:
+    """Grouped share query: rows per (group, sub) as number_of_loans, rows
+    per group as total_loans; ``select`` picks the output columns."""
+    w = f" WHERE {where}" if where else ""
+    return (
+        f"WITH sub_counts AS (SELECT {group}, {sub}, count(*) AS number_of_loans FROM {source}"
+        f" GROUP BY {group}, {sub}),"
+        f" group_counts AS (SELECT {group}, CAST(sum(number_of_loans) AS BIGINT) AS total_loans"
+        f" FROM sub_counts GROUP BY {group})"
+        f" SELECT {select} FROM sub_counts JOIN group_counts USING ({group}){w}"
+    )
+
+
 def with_loans(sql: str) -> str:
     """Prefix a report with the loan CTEs; a report's own WITH is merged."""
     body = sql.strip()

@@ -218,20 +218,20 @@ def _pnl_sql(where: str = "", by: str = "") -> str:
 
 
 _GAP_CTES = """
-WITH tb1 AS (
+WITH every_loan AS (
   SELECT purpose,
          sum(total_pymnt) - sum(funded_amnt) - sum(collection_recovery_fee) AS total_profit_all_status,
-         count(loan_id) AS n_all
+         count(*) AS n_all
   FROM loans GROUP BY purpose),
-tb2 AS (
+paid_loan AS (
   SELECT purpose,
          sum(total_pymnt) - sum(funded_amnt) - sum(collection_recovery_fee) AS total_profit,
-         count(loan_id) AS n_fp
+         count(*) AS n_fp
   FROM loans WHERE loan_status = 'Fully Paid' GROUP BY purpose),
 gap AS (
-  SELECT tb1.purpose, total_profit_all_status, total_profit,
+  SELECT every_loan.purpose, total_profit_all_status, total_profit,
          {avg_all} AS avg_all_c, {avg_fp} AS avg_fp_c
-  FROM tb1 JOIN tb2 ON tb1.purpose = tb2.purpose)
+  FROM every_loan JOIN paid_loan ON every_loan.purpose = paid_loan.purpose)
 SELECT purpose,
        CAST(total_profit_all_status AS BIGINT) AS total_profit_all_status,
        CAST(avg_all_c AS DOUBLE) / 100 AS avg_profit_per_loan_all_status,
@@ -252,7 +252,7 @@ ORACLE = {
         "SELECT CAST(sum(funded_amnt) AS BIGINT) AS loans, CAST(sum(total_pymnt) AS BIGINT) AS revenue,"
         " CAST(sum(total_pymnt) - sum(funded_amnt) AS BIGINT) AS profit FROM loans"),
     "a29_profit_by_year": with_loans(
-        "SELECT DISTINCT issue_year AS year, CAST(sum(funded_amnt) AS BIGINT) AS loans,"
+        "SELECT issue_year AS year, CAST(sum(funded_amnt) AS BIGINT) AS loans,"
         " CAST(sum(total_pymnt) AS BIGINT) AS revenue,"
         " CAST(sum(total_pymnt) - sum(funded_amnt) AS BIGINT) AS profit,"
         " CAST(sum(total_pymnt) - sum(funded_amnt) - sum(collection_recovery_fee) AS BIGINT) AS profit_net_fee"
@@ -273,12 +273,14 @@ ORACLE = {
     "a38_loss_by_purpose": _pnl_sql("loan_status = 'Charged Off'", "purpose"),
     "a39_profit_by_purpose_paid": _pnl_sql("loan_status = 'Fully Paid'", "purpose"),
     "a40_purpose_mix": with_loans(
-        "SELECT DISTINCT loan_status, purpose, "
-        + sql_pct("count(loan_id) OVER (PARTITION BY loan_status, purpose)",
-                  "count(loan_id) OVER (PARTITION BY loan_status)")
-        + " AS percent_of_purpose_in_status, "
-        + sql_pct("count(loan_id) OVER (PARTITION BY purpose)", "count(loan_id) OVER ()")
-        + " AS percent_of_purpose_in_total_loans FROM loans"),
+        "WITH cell AS (SELECT loan_status, purpose, count(*) AS n FROM loans GROUP BY loan_status, purpose),"
+        " per_status AS (SELECT loan_status, sum(n) AS n FROM cell GROUP BY loan_status),"
+        " per_purpose AS (SELECT purpose, sum(n) AS n FROM cell GROUP BY purpose)"
+        " SELECT cell.loan_status, cell.purpose, "
+        + sql_pct("cell.n", "per_status.n") + " AS percent_of_purpose_in_status, "
+        + sql_pct("per_purpose.n", "(SELECT count(*) FROM loans)") + " AS percent_of_purpose_in_total_loans"
+        " FROM cell JOIN per_status ON cell.loan_status = per_status.loan_status"
+        " JOIN per_purpose ON cell.purpose = per_purpose.purpose"),
     "a41_profit_by_purpose_all": _pnl_sql("", "purpose"),
     "a42_profit_gap": with_loans(_GAP_CTES),
     "op_join_profit_gap": with_loans(_GAP_CTES),

@@ -16,7 +16,7 @@ from loanscope.functions.arith import avg0, avg2, avg_hundredths, hundredths, pc
 from loanscope.functions.text import present
 from loanscope.operators.cleaning import FULLY_PAID
 from loanscope.operators.shares import in_order, lag_ratio, share_of, two_grain_avg
-from loanscope.plans.oracle_base import CLEANED_SELECT, avg_h, pct as sql_pct, ratio, with_loans
+from loanscope.plans.oracle_base import CLEANED_SELECT, avg_h, pct as sql_pct, ratio, share_sql, with_loans
 from loanscope.sources.store import cleaned
 
 
@@ -207,30 +207,31 @@ REPORTS = {
     "present_money_by_year": present_money_by_year,
 }
 
-_SHARE_FP = (
-    "SELECT {k}, loan_status, total_loans, {p} AS paid_off_rate FROM ("
-    " SELECT {k}, loan_status, count(*) AS n,"
-    " CAST(sum(count(*)) OVER (PARTITION BY {k}) AS BIGINT) AS total_loans"
-    " FROM loans GROUP BY {k}, loan_status) t WHERE loan_status = 'Fully Paid'"
-)
+def _paid_share_sql(k: str) -> str:
+    return share_sql(
+        k, "loan_status",
+        f"{k}, loan_status, total_loans, {sql_pct('number_of_loans', 'total_loans')} AS paid_off_rate",
+        where="loan_status = 'Fully Paid'",
+    )
+
 
 ORACLE = {
     "a01_top5_amounts": with_loans(
-        "SELECT DISTINCT loan_amnt AS top_5_max_amount_for_personal_loans FROM loans "
+        "SELECT loan_amnt AS top_5_max_amount_for_personal_loans FROM loans GROUP BY loan_amnt "
         "ORDER BY loan_amnt DESC LIMIT 5"),
     "a02_bottom5_amounts": with_loans(
-        "SELECT DISTINCT loan_amnt AS top_5_min_amount_for_personal_loans FROM loans "
+        "SELECT loan_amnt AS top_5_min_amount_for_personal_loans FROM loans GROUP BY loan_amnt "
         "ORDER BY loan_amnt LIMIT 5"),
     "a03_max_funded": with_loans("SELECT max(funded_amnt) AS max_funded_amount FROM loans"),
     "a04_min_rate_by_grade": with_loans(
         "SELECT grade, CAST(min(int_rate_bp) AS DOUBLE) / 100 AS lowest_int_rate FROM loans GROUP BY grade"),
     "a05_yoy_funded": with_loans(
-        "SELECT issue_year, total_amount_funded, amount_funded_last_year, "
-        f"{sql_pct('total_amount_funded', 'amount_funded_last_year')} AS percent_of_last_year FROM ("
-        " SELECT issue_year, total_amount_funded,"
-        " lag(total_amount_funded) OVER (ORDER BY issue_year) AS amount_funded_last_year FROM ("
-        "  SELECT DISTINCT issue_year, CAST(sum(funded_amnt) OVER (PARTITION BY issue_year) AS BIGINT)"
-        "  AS total_amount_funded FROM loans) t1) t2"),
+        "WITH yearly AS (SELECT issue_year, CAST(sum(funded_amnt) AS BIGINT) AS total_amount_funded"
+        " FROM loans GROUP BY issue_year),"
+        " with_prev AS (SELECT *, lag(total_amount_funded) OVER (ORDER BY issue_year) AS amount_funded_last_year"
+        " FROM yearly)"
+        " SELECT issue_year, total_amount_funded, amount_funded_last_year, "
+        f"{sql_pct('total_amount_funded', 'amount_funded_last_year')} AS percent_of_last_year FROM with_prev"),
     "a06_money_by_year": with_loans(_money_sql("issue_year", "issue_year")),
     "a07_loans_by_term": with_loans("SELECT term, count(loan_id) AS total_loans FROM loans GROUP BY term"),
     "a08_loans_by_term_status": with_loans(
@@ -239,21 +240,24 @@ ORACLE = {
         f"SELECT term, loan_status, {avg_h('sum(int_rate_bp)', 'count(int_rate_bp)')} AS avg_int_rate "
         "FROM loans GROUP BY term, loan_status"),
     "a10_money_by_term": with_loans(_money_sql("term", "term", with_count=False)),
-    "a11_paid_rate_by_term": with_loans(_SHARE_FP.format(k="term", p=sql_pct("n", "total_loans"))),
+    "a11_paid_rate_by_term": with_loans(_paid_share_sql("term")),
     "a12_money_by_grade": with_loans(_money_sql("grade", "grade")),
-    "a13_paid_rate_by_grade": with_loans(_SHARE_FP.format(k="grade", p=sql_pct("n", "total_loans"))),
+    "a13_paid_rate_by_grade": with_loans(_paid_share_sql("grade")),
     "a14_income_by_grade": with_loans(
-        "SELECT DISTINCT grade, "
-        f"CAST({ratio('sum(annual_inc) OVER (PARTITION BY grade)', 'count(annual_inc) OVER (PARTITION BY grade)', 100)} AS DOUBLE) / 100"
-        " AS average_income FROM loans"),
+        f"SELECT grade, CAST({ratio('sum(annual_inc)', 'count(annual_inc)', 100)} AS DOUBLE) / 100"
+        " AS average_income FROM loans GROUP BY grade"),
     "a16_top_rate_loan": with_loans(
         f"SELECT {CLEANED_SELECT} FROM loans ORDER BY int_rate_bp DESC, loan_id LIMIT 1"),
     "a17_money_by_state": with_loans(_money_sql("addr_state", "addr_state AS state")),
     "a18_rate_by_state_status": with_loans(
-        "SELECT DISTINCT addr_state AS state, loan_status, "
-        f"{avg_h('sum(int_rate_bp) OVER (PARTITION BY addr_state)', 'count(int_rate_bp) OVER (PARTITION BY addr_state)')} AS state_avg_int_rate, "
-        f"{avg_h('sum(int_rate_bp) OVER (PARTITION BY loan_status, addr_state)', 'count(int_rate_bp) OVER (PARTITION BY loan_status, addr_state)')} AS avg_int_rate "
-        "FROM loans"),
+        "WITH by_status AS (SELECT addr_state, loan_status, sum(int_rate_bp) AS s, count(int_rate_bp) AS c"
+        " FROM loans GROUP BY addr_state, loan_status),"
+        " by_state AS (SELECT addr_state, sum(int_rate_bp) AS s, count(int_rate_bp) AS c"
+        " FROM loans GROUP BY addr_state)"
+        " SELECT by_status.addr_state AS state, loan_status, "
+        f"{avg_h('by_state.s', 'by_state.c')} AS state_avg_int_rate, "
+        f"{avg_h('by_status.s', 'by_status.c')} AS avg_int_rate "
+        "FROM by_status JOIN by_state ON by_status.addr_state = by_state.addr_state"),
     "a19_income_by_state": with_loans(
         f"SELECT addr_state AS state, {ratio('sum(annual_inc)', 'count(annual_inc)', 1)} AS avg_income "
         "FROM loans GROUP BY addr_state"),

@@ -205,75 +205,76 @@ def _band_case(col: str = "funded_amnt") -> str:
     return AMOUNT_BANDS.label_sql(col)
 
 
-_TB6 = f"""
-SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY range_of_loan, loan_status
-                               ORDER BY grade_counts DESC, grade) AS grade_ranking
-  FROM (
-    SELECT DISTINCT range_of_loan, loan_status, grade,
-      count(loan_id) OVER (PARTITION BY range_of_loan, loan_status, grade) AS grade_counts,
-      {sql_pct("count(loan_id) OVER (PARTITION BY range_of_loan, loan_status, grade)",
-               "count(loan_id) OVER (PARTITION BY range_of_loan, loan_status)")} AS percent_of_grade_in_co_in_range_of_loan,
-      {avg_h("sum(int_rate_bp) OVER (PARTITION BY range_of_loan, loan_status)",
-             "count(int_rate_bp) OVER (PARTITION BY range_of_loan, loan_status)")} AS average_int_rate,
-      {avg_h("sum(dti_bp) OVER (PARTITION BY range_of_loan, loan_status)",
-             "count(dti_bp) OVER (PARTITION BY range_of_loan, loan_status)")} AS average_dti,
-      {avg_h("sum(installment_c) OVER (PARTITION BY range_of_loan, loan_status)",
-             "count(installment_c) OVER (PARTITION BY range_of_loan, loan_status)")} AS average_installment
-    FROM (SELECT *, {_band_case()} AS range_of_loan FROM loans) tb3
-    WHERE loan_status = 'Charged Off') tb4) tb5
-WHERE grade_ranking = 1
+# Oracle: grouped SQL with one summary per question, joined on the band.
+_BANDED = f"banded AS (SELECT *, {_band_case()} AS range_of_loan FROM loans)"
+_CO_GRADES = (
+    "co_grades AS (SELECT range_of_loan, grade, count(*) AS grade_counts FROM banded"
+    " WHERE loan_status = 'Charged Off' GROUP BY range_of_loan, grade)"
+)
+_CO_BAND = (
+    "co_band AS (SELECT range_of_loan, count(*) AS co_n,"
+    " sum(int_rate_bp) AS s_rate, count(int_rate_bp) AS c_rate,"
+    " sum(dti_bp) AS s_dti, count(dti_bp) AS c_dti,"
+    " sum(installment_c) AS s_inst, count(installment_c) AS c_inst,"
+    " count(*) FILTER (WHERE home_ownership = 'OWN') AS own_n"
+    " FROM banded WHERE loan_status = 'Charged Off' GROUP BY range_of_loan)"
+)
+_LEADER = (
+    "leader AS (SELECT range_of_loan, grade, grade_counts FROM ("
+    " SELECT *, row_number() OVER (PARTITION BY range_of_loan ORDER BY grade_counts DESC, grade) AS pos"
+    " FROM co_grades) ranked WHERE pos = 1)"
+)
+
+_TOP_GRADE_SQL = f"""
+WITH {_BANDED}, {_CO_GRADES}, {_CO_BAND}, {_LEADER}
+SELECT leader.range_of_loan, 'Charged Off' AS loan_status, leader.grade, leader.grade_counts,
+  {sql_pct("leader.grade_counts", "co_band.co_n")} AS percent_of_grade_in_co_in_range_of_loan,
+  {avg_h("s_rate", "c_rate")} AS average_int_rate,
+  {avg_h("s_dti", "c_dti")} AS average_dti,
+  {avg_h("s_inst", "c_inst")} AS average_installment
+FROM leader JOIN co_band ON leader.range_of_loan = co_band.range_of_loan
 """
 
 _SEGMENT_SQL = f"""
-WITH cte AS (
-  SELECT *,
-    {sql_pct("count(loan_id) OVER (PARTITION BY range_of_loan, loan_status)",
-             "count(loan_id) OVER (PARTITION BY range_of_loan)")} AS percentage_of_status,
-    count(loan_id) OVER (PARTITION BY range_of_loan) AS total_loans
-  FROM (SELECT *, {_band_case()} AS range_of_loan FROM loans) tb1)
-SELECT DISTINCT cte.range_of_loan, cte.total_loans, cte.loan_status, cte.percentage_of_status,
-  tb6.grade AS most_grade_charged_off,
-  tb6.percent_of_grade_in_co_in_range_of_loan AS percent_of_the_most_grade_get_co,
-  tb6.average_int_rate, tb6.average_dti, tb6.average_installment,
-  hometb3.percentage_of_home_ownership_status AS percent_house_owner_get_co
-FROM cte
-JOIN ({_TB6}) tb6 ON tb6.range_of_loan = cte.range_of_loan AND tb6.loan_status = cte.loan_status
-JOIN (
-  SELECT * FROM (
-    SELECT DISTINCT range_of_loan, loan_status, home_ownership,
-      {sql_pct("count(loan_id) OVER (PARTITION BY range_of_loan, loan_status, home_ownership)",
-               "count(loan_id) OVER (PARTITION BY range_of_loan, loan_status)")} AS percentage_of_home_ownership_status
-    FROM (SELECT *, {_band_case()} AS range_of_loan FROM loans) hometb1) hometb2
-  WHERE hometb2.home_ownership = 'OWN' AND hometb2.loan_status = 'Charged Off') hometb3
-ON cte.range_of_loan = hometb3.range_of_loan AND cte.loan_status = hometb3.loan_status
+WITH {_BANDED}, {_CO_GRADES}, {_CO_BAND}, {_LEADER},
+all_band AS (SELECT range_of_loan, count(*) AS total_loans FROM banded GROUP BY range_of_loan)
+SELECT all_band.range_of_loan, all_band.total_loans, 'Charged Off' AS loan_status,
+  {sql_pct("co_band.co_n", "all_band.total_loans")} AS percentage_of_status,
+  leader.grade AS most_grade_charged_off,
+  {sql_pct("leader.grade_counts", "co_band.co_n")} AS percent_of_the_most_grade_get_co,
+  {avg_h("s_rate", "c_rate")} AS average_int_rate,
+  {avg_h("s_dti", "c_dti")} AS average_dti,
+  {avg_h("s_inst", "c_inst")} AS average_installment,
+  {sql_pct("co_band.own_n", "co_band.co_n")} AS percent_house_owner_get_co
+FROM all_band
+JOIN co_band ON co_band.range_of_loan = all_band.range_of_loan
+JOIN leader ON leader.range_of_loan = all_band.range_of_loan
+WHERE co_band.own_n > 0
 """
 
 
 def _purpose_term_sql(where: str = "") -> str:
     w = f" WHERE {where}" if where else ""
     return with_loans(
-        "SELECT * FROM (SELECT DISTINCT purpose, term,"
-        " count(loan_id) OVER (PARTITION BY purpose, term) AS term_counts, loan_status, "
-        + sql_pct("count(loan_id) OVER (PARTITION BY purpose, term, loan_status)",
-                  "count(loan_id) OVER (PARTITION BY purpose, term)")
-        + " AS percent_of_status, "
-        + avg_h("sum(int_rate_bp) OVER (PARTITION BY purpose, term, loan_status)",
-                "count(int_rate_bp) OVER (PARTITION BY purpose, term, loan_status)")
-        + f" AS average_int_rate FROM loans{w}) tb1 WHERE tb1.loan_status = 'Charged Off'"
+        "WITH per_status AS (SELECT purpose, term, loan_status, count(*) AS n,"
+        f" sum(int_rate_bp) AS s, count(int_rate_bp) AS c FROM loans{w} GROUP BY purpose, term, loan_status),"
+        " per_term AS (SELECT purpose, term, sum(n) AS term_counts FROM per_status GROUP BY purpose, term)"
+        " SELECT p.purpose, p.term, CAST(t.term_counts AS BIGINT) AS term_counts, p.loan_status, "
+        + sql_pct("p.n", "t.term_counts") + " AS percent_of_status, "
+        + avg_h("p.s", "p.c") + " AS average_int_rate"
+        " FROM per_status p JOIN per_term t ON p.purpose = t.purpose AND p.term = t.term"
+        " WHERE p.loan_status = 'Charged Off'"
     )
 
 
 ORACLE = {
     "a43_segment_risk": with_loans(_SEGMENT_SQL),
     "op_segment_join": with_loans(_SEGMENT_SQL),
-    "op_top_grade_per_band": with_loans(
-        "SELECT range_of_loan, loan_status, grade, grade_counts, percent_of_grade_in_co_in_range_of_loan,"
-        f" average_int_rate, average_dti, average_installment FROM ({_TB6}) t"),
+    "op_top_grade_per_band": with_loans(_TOP_GRADE_SQL),
     "a44_purpose_term_risk": _purpose_term_sql(),
     "a45_purpose_term_risk_band": _purpose_term_sql("funded_amnt > 5000 AND funded_amnt <= 10000"),
     "a46_status_counts_filtered": with_loans(
-        "SELECT DISTINCT loan_status, count(loan_id) OVER (PARTITION BY loan_status) AS number_of_loans"
-        f" FROM loans WHERE funded_amnt > 5000 AND funded_amnt <= 10000 AND int_rate_bp > {A46_MIN_RATE_BP}"
-        " AND purpose = 'MACHINERY' AND term = '60 months'"),
+        "SELECT loan_status, count(*) AS number_of_loans FROM loans"
+        f" WHERE funded_amnt > 5000 AND funded_amnt <= 10000 AND int_rate_bp > {A46_MIN_RATE_BP}"
+        " AND purpose = 'MACHINERY' AND term = '60 months' GROUP BY loan_status"),
 }

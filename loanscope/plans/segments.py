@@ -15,7 +15,7 @@ from loanscope.functions.arith import avg2, avg_hundredths, pct
 from loanscope.functions.bands import INCOME_BANDS
 from loanscope.operators.cleaning import CHARGED_OFF
 from loanscope.operators.shares import in_order, share_of
-from loanscope.plans.oracle_base import avg_h, pct as sql_pct, ratio, with_loans
+from loanscope.plans.oracle_base import avg_h, pct as sql_pct, ratio, share_sql, with_loans
 
 
 def a20_income_bands(df: DataFrame) -> DataFrame:
@@ -144,55 +144,44 @@ def _income_case() -> str:
     return INCOME_BANDS.label_sql("annual_inc")
 
 
-def _windowed_share(outer_keys: str, group: str, sub: str, select: str, where: str = "") -> str:
-    """The DISTINCT-over-window form of the source, as the oracle."""
-    return (
-        f"SELECT {select} FROM (SELECT DISTINCT {outer_keys},"
-        f" count(loan_id) OVER (PARTITION BY {group}, {sub}) AS number_of_loans,"
-        f" count(loan_id) OVER (PARTITION BY {group}) AS total_loans"
-        f" FROM loans) t {where}"
-    )
+def _share(group: str, sub: str, cols: str, where: str = "") -> str:
+    return share_sql(group, sub, f"{cols}, {sql_pct('number_of_loans', 'total_loans')} AS percentage", where=where)
 
 
 ORACLE = {
     "a20_income_bands": with_loans(
-        "SELECT DISTINCT group_of_income, loan_status,"
-        " count(loan_id) OVER (PARTITION BY group_of_income) AS total_loans, "
-        + sql_pct("count(loan_id) OVER (PARTITION BY group_of_income, loan_status)",
-                  "count(loan_id) OVER (PARTITION BY group_of_income)")
-        + f" AS percent_to_total_loans FROM (SELECT loan_id, loan_status, {_income_case()} AS group_of_income"
-        " FROM loans) tb1"),
+        share_sql(
+            "group_of_income", "loan_status",
+            "group_of_income, loan_status, total_loans, "
+            f"{sql_pct('number_of_loans', 'total_loans')} AS percent_to_total_loans",
+            source=f"(SELECT loan_status, {_income_case()} AS group_of_income FROM loans) AS income_banded",
+        )),
     "a21_loans_by_purpose": with_loans(
-        "SELECT DISTINCT purpose, count(loan_id) OVER (PARTITION BY purpose) AS number_of_loans FROM loans"),
+        "SELECT purpose, count(*) AS number_of_loans FROM loans GROUP BY purpose"),
     "a22_avg_by_purpose": with_loans(
         "SELECT purpose, "
         f"CAST({ratio('sum(funded_amnt)', 'count(funded_amnt)', 100)} AS DOUBLE) / 100 AS avg_amount_of_money_funded, "
         f"{avg_h('sum(int_rate_bp)', 'count(int_rate_bp)')} AS avg_int_rate FROM loans GROUP BY purpose"),
-    "a23_status_by_purpose": with_loans(_windowed_share(
-        "purpose, loan_status", "purpose", "loan_status",
-        f"purpose, loan_status, number_of_loans, total_loans, {sql_pct('number_of_loans', 'total_loans')} AS percentage")),
+    "a23_status_by_purpose": with_loans(_share(
+        "purpose", "loan_status", "purpose, loan_status, number_of_loans, total_loans")),
     "a24_home_ownership": with_loans(
-        "SELECT DISTINCT home_ownership, count(loan_id) OVER (PARTITION BY home_ownership) AS number_of_loans, "
-        + sql_pct("count(loan_id) OVER (PARTITION BY home_ownership)", "count(*) OVER ()")
+        "SELECT home_ownership, count(*) AS number_of_loans, "
+        + sql_pct("count(*)", "(SELECT count(*) FROM loans)")
         + " AS percentage_to_total_loans, "
-        + avg_h("sum(int_rate_bp) OVER (PARTITION BY home_ownership)",
-                "count(int_rate_bp) OVER (PARTITION BY home_ownership)")
-        + " AS avg_int_rate FROM loans"),
-    "a25_owner_share_by_state": with_loans(_windowed_share(
-        "addr_state, home_ownership", "addr_state", "home_ownership",
-        f"addr_state, home_ownership, total_loans, number_of_loans, {sql_pct('number_of_loans', 'total_loans')} AS percentage",
-        "WHERE home_ownership = 'OWN'")),
-    "a26_status_by_ownership": with_loans(_windowed_share(
-        "home_ownership, loan_status", "home_ownership", "loan_status",
-        f"home_ownership, loan_status, number_of_loans, {sql_pct('number_of_loans', 'total_loans')} AS percentage")),
+        + avg_h("sum(int_rate_bp)", "count(int_rate_bp)")
+        + " AS avg_int_rate FROM loans GROUP BY home_ownership"),
+    "a25_owner_share_by_state": with_loans(_share(
+        "addr_state", "home_ownership", "addr_state, home_ownership, total_loans, number_of_loans",
+        where="home_ownership = 'OWN'")),
+    "a26_status_by_ownership": with_loans(_share(
+        "home_ownership", "loan_status", "home_ownership, loan_status, number_of_loans")),
     "a27_credit_history": with_loans(
         "SELECT loan_id, loan_status, delinq_2yrs, pub_rec, mths_since_last_delinq, inq_last_6mths,"
         " debt_settlement_flag, total_acc FROM loans WHERE loan_status = 'Charged Off'"),
     "r01_status_by_year": with_loans(
         "SELECT issue_year, loan_status, count(*) AS total_loans FROM loans GROUP BY issue_year, loan_status"),
-    "r02_status_rate_by_year": with_loans(_windowed_share(
-        "issue_year, loan_status", "issue_year", "loan_status",
-        f"issue_year, loan_status, number_of_loans, total_loans, {sql_pct('number_of_loans', 'total_loans')} AS percentage")),
+    "r02_status_rate_by_year": with_loans(_share(
+        "issue_year", "loan_status", "issue_year, loan_status, number_of_loans, total_loans")),
     "r03_recovery_rate_by_year": with_loans(
         "SELECT issue_year, count(*) AS charged_off_loans, CAST(sum(funded_amnt) AS BIGINT) AS money_funded,"
         " CAST(sum(recoveries) AS BIGINT) AS recoveries, "

@@ -121,7 +121,7 @@ ORACLE = {
         " SELECT left(zip_code, 3) || '-' || strftime(CAST(try_strptime(earliest_cr_line, '%b-%Y') AS DATE), '%m%y')"
         " || '-' || left(home_ownership, 1) || '-' || sub_grade || '-' || upper(left(purpose, 3)) || '-'"
         f" || CAST({_ROUND_DTI} AS VARCHAR) || '-' || CAST(funded_amnt AS VARCHAR) || '-'"
-        " || strftime(CAST(try_strptime(issue_d, '%b-%Y') AS DATE), '%m%y') AS primkey FROM loans) tb1"
+        " || strftime(CAST(try_strptime(issue_d, '%b-%Y') AS DATE), '%m%y') AS primkey FROM loans) keyed"
         " GROUP BY primkey HAVING count(primkey) > 1"),
     "w_row_id": with_loans("SELECT loan_id, row_number() OVER (ORDER BY loan_id) AS row_id FROM loans"),
 }
