@@ -108,3 +108,12 @@ def test_csv_import_to_report_end_to_end(spark, small_loans):
     a = {tuple(r) for r in portfolio.a06_money_by_year(from_csv).collect()}
     b = {tuple(r) for r in portfolio.a06_money_by_year(small_loans).collect()}
     assert a == b
+
+
+def test_command_line_export(spark):
+    from loanscope.__main__ import main
+
+    out = tempfile.mkdtemp(prefix="loanscope-cli-")
+    assert main([SMALL, out, "a06_money_by_year", "a43_segment_risk", "--csv"]) == 0
+    assert spark.read.option("header", True).csv(f"{out}/a06_money_by_year").count() > 0
+    assert spark.read.option("header", True).csv(f"{out}/a43_segment_risk").count() > 0
