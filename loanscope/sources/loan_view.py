@@ -55,8 +55,10 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
-    # Payments per loan: exact cents, then whole dollars scaled down 14x.
-    cents = (F.sum(F.col("l_extendedprice").cast("decimal(12,2)")) * 100).cast("bigint")
+    # Payments per loan: exact cents per line item (decimal rounding of the
+    # price), summed as bigint - a fixed-width buffer, so the partial sums
+    # stay in the generated hash aggregate - then whole dollars scaled 14x.
+    cents = F.sum((F.col("l_extendedprice").cast("decimal(12,2)") * 100).cast("bigint"))
     pay = lineitem.groupBy("l_orderkey").agg(idiv(cents, F.lit(1400)).alias("paid"))
 
     borrower = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
