@@ -44,6 +44,27 @@ def shape(plan: str) -> dict:
     return dict(scans=len(scans), cols=read, pushed=pushed, ex=ex, joins=joins, raw_single=raw_single)
 
 
+_NO_CODEGEN_OK = ("Exchange", "Scan", "FileScan", "Union", "ReusedSubquery", "AdaptiveSparkPlan", "Subquery", "ReusedExchange", "TakeOrderedAndProject",
+                  "Generate", "Window", "WindowGroupLimit", "Sort ", "BroadcastExchange", "InMemoryTableScan",
+                  "SortAggregate", "CollectLimit", "ColumnarToRow")
+
+
+def outside_codegen(plan: str) -> list:
+    """Operators of a non-adaptive physical plan that run outside
+    whole-stage code generation (lines without the ``*(n)`` marker),
+    ignoring exchanges, scans and operators that never generate code."""
+    out = []
+    for ln in plan.split("\n"):
+        body = ln.strip().lstrip(":+- ").strip()
+        if not body or body.startswith("*(") or body.startswith("+-"):
+            continue
+        name = body.split(" ")[0].split("(")[0]
+        if any(body.startswith(x.strip()) for x in _NO_CODEGEN_OK):
+            continue
+        out.append(name)
+    return out
+
+
 def main() -> None:
     import __spark_entry__ as E
     from loanscope.session import local_session
@@ -59,16 +80,22 @@ def main() -> None:
         "exchanges: hash / range / single-partition / broadcast.  `raw→1` marks a",
         "single-partition exchange fed by unaggregated rows (none expected).",
         "",
-        "| key | scans | cols | pushed filters | hash | range | single | bcast | joins | raw→1 |",
-        "|---|---|---|---|---|---|---|---|---|---|",
+        "`no codegen` lists operators outside whole-stage code generation in the",
+        "non-adaptive plan (exchanges, scans, windows and sorts excluded).",
+        "",
+        "| key | scans | cols | pushed filters | hash | range | single | bcast | joins | raw→1 | no codegen |",
+        "|---|---|---|---|---|---|---|---|---|---|---|",
     ]
     for key, fn in E.queries().items():
         s = shape(fn(spark, sf)._jdf.queryExecution().executedPlan().toString())
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        static = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
         e = s["ex"]
         out.append(
             f"| {key} | {s['scans']} | {','.join(map(str, s['cols']))} | {'; '.join(s['pushed'])[:90]} | "
             f"{e['hash']} | {e['range']} | {e['single']} | {e['broadcast']} | {', '.join(s['joins'])} | "
-            f"{'YES' if s['raw_single'] else ''} |"
+            f"{'YES' if s['raw_single'] else ''} | {', '.join(sorted(set(outside_codegen(static))))} |"
         )
     from loanscope.sources.store import build_loans
 
