@@ -75,3 +75,21 @@ def test_dense_ids_read_the_written_tags(spark):
 def test_duplicate_check_shuffles_hashes(spark):
     p = plan(E.queries()["w_duplicate_keys"](spark, SMALL))
     assert "xxhash64" in p and "LeftSemi" in p
+
+
+def test_reports_stay_in_generated_code(spark):
+    """Every projection, filter, aggregate and join of every report runs
+    inside whole-stage code generation (no Python UDF, no fallback)."""
+    import importlib.util
+    from pathlib import Path
+
+    spec = importlib.util.spec_from_file_location(
+        "plan_report", Path(__file__).resolve().parents[1] / "scripts" / "plan_report.py")
+    pr = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(pr)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for key, fn in E.queries().items():
+            assert pr.outside_codegen(plan(fn(spark, SMALL))) == [], key
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
