@@ -44,9 +44,6 @@ class Banding:
         """1..len(labels) in band order; Unknown sorts last."""
         return F.expr(self.ordinal_sql(col))
 
-    def label_order(self) -> list:
-        return list(self.labels) + [UNKNOWN]
-
 
 # Band bounds and labels of the source reports.
 # Income bands (annual_inc, dollars).  The source labels the fifth band
