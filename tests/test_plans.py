@@ -93,3 +93,14 @@ def test_reports_stay_in_generated_code(spark):
             assert pr.outside_codegen(plan(fn(spark, SMALL))) == [], key
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_reports_only_shuffle_aggregated_rows(spark):
+    """Every hash or single-partition exchange of every report is fed by an
+    aggregate (partial aggregation before the shuffle): no report moves raw
+    loan rows across the network; a hot group collapses map-side."""
+    for key, fn in E.queries().items():
+        lines = plan(fn(spark, SMALL)).split("\n")
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning" in line or "Exchange SinglePartition" in line:
+                assert _fed_by_aggregate(lines, i), (key, line)
