@@ -128,3 +128,15 @@ def test_duplicate_keys_shuffled_path(spark, monkeypatch):
     monkeypatch.setattr(profile, "MAX_BROADCAST_HASHES", 0)
     slow = {(r.k, r.occurrences) for r in duplicate_keys(df, "k").collect()}
     assert fast == slow == {("k1", 2), ("k3", 3)}
+
+
+def test_duplicate_keys_on_reimported_rows(spark, small_loans):
+    """Rows imported twice are found, each key exactly twice."""
+    from loanscope.operators.profile import composite_key
+
+    twice = small_loans.filter("loan_id % 100 = 3")
+    data = small_loans.unionByName(twice)
+    keyed = data.select(composite_key(dti="(dti_bp + 50) div 100").alias("primkey"))
+    got = duplicate_keys(keyed, "primkey").collect()
+    assert len(got) == twice.count() > 0
+    assert {r.occurrences for r in got} == {2}
