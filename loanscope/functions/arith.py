@@ -8,9 +8,11 @@ arithmetic instead: ``round_half_up(num * scale / den)`` equals
 ``(2 * num * scale + den) div (2 * den)`` for ``num >= 0, den > 0``; the
 sign is restored afterwards so negative values round symmetrically.
 
-The operands are widened to ``decimal(38,0)`` first so that sums over a
-very large table cannot overflow ``bigint`` when multiplied by the scale.
-``div`` on decimals returns ``bigint``.
+The operands are widened to ``decimal(38,6)`` first: sums over a very
+large table cannot overflow ``bigint`` when multiplied by the scale, and
+money with cents (or any value with up to 6 decimals) is rounded exactly
+too, since the identity holds for rational operands.  ``div`` on decimals
+returns ``bigint``.
 
 Arguments are SQL expression text (a column name, an aggregate such as
 ``sum(x)``, or a window such as ``sum(n) OVER (PARTITION BY g)``), and each
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WIDE = "DECIMAL(38,0)"
+_WIDE = "DECIMAL(38,6)"
 
 
 def ratio_sql(num: str, den: str, scale: int) -> str:

@@ -89,3 +89,11 @@ def test_scale_conf():
     conf = scale_conf(shuffle_bytes=100 << 40, total_cores=8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_ratios_of_fractional_money(spark):
+    # sums with cents: 1.005 / 100 -> 1.005 % -> 1.01 (half up); 2.675 / 1 -> 267.5 %
+    df = spark.createDataFrame([("1.005", "100"), ("2.675", "1"), ("-0.125", "1")], "n string, d string")
+    df = df.selectExpr("CAST(n AS DECIMAL(14,3)) AS n", "CAST(d AS DECIMAL(14,3)) AS d")
+    got = df.select(pct("n", "d").alias("p"), avg2("n", "d").alias("a")).collect()
+    assert [(r.p, r.a) for r in got] == [(1.01, 0.01), (267.5, 2.68), (-12.5, -0.13)]
