@@ -93,6 +93,30 @@ def with_derived(df: DataFrame) -> DataFrame:
     ).drop("_issue_d_date", "_last_pymnt_d_date", "_earliest_cr_line_date")
 
 
+def standardise_units(df: DataFrame) -> DataFrame:
+    """A loan file in its original units -> the loan table's units.
+
+    ``int_rate`` (``'10.65%'`` or 10.65) becomes ``int_rate_bp`` (1065),
+    ``dti`` (27.65) becomes ``dti_bp`` (2765) and ``installment`` (162.87
+    dollars) becomes ``installment_c`` (16287 cents), each rounded half-up
+    from its decimal text; columns that are absent are left alone.  Money
+    columns may keep cents (decimal): the reports' ratios are exact for
+    fractional sums too.
+    """
+    conversions = {
+        "int_rate": ("int_rate_bp", "regexp_replace(CAST(int_rate AS STRING), '%', '')"),
+        "dti": ("dti_bp", "CAST(dti AS STRING)"),
+        "installment": ("installment_c", "CAST(installment AS STRING)"),
+    }
+    out = df
+    for src, (dst, text) in conversions.items():
+        if src in df.columns:
+            out = out.withColumn(
+                dst, F.expr(f"CAST(round(try_cast(trim({text}) AS DECIMAL(18,4)) * 100, 0) AS BIGINT)")
+            ).drop(src)
+    return out
+
+
 def drop_columns(df: DataFrame, names) -> DataFrame:
     """DROP COLUMN for the names present (absent names are ignored)."""
     return df.drop(*names)

@@ -140,3 +140,20 @@ def test_duplicate_keys_on_reimported_rows(spark, small_loans):
     got = duplicate_keys(keyed, "primkey").collect()
     assert len(got) == twice.count() > 0
     assert {r.occurrences for r in got} == {2}
+
+
+def test_standardise_units_round_trip(spark, small_loans):
+    from loanscope.operators.cleaning import standardise_units
+    from loanscope.plans.portfolio import a09_rate_by_term_status
+
+    original = small_loans.selectExpr(
+        "*",
+        "concat(CAST(CAST(int_rate_bp AS DECIMAL(9,2)) / 100 AS STRING), '%') AS int_rate",
+        "CAST(dti_bp AS DECIMAL(9,2)) / 100 AS dti",
+        "CAST(installment_c AS DECIMAL(14,2)) / 100 AS installment",
+    ).drop("int_rate_bp", "dti_bp", "installment_c")
+    back = standardise_units(original)
+    cols = ["loan_id", "int_rate_bp", "dti_bp", "installment_c"]
+    assert back.select(*cols).exceptAll(small_loans.select(*cols)).count() == 0
+    assert sorted(map(tuple, a09_rate_by_term_status(back).collect())) == sorted(
+        map(tuple, a09_rate_by_term_status(small_loans).collect()))
