@@ -35,7 +35,14 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    return (spark.conf.get("spark.master", "") or "").startswith("local")
+
+
+def app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # a remote (Spark Connect) session has no SparkContext
+        return spark.conf.get("spark.app.id", "remote")
 
 
 def shared_dir(spark: SparkSession) -> str | None:
@@ -44,11 +51,15 @@ def shared_dir(spark: SparkSession) -> str | None:
     Reads the session's setting; sets a private one only for a local
     session that has none.
     """
-    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: only the configured folder is known
+        return conf_dir
     d = sc.getCheckpointDir()
     if d:
         return d
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    conf_dir = conf_dir or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()

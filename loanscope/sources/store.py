@@ -29,7 +29,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from loanscope.operators.cleaning import FIRST_DROP, SECOND_DROP, with_derived
-from loanscope.session import shared_dir
+from loanscope.session import app_id, shared_dir
 from loanscope.sources.loan_view import RAW_COLUMNS, loan_view
 
 DERIVED_COLUMNS = ["issue_year", "credit_opened_year", "term_months", "months_made_payment", "payment_timing"]
@@ -42,7 +42,7 @@ _lock = threading.Lock()
 
 def _key(spark: SparkSession, sf_dir: str):
     path = sf_dir if "://" in sf_dir else os.path.abspath(sf_dir)
-    return (spark.sparkContext.applicationId, path.rstrip("/"))
+    return (app_id(spark), path.rstrip("/"))
 
 
 def build_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
