@@ -36,3 +36,33 @@ def test_ratios_match_rational_rounding(spark, rows):
         assert r.p == half_up(q * 10000) / 100
         assert r.a == half_up(q * 100) / 100
         assert r.h == half_up(q) / 100
+
+
+groups = st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from("xyz")), min_size=1, max_size=80)
+
+
+@settings(max_examples=10, deadline=None)
+@given(groups)
+def test_share_of_matches_brute_force(spark, rows):
+    from collections import Counter
+
+    from loanscope.operators.shares import share_of
+
+    df = spark.createDataFrame(rows, "g string, s string")
+    got = {(r.g, r.s): (r.number_of_loans, r.total_loans, r.percentage) for r in share_of(df, "g", "s").collect()}
+    cell = Counter(rows)
+    per_group = Counter(g for g, _ in rows)
+    expect = {
+        (g, s): (n, per_group[g], half_up(Fraction(n, per_group[g]) * 10000) / 100) for (g, s), n in cell.items()
+    }
+    assert got == expect
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(0, 10**6), min_size=1, max_size=60, unique=True))
+def test_dense_ids_match_sorted_order(spark, keys):
+    from loanscope.operators.row_id import with_row_id
+
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r.k: r.row_id for r in with_row_id(df, "k").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys), start=1)}
