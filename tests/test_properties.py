@@ -66,3 +66,42 @@ def test_dense_ids_match_sorted_order(spark, keys):
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     got = {r.k: r.row_id for r in with_row_id(df, "k").collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys), start=1)}
+
+
+rated = st.lists(
+    st.tuples(st.sampled_from("ab"), st.sampled_from("xyz"), st.integers(500, 2500)), min_size=1, max_size=60
+)
+
+
+@settings(max_examples=10, deadline=None)
+@given(rated)
+def test_two_grain_average_matches_brute_force(spark, rows):
+    from loanscope.operators.shares import two_grain_avg
+
+    df = spark.createDataFrame(rows, "st string, s string, r long")
+    got = {(x.st, x.s): (x.c, x.f) for x in two_grain_avg(df, "st", "s", "r", "c", "f").collect()}
+    expect = {}
+    for st_, s_, _ in rows:
+        coarse = [r for a, _, r in rows if a == st_]
+        fine = [r for a, b, r in rows if a == st_ and b == s_]
+        expect[(st_, s_)] = (half_up(Fraction(sum(coarse), len(coarse))) / 100,
+                             half_up(Fraction(sum(fine), len(fine))) / 100)
+    assert got == expect
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("pq"), st.sampled_from("ABCD")), min_size=1, max_size=60))
+def test_top_per_group_matches_brute_force(spark, rows):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from loanscope.operators.shares import top_per_group
+
+    counts = spark.createDataFrame(rows, "band string, grade string").groupBy("band", "grade").count()
+    got = {r.band: r.grade for r in top_per_group(counts, "band", [F.desc("count"), F.asc("grade")]).collect()}
+    c = Counter(rows)
+    expect = {}
+    for band in {b for b, _ in rows}:
+        expect[band] = min((-n, g) for (b, g), n in c.items() if b == band)[1]
+    assert got == expect
