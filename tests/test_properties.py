@@ -21,7 +21,7 @@ pairs = st.lists(
 )
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(pairs)
 def test_ratios_match_rational_rounding(spark, rows):
     df = spark.createDataFrame(rows, "n long, d long")
@@ -41,7 +41,7 @@ def test_ratios_match_rational_rounding(spark, rows):
 groups = st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from("xyz")), min_size=1, max_size=80)
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(groups)
 def test_share_of_matches_brute_force(spark, rows):
     from collections import Counter
@@ -58,7 +58,7 @@ def test_share_of_matches_brute_force(spark, rows):
     assert got == expect
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=60, unique=True))
 def test_dense_ids_match_sorted_order(spark, keys):
     from loanscope.operators.row_id import with_row_id
@@ -73,7 +73,7 @@ rated = st.lists(
 )
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(rated)
 def test_two_grain_average_matches_brute_force(spark, rows):
     from loanscope.operators.shares import two_grain_avg
@@ -89,7 +89,7 @@ def test_two_grain_average_matches_brute_force(spark, rows):
     assert got == expect
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("pq"), st.sampled_from("ABCD")), min_size=1, max_size=60))
 def test_top_per_group_matches_brute_force(spark, rows):
     from collections import Counter
