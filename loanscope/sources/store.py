@@ -72,8 +72,15 @@ def loans(spark: SparkSession, sf_dir: str, materialised: bool = True) -> DataFr
         return build_loans(spark, sf_dir)
     df = _read.get(path)
     if df is None:
-        # one DataFrame per written table: the file listing is done once
-        df = _read[path] = spark.read.parquet(path).select(*LOAN_COLUMNS)
+        try:
+            # one DataFrame per written table: the file listing is done once
+            df = _read[path] = spark.read.parquet(path).select(*LOAN_COLUMNS)
+        except Exception:
+            # the written copy is gone (folder cleared): write it again
+            with _lock:
+                _written.pop(_key(spark, sf_dir), None)
+            path = materialise(spark, sf_dir)
+            df = _read[path] = spark.read.parquet(path).select(*LOAN_COLUMNS)
     return df
 
 

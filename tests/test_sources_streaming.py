@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from conftest import SMALL, TESTDATA
 
 from loanscope.operators.shares import share_of
 from loanscope.plans import portfolio
@@ -117,3 +117,17 @@ def test_command_line_export(spark):
     assert main([SMALL, out, "a06_money_by_year", "a43_segment_risk", "--csv"]) == 0
     assert spark.read.option("header", True).csv(f"{out}/a06_money_by_year").count() > 0
     assert spark.read.option("header", True).csv(f"{out}/a43_segment_risk").count() > 0
+
+
+def test_loan_table_rewritten_when_its_folder_is_cleared(spark):
+    """If the written copy is gone, the next read writes it again (simulated
+    by pointing the record at a folder that does not exist)."""
+    from loanscope.sources import store
+
+    sf = str(TESTDATA / "sf0.001")
+    store.materialise(spark, sf)
+    key = store._key(spark, sf)
+    store._written[key] = store._written[key] + "-gone"
+    df = store.loans(spark, sf)
+    assert df.count() == 1500
+    assert not store._written[key].endswith("-gone")
