@@ -120,7 +120,8 @@ def main() -> None:
         "  aggregated rows only (bounded by the group count, not the data).",
         "* Row-level reports (`a27`, `a32`, `w_clean`, `w_years`, `w_blank_to_null`): map-only,",
         "  filters pushed into the scan, output written in parallel.",
-        "* Top-k (`a01`, `a02`, `a33`): per-task top-k before a single small merge; `a16` ranks two",
+        "* Top-k: `a01`/`a02` dedupe amounts map-side (bounded by the amount domain) before the",
+        "  shuffle and keep 5; `a33` keeps a per-task top 10 before one small merge; `a16` ranks two",
         "  columns and fetches the one row through a scalar-subquery runtime filter.",
         "* `w_row_id`: one range shuffle of the ids, written tags, per-partition offsets broadcast",
         "  (one row per partition).  `w_duplicate_keys`: a shuffle of 8-byte hashes; repeated hashes",
