@@ -12,6 +12,7 @@ import sys
 
 
 def main(argv=None) -> int:
+    """Command-line entry point."""
     ap = argparse.ArgumentParser(prog="loanscope", description=__doc__.split("\n")[0])
     ap.add_argument("sf_dir")
     ap.add_argument("out_dir")

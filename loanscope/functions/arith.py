@@ -41,6 +41,7 @@ def ratio_sql(num: str, den: str, scale: int) -> str:
 
 
 def scaled_ratio(num: str, den: str, scale: int) -> Column:
+    """round_half_up(num * scale / den) as a bigint column."""
     return F.expr(ratio_sql(num, den, scale))
 
 

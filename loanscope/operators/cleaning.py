@@ -70,6 +70,7 @@ def with_years(df: DataFrame) -> DataFrame:
 
 
 def payment_timing(term_m: Column, months_paid: Column) -> Column:
+    """full / early / late / unknown from term months and months of payment."""
     return (
         F.when(term_m.isNull() | months_paid.isNull(), F.lit(UNKNOWN))
         .when(term_m + 1 == months_paid, F.lit(FULL))
@@ -123,6 +124,7 @@ def drop_columns(df: DataFrame, names) -> DataFrame:
 
 
 def id_first(df: DataFrame, id_col: str = "loan_id") -> DataFrame:
+    """Move the id column first."""
     return df.select(id_col, *[c for c in df.columns if c != id_col])
 
 

@@ -22,6 +22,8 @@ PNL_COLUMNS = [
 
 
 def pnl(df: DataFrame, *by: str) -> DataFrame:
+    """P&L measures (PNL_COLUMNS) per group of ``by`` (one global row without
+    keys)."""
     g = df.groupBy(*by) if by else df.groupBy()
     sums = g.agg(*[F.expr(e) for e in [
         "count(1) AS number_of_loans",

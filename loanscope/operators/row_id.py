@@ -32,6 +32,8 @@ from loanscope.session import require_shared_dir
 
 
 def with_row_id(df: DataFrame, order_cols, id_col: str = "row_id", num_partitions: int | None = None) -> DataFrame:
+    """Add ``id_col`` = 1..N in the order of ``order_cols`` (see the module
+    notes)."""
     spark = df.sparkSession
     base = require_shared_dir(spark)
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)

@@ -23,6 +23,7 @@ from loanscope.sources.store import cleaned
 
 
 def a28_profit_total(df: DataFrame) -> DataFrame:
+    """Money lent, payments received and profit over all loans."""
     return df.agg(
         F.sum("funded_amnt").alias("loans"),
         F.sum("total_pymnt").alias("revenue"),
@@ -31,6 +32,8 @@ def a28_profit_total(df: DataFrame) -> DataFrame:
 
 
 def a29_profit_by_year(df: DataFrame) -> DataFrame:
+    """Money lent, payments and profit per issue year (with and without the
+    collection fee)."""
     return (
         df.groupBy(F.col("issue_year").alias("year"))
         .agg(
@@ -70,29 +73,35 @@ def a33_recovered_loans(df: DataFrame) -> DataFrame:
 
 
 def a34_count_shortfall(df: DataFrame) -> DataFrame:
+    """Number of Charged Off loans that paid back less than was funded."""
     return df.filter((F.col("loan_status") == CHARGED_OFF) & (F.col("total_pymnt") < F.col("funded_amnt"))).agg(
         F.count(F.lit(1)).alias("number_of_loans")
     )
 
 
 def a35_pnl_recovered(df: DataFrame) -> DataFrame:
+    """P&L of Charged Off loans that paid back at least the funded amount."""
     return pnl(df.filter((F.col("loan_status") == CHARGED_OFF) & (F.col("total_pymnt") >= F.col("funded_amnt"))))
 
 
 def a36_pnl_never_paid(df: DataFrame) -> DataFrame:
+    """P&L of Charged Off loans without any payment."""
     return pnl(df.filter((F.col("loan_status") == CHARGED_OFF) & (F.col("total_pymnt") == 0)))
 
 
 def a37_pnl_shortfall(df: DataFrame) -> DataFrame:
+    """P&L of Charged Off loans that paid back less than was funded."""
     return pnl(df.filter((F.col("loan_status") == CHARGED_OFF) & (F.col("total_pymnt") < F.col("funded_amnt"))))
 
 
 def a38_loss_by_purpose(df: DataFrame) -> DataFrame:
+    """P&L of Charged Off loans per purpose, worst loss per loan first."""
     by_profit = in_order(F.desc("avg_profit_per_loan"), "purpose")
     return pnl(df.filter(F.col("loan_status") == CHARGED_OFF), "purpose").transform(by_profit)
 
 
 def a39_profit_by_purpose_paid(df: DataFrame) -> DataFrame:
+    """P&L of Fully Paid loans per purpose, best profit per loan first."""
     by_profit = in_order(F.desc("avg_profit_per_loan"), "purpose")
     return pnl(df.filter(F.col("loan_status") == FULLY_PAID), "purpose").transform(by_profit)
 
@@ -113,6 +122,7 @@ def a40_purpose_mix(df: DataFrame) -> DataFrame:
 
 
 def a41_profit_by_purpose_all(df: DataFrame) -> DataFrame:
+    """P&L of all loans per purpose, best profit per loan first."""
     return pnl(df, "purpose").transform(in_order(F.desc("avg_profit_per_loan"), "purpose"))
 
 

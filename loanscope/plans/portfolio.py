@@ -52,15 +52,18 @@ def a01_top5_amounts(df: DataFrame) -> DataFrame:
 
 
 def a02_bottom5_amounts(df: DataFrame) -> DataFrame:
+    """Five smallest distinct requested amounts (a top-k report)."""
     c = "top_5_min_amount_for_personal_loans"
     return df.select(F.col("loan_amnt").alias(c)).distinct().orderBy(F.asc(c)).limit(5)
 
 
 def a03_max_funded(df: DataFrame) -> DataFrame:
+    """Largest funded amount."""
     return df.agg(F.max("funded_amnt").alias("max_funded_amount"))
 
 
 def a04_min_rate_by_grade(df: DataFrame) -> DataFrame:
+    """Lowest interest rate per grade."""
     return (
         df.groupBy("grade")
         .agg(hundredths("min(int_rate_bp)").alias("lowest_int_rate"))
@@ -77,14 +80,17 @@ def a05_yoy_funded(df: DataFrame) -> DataFrame:
 
 
 def a06_money_by_year(df: DataFrame) -> DataFrame:
+    """Loans, requested, funded and investor-funded money per issue year."""
     return money_by(df, "issue_year").transform(in_order("issue_year"))
 
 
 def a07_loans_by_term(df: DataFrame) -> DataFrame:
+    """Number of loans per term."""
     return df.groupBy("term").agg(F.count(F.lit(1)).alias("total_loans")).transform(in_order("term"))
 
 
 def a08_loans_by_term_status(df: DataFrame) -> DataFrame:
+    """Number of loans per term and status."""
     return (
         df.groupBy("term", "loan_status")
         .agg(F.count(F.lit(1)).alias("total_loans"))
@@ -93,6 +99,7 @@ def a08_loans_by_term_status(df: DataFrame) -> DataFrame:
 
 
 def a09_rate_by_term_status(df: DataFrame) -> DataFrame:
+    """Average interest rate per term and status."""
     return (
         df.groupBy("term", "loan_status")
         .agg(avg_hundredths("sum(int_rate_bp)", "count(int_rate_bp)").alias("avg_int_rate"))
@@ -101,6 +108,7 @@ def a09_rate_by_term_status(df: DataFrame) -> DataFrame:
 
 
 def a10_money_by_term(df: DataFrame) -> DataFrame:
+    """Requested, funded and investor-funded money per term."""
     return money_by(df, "term", with_count=False).transform(in_order("term"))
 
 
@@ -115,10 +123,12 @@ def a11_paid_rate_by_term(df: DataFrame) -> DataFrame:
 
 
 def a12_money_by_grade(df: DataFrame) -> DataFrame:
+    """Loans and money per grade."""
     return money_by(df, "grade").transform(in_order("grade"))
 
 
 def a13_paid_rate_by_grade(df: DataFrame) -> DataFrame:
+    """Paid-off rate per grade: Fully Paid share of each grade's loans."""
     s = share_of(df, "grade", "loan_status", n_col="_n", pct_col="paid_off_rate")
     return (
         s.filter(F.col("loan_status") == FULLY_PAID)
@@ -155,6 +165,7 @@ def a16_top_rate_loan(df: DataFrame) -> DataFrame:
 
 
 def a17_money_by_state(df: DataFrame) -> DataFrame:
+    """Loans and money per state, most money funded first."""
     return (
         money_by(df.withColumnRenamed("addr_state", "state"), "state")
         .transform(in_order(F.desc("money_funded"), F.asc("state")))

@@ -23,6 +23,7 @@ def _bind(fn):
 
 
 def reports() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Every report as a function of the loan table."""
     out = {}
     for m in _MODULES:
         out.update(m.REPORTS)
@@ -30,10 +31,12 @@ def reports() -> dict[str, Callable[[DataFrame], DataFrame]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every report as a function of (spark, sf_dir)."""
     return {k: _bind(fn) for k, fn in reports().items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL per report key."""
     out = {}
     for m in _MODULES:
         out.update({k: v for k, v in m.ORACLE.items() if v})

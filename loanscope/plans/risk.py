@@ -42,6 +42,9 @@ def _banded(df: DataFrame) -> DataFrame:
 
 
 def a43_segment_risk(df: DataFrame) -> DataFrame:
+    """Per funded-amount band: loans, Charged Off share, top Charged Off grade
+    and its share, Charged Off averages of rate, dti and installment, and
+    the home-owner share."""
     co = f"loan_status = '{CHARGED_OFF}'"
     measures = {"rate": "int_rate_bp", "dti": "dti_bp", "inst": "installment_c"}
     per_grade = _banded(df).groupBy("range_of_loan", "_band_ord", "grade").agg(*[F.expr(e) for e in [

@@ -29,6 +29,7 @@ def a20_income_bands(df: DataFrame) -> DataFrame:
 
 
 def a21_loans_by_purpose(df: DataFrame) -> DataFrame:
+    """Number of loans per purpose, most first."""
     return (
         df.groupBy("purpose").agg(F.count(F.lit(1)).alias("number_of_loans"))
         .transform(in_order(F.desc("number_of_loans"), "purpose"))
@@ -36,6 +37,7 @@ def a21_loans_by_purpose(df: DataFrame) -> DataFrame:
 
 
 def a22_avg_by_purpose(df: DataFrame) -> DataFrame:
+    """Average funded amount and interest rate per purpose."""
     return (
         df.groupBy("purpose")
         .agg(
@@ -47,6 +49,7 @@ def a22_avg_by_purpose(df: DataFrame) -> DataFrame:
 
 
 def a23_status_by_purpose(df: DataFrame) -> DataFrame:
+    """Status share inside each purpose."""
     return (
         share_of(df, "purpose", "loan_status")
         .select("purpose", "loan_status", "number_of_loans", "total_loans", "percentage")
@@ -80,6 +83,7 @@ def a25_owner_share_by_state(df: DataFrame) -> DataFrame:
 
 
 def a26_status_by_ownership(df: DataFrame) -> DataFrame:
+    """Status share inside each home-ownership type."""
     return (
         share_of(df, "home_ownership", "loan_status")
         .select("home_ownership", "loan_status", "number_of_loans", "percentage")
@@ -96,6 +100,7 @@ def a27_credit_history(df: DataFrame) -> DataFrame:
 
 
 def r01_status_by_year(df: DataFrame) -> DataFrame:
+    """Loans per issue year and status."""
     return (
         df.groupBy("issue_year", "loan_status").agg(F.count(F.lit(1)).alias("total_loans"))
         .transform(in_order("issue_year", "loan_status"))
@@ -103,6 +108,7 @@ def r01_status_by_year(df: DataFrame) -> DataFrame:
 
 
 def r02_status_rate_by_year(df: DataFrame) -> DataFrame:
+    """Status share inside each issue year."""
     return (
         share_of(df, "issue_year", "loan_status")
         .select("issue_year", "loan_status", "number_of_loans", "total_loans", "percentage")

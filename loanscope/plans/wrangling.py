@@ -38,6 +38,7 @@ def dirty_credit_line(df: DataFrame) -> DataFrame:
 
 
 def w_blank_to_null(df: DataFrame) -> DataFrame:
+    """Blank purposes become NULL; every row is kept."""
     return blank_to_null(dirty_purpose(df), ["purpose"]).select("loan_id", "purpose")
 
 

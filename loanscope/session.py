@@ -39,6 +39,7 @@ def _is_local(spark: SparkSession) -> bool:
 
 
 def app_id(spark: SparkSession) -> str:
+    """Identifier of the session's application."""
     try:
         return spark.sparkContext.applicationId
     except Exception:  # a remote (Spark Connect) session has no SparkContext
@@ -70,6 +71,8 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 
 def require_shared_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder, or an error asking for
+    spark.checkpoint.dir."""
     d = shared_dir(spark)
     if d is None:
         raise RuntimeError(
