@@ -115,18 +115,22 @@ def ratio(num: str, den: str, scale: int) -> str:
 
 
 def pct(num: str, den: str) -> str:
+    """SQL of functions.arith.pct."""
     return f"CAST({ratio(num, den, 10000)} AS DOUBLE) / 100"
 
 
 def avg2(total: str, count: str) -> str:
+    """SQL of functions.arith.avg2."""
     return f"CAST({ratio(total, count, 100)} AS DOUBLE) / 100"
 
 
 def avg_h(total: str, count: str) -> str:
+    """SQL of functions.arith.avg_hundredths."""
     return f"CAST({ratio(total, count, 1)} AS DOUBLE) / 100"
 
 
 def hundredths(x: str) -> str:
+    """SQL of functions.arith.hundredths."""
     return f"CAST({x} AS DOUBLE) / 100"
 
 
