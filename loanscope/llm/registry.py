@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
+from loanscope.llm.tables import ship
+
 _MODULES = [
     "jaccard_join", "language_id", "suffix_dedup", "html_extract", "license_scan",
     "sentencepiece_bpe", "exact_dedup", "substring_dedup", "quality_rules", "packing",
@@ -17,9 +20,20 @@ def _all(name: str) -> dict:
     return out
 
 
+def _shipping(fn):
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return _all("QUERIES")
+    """Query name -> function of (spark, sf_dir)."""
+    return {k: _shipping(fn) for k, fn in _all("QUERIES").items()}
 
 
 def oracle_sql() -> dict:
+    """Query name -> DuckDB SQL, where SQL can express it."""
     return _all("ORACLE")
