@@ -203,7 +203,7 @@ def fit_cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     # the first level that rejects a document: cutoffs fall with the level,
     # so it is the number of cutoffs at or above the ratio
     named = proposal.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
-    first = F.least(*[F.size(F.filter(f"cut_{r}", lambda c, r=r: c >= F.col(r))) for r in RULES])
+    first = F.least(*[F.expr(f"size(filter(cut_{r}, c -> c >= {r}))") for r in RULES])
     cells = (
         rows.filter("holdout").join(named, "stratum")
         .groupBy("stratum", "good", first.alias("first")).agg(F.count(F.lit(1)).alias("n"))
