@@ -20,9 +20,10 @@ the regions with two or more documents.  Every linked pair shares a region.
 Joining a region.  Its pivot is now a document, the member found in most
 regions (the text the others were copied from, as a rule).  All members'
 exact distances to it are computed.  Members within r are linked to the pivot
-and so in its class.  Other members are compared again, with each other and
-with the linked ones, but only inside the window of the triangle inequality:
-|d(x, p) - d(y, p)| <= r.  Regions over ``BLOCK`` members are cut into blocks
+and so in its class; the others form a region again, with a pivot of their
+own, ``ROUNDS`` times.  Pairs of a region that are in different classes after
+that are compared, but only inside the window of the triangle inequality:
+|d(x, p) - d(y, p)| <= r for the first pivot p.  Regions over ``BLOCK`` members are cut into blocks
 and every two blocks meet in a task of their own, so no task holds a hot
 region; nothing is dropped.
 
@@ -58,6 +59,7 @@ from loanscope.llm.textbatch import LOWER, Rolling, ids_of, mix64, slices, text_
 SHINGLE = 3
 PERCENT = 90
 BLOCK = 1024
+ROUNDS = 3  # pivots tried per region before its open pairs are compared
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,26 +259,20 @@ def _distances(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint, inter bigint, uni bigint")
 
 
-def _rest(regions: DataFrame, measured: DataFrame, members: DataFrame, percent: int, absorb: bool) -> DataFrame:
-    """Pairs of a region that its pivot leaves open."""
-    d = measured.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "inter", "uni")
-    open_ = (
-        regions.filter("members > 2 AND doc_id <> pivot").join(d, ["doc_id", "pivot"], "left")
-        .withColumn("linked", F.expr(f"coalesce(100 * inter >= {percent} * uni, false)"))
-    )
-    if absorb:
-        unlinked = open_.filter("NOT linked").select("cell").distinct()
-        open_ = open_.join(unlinked, "cell", "left_semi")
+def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a region's members that its pivots leave open (``open_`` has
+    cell, doc_id, members, linked, label and the distances to the first
+    pivot)."""
     # blocks of a large region: every two meet under a key of their own
     blocks = F.ceil((F.col("members") - 1) / BLOCK).cast("int")
     dealt = (
         open_.withColumn("blk", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("cell", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk",
-                "doc_id", "linked", "inter", "uni")
+                "doc_id", "label", "inter", "uni")
         .join(members.select("doc_id", "n_shingles", "sketch"), "doc_id")
     )
-    rows = regions.count()
+    rows = open_.count()
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("cell", "x", "y"), F.lit(max(64, rows // 5000))))
 
     def run(table: pa.Table) -> pa.Table:
@@ -284,8 +280,8 @@ def _rest(regions: DataFrame, measured: DataFrame, members: DataFrame, percent:
         order = np.lexsort(key)
         cell = np.stack([k[order].astype(np.int64) for k in key])
         edge = np.append(np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(0))), len(order))
-        doc, n, blk, linked = (table.column(c).to_numpy(zero_copy_only=False)[order]
-                               for c in ("doc_id", "n_shingles", "blk", "linked"))
+        doc, n, blk, label = (table.column(c).to_numpy(zero_copy_only=False)[order]
+                              for c in ("doc_id", "n_shingles", "blk", "label"))
         inter, uni = (table.column(c).to_numpy(zero_copy_only=False).astype(float)[order] for c in ("inter", "uni"))
         far = 1 - inter / uni  # NaN where the distance to the pivot was not needed
         sketches = table.column("sketch").to_pylist()
@@ -298,9 +294,7 @@ def _rest(regions: DataFrame, measured: DataFrame, members: DataFrame, percent:
             second = left[blk[left] == cell[0, lo]] if across else left
             for i in first:
                 j = second if across else np.arange(i + 1, hi)
-                ok = doc[j] != doc[i]
-                if absorb and linked[i]:
-                    ok &= ~linked[j]
+                ok = label[j] != label[i]
                 ok &= (100 * n[j] >= percent * n[i]) & (100 * n[i] >= percent * n[j])
                 ok &= ~(np.abs(far[j] - far[i]) > r)
                 for q in j[ok]:
@@ -314,14 +308,24 @@ def _rest(regions: DataFrame, measured: DataFrame, members: DataFrame, percent:
     return dealt.groupBy("task").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _star_round(regions: DataFrame, rows: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b, inter, uni) of every member a and its region's pivot b, where
+    the bounds allow a link."""
+    star = regions.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    near = written(_filtered(star, members, percent), "near")
+    return written(_distances(near, _texts_of(rows, near), shingle), "star")
+
+
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, absorb: bool = True,
                  id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets, links).
 
     sets: doc_id, n_shingles, member (the smallest doc_id with the same set;
     null for the empty set).  links: pairs (a, b) of members within the
-    limit.  With ``absorb`` (enough for classes) pairs whose two sides link
-    to their region's pivot are left out; without it every link is there.
+    limit.  With ``absorb`` (enough for classes) members of one class found
+    by the pivots are not compared again, and links between two such classes
+    are reported once, between their smallest members; without it every link
+    is there.
     """
     rows = with_columns_free(docs, id_col, text_col)
     sets = written(_sets(rows, shingle, percent), "sets")
@@ -332,15 +336,51 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
         sets.join(named.select(F.col("member").alias("doc_id")), "doc_id", "left_semi")
         .select("doc_id", "n_shingles", "sketch", "cells").dropDuplicates(["doc_id"]), "members")
     regions = _regions(members)
-    star = regions.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = _filtered(star, members, percent)
-    measured_star = written(_distances(near, _texts_of(rows, near), shingle), "star")
-    rest = _rest(regions, measured_star, members, percent, absorb)
-    known = measured_star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(known, ["a", "b"], "left_anti"), "rest")
-    measured = measured_star.unionByName(_distances(rest, _texts_of(rows, rest), shingle))
-    links = written(measured.filter(F.expr(f"100 * inter >= {percent} * uni")).select("a", "b"), "links")
-    return of, links
+    limit = F.expr(f"100 * inter >= {percent} * uni")
+
+    first = _star_round(regions, rows, members, shingle, percent)
+    measured = first
+    far = first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "inter", "uni")
+    open_ = (
+        regions.filter("members > 2 AND doc_id <> pivot").join(far, ["doc_id", "pivot"], "left")
+        .withColumn("linked", F.coalesce(limit, F.lit(False)))
+    )
+    label = F.col("doc_id")
+    if absorb:
+        # the region's members that its pivot did not reach get a pivot of
+        # their own, and so on
+        left = written(open_.filter("NOT linked").select("cell", "doc_id"), "left")
+        popular = regions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pop"))
+        for _ in range(ROUNDS - 1):
+            best = left.join(popular, "doc_id").groupBy("cell").agg(
+                F.max(F.struct("pop", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("size"))
+            again = left.join(best.filter("size > 1"), "cell").select(
+                "cell", "doc_id", (-F.col("best.neg")).alias("pivot"))
+            more = _star_round(again, rows, members, shingle, percent)
+            measured = measured.unionByName(more)
+            reached = more.filter(limit).select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"))
+            left = written(again.filter("doc_id <> pivot").join(reached, ["doc_id", "pivot"], "left_anti")
+                           .select("cell", "doc_id"), "left")
+        classes = written(components(measured.filter(limit).select(F.col("a").alias("u"), F.col("b").alias("v"))),
+                          "classes")
+        named_by = classes.toDF("doc_id", "class")
+        open_ = open_.join(named_by, "doc_id", "left")
+        label = F.coalesce("class", "doc_id")
+        # regions whose members (the pivot aside) are all of one class are done
+        several = open_.groupBy("cell").agg(F.min(label).alias("x"), F.max(label).alias("y")).filter("x <> y")
+        open_ = open_.join(several.select("cell"), "cell", "left_semi")
+    open_ = written(open_.withColumn("label", label).select("cell", "doc_id", "members", "label", "inter", "uni"),
+                    "open")
+    known = measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = written(_rest(open_, members, percent).join(known, ["a", "b"], "left_anti"), "rest")
+    found = measured.unionByName(_distances(rest, _texts_of(rows, rest), shingle)).filter(limit).select("a", "b")
+    if absorb:
+        for c in ("a", "b"):
+            names = classes.toDF(c, f"class_{c}")
+            found = found.join(names, c, "left").withColumn(f"class_{c}", F.coalesce(f"class_{c}", c))
+        between = found.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
+        found = between.filter("a <> b").unionByName(classes.filter("vertex <> component").toDF("a", "b"))
+    return of, written(found.distinct(), "links")
 
 
 def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
