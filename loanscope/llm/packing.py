@@ -53,7 +53,9 @@ STEP = 512  # the rest of a document is cut once, at a multiple of this
 MEMO = 300_000
 
 _UNIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?%*&$#|\"()])| ?[^ \n]+|\n")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+# White space that does not stand alone between other characters, or is
+# neither a space nor a line break: such texts are encoded whole.
+_UNEVEN = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -86,7 +88,7 @@ class UnitEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or _OTHER_SPACE.search(text):
+        if text[-1] == " " or any(x in text for x in _UNEVEN):
             return self._whole(text)
         units = _UNIT.findall(text)
         found = list(map(self.young.get, units))

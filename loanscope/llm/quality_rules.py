@@ -62,7 +62,7 @@ RULES = {
     "upper": ("n_upper", "word_chars"),
 }
 
-ALPHA = 0.02   # largest share of good documents lost per stratum
+ALPHA = 0.04   # largest share of good documents lost per stratum
 DELTA = 0.05   # probability that any stratum loses more
 NEARLY = 0.98
 # Tail levels of the good documents, mildest first.
