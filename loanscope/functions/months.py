@@ -53,13 +53,14 @@ def format_month(date) -> Column:
 
 def month_year_code(text: str) -> Column:
     """``Dec-1999`` -> ``1299`` (two-digit month, two-digit year; the MMyy
-    print of the parsed month), NULL unless the text is ``Mon-yyyy``.
+    print of the parsed month), NULL unless the text is ``Mon-yyyy``.  Case
+    does not matter, as in ``parse_month``.
 
     String arithmetic on the text (month looked up in a 12-entry array), no
     date parsing or formatting per value.
     """
-    months = ", ".join(f"'{m}'" for m in MONTH_ABBREVIATIONS)
-    m = f"array_position(array({months}), substring({text}, 1, 3))"
+    months = ", ".join(f"'{m.lower()}'" for m in MONTH_ABBREVIATIONS)
+    m = f"array_position(array({months}), lower(substring({text}, 1, 3)))"
     return F.expr(
         f"CASE WHEN length({text}) = 8 AND substring({text}, 4, 1) = '-' AND {m} > 0"
         f" AND try_cast(substring({text}, 5, 4) AS INT) IS NOT NULL"

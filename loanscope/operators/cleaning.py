@@ -46,13 +46,10 @@ def _with_dates(df: DataFrame, *texts: str) -> DataFrame:
 
     Each text is parsed once into a column that the derived columns then
     reference (an attribute, so the parse is not repeated in every
-    expression that uses it).  Issue and payment months are read as
-    four-digit years, as the source reads them; only the credit-line month
-    is normalised from two digits.
+    expression that uses it).  All month texts follow one rule: four-digit
+    years, or two digits widened by the pivot.
     """
-    return df.withColumns({
-        f"_{t}_date": parse_month(t, two_digit_years=(t == "earliest_cr_line")) for t in texts
-    })
+    return df.withColumns({f"_{t}_date": parse_month(t) for t in texts})
 
 
 def _year_columns() -> dict:

@@ -9,14 +9,10 @@ map-side combining collapses repeated keys before the shuffle.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanscope.functions.months import month_year_code
-from loanscope.session import require_shared_dir
-
 
 # Columns profiled per aggregate: 3 buffers each, kept under Spark's
 # whole-stage-codegen field limit (spark.sql.codegen.maxFields, 100).
@@ -39,7 +35,7 @@ def _profile_chunk(df: DataFrame, names: list) -> DataFrame:
     return df.selectExpr(*aggs).selectExpr(f"inline(array({rows}))")
 
 
-def constant_columns(df: DataFrame, cols=None) -> DataFrame:
+def constant_columns(df: DataFrame, cols=None, chunk: int = PROFILE_CHUNK) -> DataFrame:
     """One row per column: column_name, non_null, min_value, max_value,
     is_constant.
 
@@ -48,7 +44,8 @@ def constant_columns(df: DataFrame, cols=None) -> DataFrame:
     least one value.  min/max are computed on the column's own type and
     shown as text.
 
-    Global aggregates over column chunks; each chunk reads only its own
+    Global aggregates over chunks of ``chunk`` columns (code generation has
+    a field limit; a wider table takes more aggregates); each chunk reads only its own
     columns, so the table is still read once in total.  Fixed-width columns
     (numbers, dates) and text columns go to separate chunks: min/max over
     text needs a sort-based aggregate, and mixing would pull the numeric
@@ -59,9 +56,9 @@ def constant_columns(df: DataFrame, cols=None) -> DataFrame:
     text = [c for c in names if types[c] in ("string", "binary")]
     fixed = [c for c in names if c not in set(text)]
     parts = [
-        _profile_chunk(df, group[i:i + PROFILE_CHUNK])
+        _profile_chunk(df, group[i:i + chunk])
         for group in (fixed, text)
-        for i in range(0, len(group), PROFILE_CHUNK)
+        for i in range(0, len(group), chunk)
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -71,13 +68,17 @@ def constant_columns(df: DataFrame, cols=None) -> DataFrame:
     )
 
 
+# dti rounded half up to whole percents, from basis points
+ROUNDED_DTI = "(dti_bp + 50) div 100"
+
+
 def composite_key(
     zip_code: str = "zip_code",
     earliest: str = "earliest_cr_line",
     home: str = "home_ownership",
     sub_grade: str = "sub_grade",
     purpose: str = "purpose",
-    dti: str = "dti",
+    dti: str = ROUNDED_DTI,
     funded: str = "funded_amnt",
     issue: str = "issue_d",
 ) -> Column:
@@ -99,7 +100,7 @@ def composite_key(
     return F.concat(*_interleave(parts, F.lit("-")))
 
 
-def with_composite_key(df: DataFrame, name: str = "primkey", dti: str = "dti") -> DataFrame:
+def with_composite_key(df: DataFrame, name: str = "primkey", dti: str = ROUNDED_DTI) -> DataFrame:
     """Add the candidate key column (see composite_key)."""
     return df.withColumn(name, composite_key(dti=dti))
 
@@ -113,35 +114,15 @@ def _interleave(cols: list, sep: Column) -> list:
     return out
 
 
-# Largest set of repeated key hashes shipped to every task (8 bytes each).
-MAX_BROADCAST_HASHES = 4_000_000
-
-
 def duplicate_keys(df: DataFrame, key: str, n_col: str = "occurrences") -> DataFrame:
     """Keys seen more than once (GROUP BY key HAVING COUNT(key) > 1).
 
-    COUNT(key) skips NULL keys, so a NULL key is never reported.
-
-    Candidate keys are found on a 64-bit hash first: that shuffle carries
-    8 bytes per distinct key and task instead of the key text, and partial
-    aggregation collapses a hot key.  The repeated hashes are written to the
-    shared checkpoint folder and counted: when they are few (the normal
-    case: a key is meant to be unique) they are broadcast and the rows whose
-    hash repeats are picked without another shuffle; beyond
-    MAX_BROADCAST_HASHES the pick is a shuffled semi-join.  Those rows are
-    then grouped on the key text itself, which removes hash collisions, so
-    the result is exact.
+    COUNT(key) skips NULL keys, so a NULL key is never reported.  One scan
+    and one hash exchange; the partial aggregate collapses a repeated key in
+    each task before the shuffle.
     """
-    spark = df.sparkSession
-    keyed = df.select(key).filter(F.col(key).isNotNull()).withColumn("_h", F.xxhash64(F.col(key)))
-    repeated = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_h")
-    path = f"{require_shared_dir(spark).rstrip('/')}/loanscope-dup-hashes-{uuid.uuid4().hex}"
-    repeated.write.parquet(path)
-    hashes = spark.read.parquet(path)
-    small = hashes.count() <= MAX_BROADCAST_HASHES
-    picked = keyed.join(F.broadcast(hashes) if small else hashes, "_h", "left_semi")
     return (
-        picked.groupBy(key)
+        df.select(key).filter(F.col(key).isNotNull()).groupBy(key)
         .agg(F.count(F.col(key)).alias(n_col))
         .filter(F.col(n_col) > 1)
     )

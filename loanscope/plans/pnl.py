@@ -63,13 +63,13 @@ def a32_short_lived(df: DataFrame) -> DataFrame:
     return rows.select(*cleaned(rows).columns, "months_made_payment")
 
 
-def a33_recovered_loans(df: DataFrame) -> DataFrame:
-    """First 10 (by loan_id) Charged Off loans that paid back more than funded."""
-    return (
-        cleaned(df.filter((F.col("loan_status") == CHARGED_OFF) & (F.col("total_pymnt") > F.col("funded_amnt"))))
-        .orderBy("loan_id")
-        .limit(10)
-    )
+def a33_recovered_loans(df: DataFrame, limit: int | None = 10) -> DataFrame:
+    """The first ``limit`` (by loan_id; None: all) Charged Off loans that paid
+    back more than funded."""
+    rows = cleaned(
+        df.filter((F.col("loan_status") == CHARGED_OFF) & (F.col("total_pymnt") > F.col("funded_amnt")))
+    ).orderBy("loan_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def a34_count_shortfall(df: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def a37_pnl_shortfall(df: DataFrame) -> DataFrame:
 
 def a38_loss_by_purpose(df: DataFrame) -> DataFrame:
     """P&L of Charged Off loans per purpose, worst loss per loan first."""
-    by_profit = in_order(F.desc("avg_profit_per_loan"), "purpose")
+    by_profit = in_order("avg_profit_per_loan", "purpose")
     return pnl(df.filter(F.col("loan_status") == CHARGED_OFF), "purpose").transform(by_profit)
 
 
@@ -158,11 +158,12 @@ def a42_profit_gap(df: DataFrame) -> DataFrame:
     One aggregate with conditional sums.  Averages per loan are rounded to
     cents first (the source rounds them to 2 decimals before comparing), so
     the gap is exact integer arithmetic.  Purposes without Fully Paid loans
-    are left out, as the source's inner join leaves them out.
+    and the NULL purpose are left out, as the source's inner join leaves them
+    out.
     """
     net = F.col("total_pymnt") - F.col("funded_amnt") - F.col("collection_recovery_fee")
     fp = F.col("loan_status") == FULLY_PAID
-    g = df.groupBy("purpose").agg(
+    g = df.filter(F.col("purpose").isNotNull()).groupBy("purpose").agg(
         F.sum(net).alias("total_profit_all_status"),
         F.count(F.lit(1)).alias("_n_all"),
         F.sum(F.when(fp, net)).alias("total_profit_of_fully_paid_loans"),

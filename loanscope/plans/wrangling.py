@@ -60,10 +60,17 @@ def w_clean(df: DataFrame) -> DataFrame:
 
 def w_duplicate_keys(df: DataFrame) -> DataFrame:
     """Composite keys occurring more than once (the source found none)."""
-    keyed = df.select(
-        composite_key(dti="(dti_bp + 50) div 100").alias("primkey")
-    )
-    return duplicate_keys(keyed, "primkey")
+    return duplicate_keys(df.select(composite_key().alias("primkey")), "primkey")
+
+
+def reimported(df: DataFrame) -> DataFrame:
+    """The table after an import that ran again for loan_id % 100 = 3."""
+    return df.unionByName(df.filter(F.col("loan_id") % 100 == 3))
+
+
+def w_duplicate_keys_reimport(df: DataFrame) -> DataFrame:
+    """Composite keys occurring more than once after a partial re-import."""
+    return w_duplicate_keys(reimported(df))
 
 
 def w_row_id(df: DataFrame) -> DataFrame:
@@ -77,6 +84,7 @@ REPORTS = {
     "w_constant_columns": w_constant_columns,
     "w_clean": w_clean,
     "w_duplicate_keys": w_duplicate_keys,
+    "w_duplicate_keys_reimport": w_duplicate_keys_reimport,
     "w_row_id": w_row_id,
 }
 
@@ -105,6 +113,17 @@ _WIDEN = (
 
 _ROUND_DTI = "(dti_bp + 50) // 100"
 
+
+def _duplicates_sql(source: str) -> str:
+    return with_loans(
+        "SELECT primkey, count(primkey) AS occurrences FROM ("
+        " SELECT left(zip_code, 3) || '-' || strftime(CAST(try_strptime(earliest_cr_line, '%b-%Y') AS DATE), '%m%y')"
+        " || '-' || left(home_ownership, 1) || '-' || sub_grade || '-' || upper(left(purpose, 3)) || '-'"
+        f" || CAST({_ROUND_DTI} AS VARCHAR) || '-' || CAST(funded_amnt AS VARCHAR) || '-'"
+        f" || strftime(CAST(try_strptime(issue_d, '%b-%Y') AS DATE), '%m%y') AS primkey FROM {source}) keyed"
+        " GROUP BY primkey HAVING count(primkey) > 1")
+
+
 ORACLE = {
     "w_blank_to_null": with_loans(
         "SELECT loan_id, CASE WHEN trim(p) = '' THEN NULL ELSE p END AS purpose FROM ("
@@ -117,12 +136,8 @@ ORACLE = {
         f"  SELECT loan_id, issue_d, issue_year, {_TWO_DIGIT_TEXT} AS e FROM loans) t1) t2"),
     "w_constant_columns": _constant_sql(),
     "w_clean": with_loans(f"SELECT {CLEANED_SELECT} FROM loans"),
-    "w_duplicate_keys": with_loans(
-        "SELECT primkey, count(primkey) AS occurrences FROM ("
-        " SELECT left(zip_code, 3) || '-' || strftime(CAST(try_strptime(earliest_cr_line, '%b-%Y') AS DATE), '%m%y')"
-        " || '-' || left(home_ownership, 1) || '-' || sub_grade || '-' || upper(left(purpose, 3)) || '-'"
-        f" || CAST({_ROUND_DTI} AS VARCHAR) || '-' || CAST(funded_amnt AS VARCHAR) || '-'"
-        " || strftime(CAST(try_strptime(issue_d, '%b-%Y') AS DATE), '%m%y') AS primkey FROM loans) keyed"
-        " GROUP BY primkey HAVING count(primkey) > 1"),
+    "w_duplicate_keys": _duplicates_sql("loans"),
+    "w_duplicate_keys_reimport": _duplicates_sql(
+        "(SELECT * FROM loans UNION ALL SELECT * FROM loans WHERE loan_id % 100 = 3) again"),
     "w_row_id": with_loans("SELECT loan_id, row_number() OVER (ORDER BY loan_id) AS row_id FROM loans"),
 }

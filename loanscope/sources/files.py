@@ -12,6 +12,7 @@ written by Spark's own writers in parallel, never collected to the driver.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanscope.operators.cleaning import blank_to_null
@@ -31,18 +32,30 @@ def raw_schema() -> T.StructType:
 
 
 def read_loans(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Raw loans from CSV: header row, 'NULL' and empty cells as NULL,
-    blank text as NULL; malformed numbers become NULL (PERMISSIVE)."""
+    """Raw loans from CSV, columns found by their header names in any order.
+
+    'NULL' and blank cells become NULL; a cell that is no value of its
+    column's type fails the job with the cell's text (give money columns a
+    decimal type when the file has cents).  A missing column is an error;
+    columns outside the schema are not read.
+    """
     st = schema or raw_schema()
-    df = (
-        spark.read.schema(st)
-        .option("header", True)
-        .option("nullValue", "NULL")
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    text_cols = [f.name for f in st.fields if isinstance(f.dataType, T.StringType)]
-    return blank_to_null(df, text_cols)
+    df = spark.read.option("header", True).option("nullValue", "NULL").option("inferSchema", False).csv(path)
+    text = blank_to_null(df.select(*[f.name for f in st.fields]), [f.name for f in st.fields])
+
+    def typed(f: T.StructField):
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.StringType):
+            return c
+        number = F.expr(f"try_cast(trim(`{f.name}`) AS {f.dataType.simpleString()})")
+        exact = number
+        if isinstance(f.dataType, (T.LongType, T.IntegerType)):
+            # a cast would cut decimals off silently
+            exact = F.when(F.trim(c).rlike(r"^[+-]?\d+$"), number)
+        bad = F.raise_error(F.concat(F.lit(f"column {f.name}: not a {f.dataType.simpleString()}: "), c))
+        return F.when(c.isNull() | exact.isNotNull(), exact).otherwise(bad.cast(f.dataType)).alias(f.name)
+
+    return text.select(*[typed(f) for f in st.fields])
 
 
 def save_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -26,6 +26,7 @@ import os
 import threading
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from loanscope.operators.cleaning import FIRST_DROP, SECOND_DROP, with_derived
@@ -35,14 +36,31 @@ from loanscope.sources.loan_view import RAW_COLUMNS, loan_view
 DERIVED_COLUMNS = ["issue_year", "credit_opened_year", "term_months", "months_made_payment", "payment_timing"]
 LOAN_COLUMNS = RAW_COLUMNS + DERIVED_COLUMNS
 
+INPUT_TABLES = ["orders", "lineitem", "customer", "nation"]
+
 _written: dict = {}
 _read: dict = {}
 _lock = threading.Lock()
 
 
+def _inputs(spark: SparkSession, path: str) -> tuple:
+    """Name, size and modification time of the input files (one listing per
+    table, no data is read): a changed source gives another key."""
+    sc = spark.sparkContext
+    conf = sc._jsc.hadoopConfiguration()
+    out = []
+    for name in INPUT_TABLES:
+        table = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.parquet")
+        out += sorted(
+            (str(f.getPath()), f.getLen(), f.getModificationTime())
+            for f in table.getFileSystem(conf).listStatus(table)
+        )
+    return tuple(out)
+
+
 def _key(spark: SparkSession, sf_dir: str):
-    path = sf_dir if "://" in sf_dir else os.path.abspath(sf_dir)
-    return (app_id(spark), path.rstrip("/"))
+    path = (sf_dir if "://" in sf_dir else os.path.abspath(sf_dir)).rstrip("/")
+    return (app_id(spark), path, _inputs(spark, path))
 
 
 def build_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +93,9 @@ def loans(spark: SparkSession, sf_dir: str, materialised: bool = True) -> DataFr
         try:
             # one DataFrame per written table: the file listing is done once
             df = _read[path] = spark.read.parquet(path).select(*LOAN_COLUMNS)
-        except Exception:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             # the written copy is gone (folder cleared): write it again
             with _lock:
                 _written.pop(_key(spark, sf_dir), None)

@@ -75,11 +75,15 @@ def start_cleaning(
     raw_folder: str,
     raw_schema: StructType,
     out_folder: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Append newly arrived raw loan files, with the cleaning job's derived
-    columns, to the Parquet table at ``out_folder``."""
+    columns, to the Parquet table at ``out_folder``.
+
+    ``checkpoint`` belongs to ``out_folder`` and must be given again on every
+    restart: the sink skips batch numbers it has already committed, so a new
+    checkpoint over an old table would lose files."""
     from loanscope.operators.cleaning import with_derived
 
     cleaned = with_derived(loan_stream(spark, raw_folder, raw_schema))
@@ -87,7 +91,7 @@ def start_cleaning(
         cleaned.writeStream.outputMode("append")
         .format("parquet")
         .option("path", out_folder)
-        .option("checkpointLocation", _checkpoint(spark, "cleaning", checkpoint))
+        .option("checkpointLocation", checkpoint)
     )
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

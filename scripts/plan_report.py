@@ -66,7 +66,7 @@ def outside_codegen(plan: str) -> list:
 
 
 def main() -> None:
-    import __spark_entry__ as E
+    from loanscope.plans import registry as E
     from loanscope.session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"

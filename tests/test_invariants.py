@@ -2,7 +2,7 @@
 
 from conftest import SMALL
 
-import __spark_entry__ as E
+from loanscope.plans import registry as E
 
 
 def q(spark, key):

@@ -120,16 +120,6 @@ def test_api_wrappers(spark, small_loans):
     assert sorted(map(tuple, pnl_gap(small_loans, "purpose").collect())) == sorted(map(tuple, a42_profit_gap(small_loans).collect()))
 
 
-def test_duplicate_keys_shuffled_path(spark, monkeypatch):
-    import loanscope.operators.profile as profile
-
-    df = spark.createDataFrame([("k1",), ("k1",), ("k2",), ("k3",), ("k3",), ("k3",), (None,)], "k string")
-    fast = {(r.k, r.occurrences) for r in duplicate_keys(df, "k").collect()}
-    monkeypatch.setattr(profile, "MAX_BROADCAST_HASHES", 0)
-    slow = {(r.k, r.occurrences) for r in duplicate_keys(df, "k").collect()}
-    assert fast == slow == {("k1", 2), ("k3", 3)}
-
-
 def test_duplicate_keys_on_reimported_rows(spark, small_loans):
     """Rows imported twice are found, each key exactly twice."""
     from loanscope.operators.profile import composite_key
