@@ -59,7 +59,7 @@ from loanscope.llm.textbatch import LOWER, Rolling, ids_of, mix64, slices, text_
 SHINGLE = 3
 PERCENT = 90
 BLOCK = 1024
-ROUNDS = 3  # pivots tried per region before its open pairs are compared
+ROUNDS = 2  # pivots tried per region before its open pairs are compared
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
