@@ -308,12 +308,12 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("task").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _star_round(regions: DataFrame, rows: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _star_round(regions: DataFrame, texts: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b, inter, uni) of every member a and its region's pivot b, where
     the bounds allow a link."""
     star = regions.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     near = written(_filtered(star, members, percent), "near")
-    return written(_distances(near, _texts_of(rows, near), shingle), "star")
+    return written(_distances(near, _named_in(texts, near), shingle), "star")
 
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, absorb: bool = True,
@@ -336,9 +336,14 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
         sets.join(named.select(F.col("member").alias("doc_id")), "doc_id", "left_semi")
         .select("doc_id", "n_shingles", "sketch", "cells").dropDuplicates(["doc_id"]), "members")
     regions = _regions(members)
+    # what the rounds need of the members found in regions, written once: they
+    # join these and not all texts and sketches again
+    inside = regions.select("doc_id").distinct()
+    texts = written(packed_texts(rows).join(inside, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    members = written(members.select("doc_id", "n_shingles", "sketch").join(inside, "doc_id", "left_semi"), "inside")
     limit = F.expr(f"100 * inter >= {percent} * uni")
 
-    first = _star_round(regions, rows, members, shingle, percent)
+    first = _star_round(regions, texts, members, shingle, percent)
     measured = first
     far = first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "inter", "uni")
     open_ = (
@@ -356,7 +361,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
                 F.max(F.struct("pop", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("size"))
             again = left.join(best.filter("size > 1"), "cell").select(
                 "cell", "doc_id", (-F.col("best.neg")).alias("pivot"))
-            more = _star_round(again, rows, members, shingle, percent)
+            more = _star_round(again, texts, members, shingle, percent)
             measured = measured.unionByName(more)
             reached = more.filter(limit).select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"))
             left = written(again.filter("doc_id <> pivot").join(reached, ["doc_id", "pivot"], "left_anti")
@@ -373,7 +378,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
                     "open")
     known = measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = written(_rest(open_, members, percent).join(known, ["a", "b"], "left_anti"), "rest")
-    found = measured.unionByName(_distances(rest, _texts_of(rows, rest), shingle)).filter(limit).select("a", "b")
+    found = measured.unionByName(_distances(rest, _named_in(texts, rest), shingle)).filter(limit).select("a", "b")
     if absorb:
         for c in ("a", "b"):
             names = classes.toDF(c, f"class_{c}")
@@ -383,10 +388,10 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     return of, written(found.distinct(), "links")
 
 
-def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Compressed texts of the documents in pairs, one row each."""
+def _named_in(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Texts of the documents in pairs."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return packed_texts(rows).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return texts.join(ids, "doc_id", "left_semi")
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
