@@ -29,7 +29,8 @@ region; nothing is dropped.
 
 Before two texts are compared, three bounds of the metric are tried: sizes,
 the window, and the count vectors of both sets over hash classes, whose L1
-distance never exceeds the symmetric difference.  The exact distance comes
+distance never exceeds the symmetric difference (inside a region one member
+is tried against a whole block at a time).  The exact distance comes
 from the whole texts (64-bit shingle hashes).
 
 Equal sets are one member throughout, so copies cost one row each.  Classes
@@ -141,6 +142,25 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.abs(x - y).sum())
 
 
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches over ``width`` classes (shorter ones stay zero: see ``ruled_out``)."""
+    out = np.zeros((len(sketches), width), np.int16)
+    for i, s in enumerate(sketches):
+        if len(s) >= width:
+            out[i] = np.minimum(np.frombuffer(s, np.uint8).reshape(width, -1).sum(1, dtype=np.int64), 255)
+    return out
+
+
+def ruled_out(i: int, j: np.ndarray, n: np.ndarray, fold: np.ndarray, has: np.ndarray, percent: int) -> np.ndarray:
+    """``may_link`` for one row against many at one width: True only where
+    the rows cannot link.  Rows with fewer classes than the width (``has``
+    false) are left to ``may_link``."""
+    if not has[i]:
+        return np.zeros(len(j), bool)
+    apart = np.abs(fold[j] - fold[i]).sum(1, dtype=np.int64)
+    return has[j] & ((100 + percent) * apart > (100 - percent) * (n[j] + n[i]))
+
+
 def may_link(na: int, nb: int, a: bytes, b: bytes, percent: int) -> bool:
     """False only if two sets cannot link: the symmetric difference of linked
     sets is at most (100 - percent) / (100 + percent) of their sizes' sum."""
@@ -284,7 +304,11 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                               for c in ("doc_id", "n_shingles", "blk", "label"))
         inter, uni = (table.column(c).to_numpy(zero_copy_only=False).astype(float)[order] for c in ("inter", "uni"))
         far = 1 - inter / uni  # NaN where the distance to the pivot was not needed
-        sketches = table.column("sketch").to_pylist()
+        raw = table.column("sketch").to_pylist()
+        sketches = [raw[q] for q in order]
+        classes = np.array([len(x) for x in sketches], np.int64)
+        # coarse first: most pairs fall at 16 classes, nearly all others at 128
+        levels = [(folded(sketches, w), classes >= w) for w in (16, 128)]
         r = 1 - percent / 100 + 1e-9
         out: set[tuple[int, int]] = set()
         for lo, hi in zip(edge[:-1], edge[1:]):
@@ -297,9 +321,12 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 ok = label[j] != label[i]
                 ok &= (100 * n[j] >= percent * n[i]) & (100 * n[i] >= percent * n[j])
                 ok &= ~(np.abs(far[j] - far[i]) > r)
-                for q in j[ok]:
+                j = j[ok]
+                for fold, has in levels:
+                    j = j[~ruled_out(i, j, n, fold, has, percent)]
+                for q in j:
                     a, b = sorted((int(doc[i]), int(doc[q])))
-                    if (a, b) not in out and may_link(n[i], n[q], sketches[order[i]], sketches[order[q]], percent):
+                    if (a, b) not in out and may_link(n[i], n[q], sketches[i], sketches[q], percent):
                         out.add((a, b))
         pairs = sorted(out)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()),

@@ -105,3 +105,25 @@ def test_components_of_a_path_and_a_star(llm):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = dict(components(llm.createDataFrame(edges, "u bigint, v bigint")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_block_bound_never_rules_out_a_link(percent):
+    rng = np.random.default_rng(7)
+    fresh = lambda m: rng.integers(0, 2**63, m).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(fresh(int(10 ** rng.uniform(0.5, 3.7)))) for _ in range(40)]
+    for _ in range(120):
+        base = sets[rng.integers(len(sets))]
+        sets.append(np.unique(np.concatenate((base[rng.random(len(base)) > rng.random() * 0.2], fresh(5)))))
+    sketches = [jaccard_join.sketch(s) for s in sets]
+    n, classes = np.array([len(s) for s in sets]), np.array([len(x) for x in sketches])
+    ruled = 0
+    for width in (16, 128):
+        fold, has = jaccard_join.folded(sketches, width), classes >= width
+        for i in range(len(sets)):
+            out = jaccard_join.ruled_out(i, np.arange(len(sets)), n, fold, has, percent)
+            ruled += out.sum()
+            for j in np.flatnonzero(out):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                assert 100 * both < percent * (n[i] + n[j] - both)
+    assert ruled > 1000
