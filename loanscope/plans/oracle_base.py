@@ -4,8 +4,8 @@ Same numbers as sources.loan_view + operators.cleaning.with_derived, in
 DuckDB dialect: ``//`` for integer division, ``strftime``/``try_strptime``
 for month text, ``d + to_months(n)`` for month arithmetic, ``||`` for
 NULL-propagating concatenation.  Sums are HUGEINT in DuckDB, so reports
-cast them to BIGINT; ratios use the same integer rounding as
-functions.arith.
+cast them to BIGINT; ratios round by quotient and remainder, a route of
+their own beside functions.arith.
 """
 
 from __future__ import annotations
@@ -66,7 +66,13 @@ raw_loans AS (
          CASE WHEN loan_id % 200 = 0 THEN 'Y' ELSE 'N' END AS debt_settlement_flag,
          2 + loan_id % 80 AS total_acc,
          'n' AS pymnt_plan,
-         CAST(CASE WHEN loan_id % 2 = 0 THEN 0 ELSE NULL END AS BIGINT) AS tax_liens
+         CAST(CASE WHEN loan_id % 2 = 0 THEN 0 ELSE NULL END AS BIGINT) AS tax_liens,
+         CAST(1 AS BIGINT) AS policy_code, CAST(0 AS BIGINT) AS acc_now_delinq, 'N' AS hardship_flag,
+         CAST(0 AS BIGINT) AS delinq_amnt, 'Cash' AS disbursement_method, 'f' AS initial_list_status,
+         CAST(0 AS BIGINT) AS collections_12_mths_ex_med, CAST(0 AS BIGINT) AS out_prncp,
+         CAST(0 AS BIGINT) AS out_prncp_inv, 'Individual' AS application_type,
+         CASE WHEN o_custkey % 13 = 0 THEN NULL
+              ELSE 'employer ' || CAST(o_custkey % 400 AS VARCHAR) END AS emp_title
   FROM lv_b),
 lv_d AS (
   SELECT *,
@@ -83,6 +89,8 @@ loans AS (
          installment_c, total_pymnt, total_rec_prncp, total_rec_int, total_rec_late_fee, recoveries,
          collection_recovery_fee, zip_code, delinq_2yrs, pub_rec, mths_since_last_delinq,
          inq_last_6mths, debt_settlement_flag, total_acc, pymnt_plan, tax_liens,
+         policy_code, acc_now_delinq, hardship_flag, delinq_amnt, disbursement_method, initial_list_status,
+         collections_12_mths_ex_med, out_prncp, out_prncp_inv, application_type, emp_title,
          CAST(year(issue_date) AS BIGINT) AS issue_year,
          CAST(year(cr_date) AS BIGINT) AS credit_opened_year,
          term_months,
@@ -105,9 +113,11 @@ CLEANED_SELECT = (
 
 
 def ratio(num: str, den: str, scale: int) -> str:
-    """SQL of functions.arith.scaled_ratio: round_half_up(num*scale/den), signed."""
+    """round_half_up(num*scale/den), signed: quotient, and one more when the
+    remainder is at least half the divisor."""
     n, d = f"CAST({num} AS HUGEINT)", f"CAST({den} AS HUGEINT)"
-    mag = f"((abs({n}) * {2 * scale} + abs({d})) // (abs({d}) * 2))"
+    top = f"(abs({n}) * {scale})"
+    mag = f"({top} // abs({d}) + CASE WHEN 2 * ({top} % abs({d})) >= abs({d}) THEN 1 ELSE 0 END)"
     return (
         f"CASE WHEN {d} <> 0 THEN CAST(CASE WHEN ({n} < 0) <> ({d} < 0) "
         f"THEN -{mag} ELSE {mag} END AS BIGINT) END"
@@ -119,21 +129,11 @@ def pct(num: str, den: str) -> str:
     return f"CAST({ratio(num, den, 10000)} AS DOUBLE) / 100"
 
 
-def avg2(total: str, count: str) -> str:
-    """SQL of functions.arith.avg2."""
-    return f"CAST({ratio(total, count, 100)} AS DOUBLE) / 100"
-
-
 def avg_h(total: str, count: str) -> str:
     """SQL of functions.arith.avg_hundredths."""
     return f"CAST({ratio(total, count, 1)} AS DOUBLE) / 100"
 
 
-def hundredths(x: str) -> str:
-    """SQL of functions.arith.hundredths."""
-    return f"CAST({x} AS DOUBLE) / 100"
-
-
 def share_sql(group: str, sub: str, select: str, source: str = "loans", where: str = "") -> str:
     """Grouped share query: rows per (group, sub) as number_of_loans, rows
     per group as total_loans; ``select`` picks the output columns."""

@@ -144,12 +144,15 @@ def _gap_columns(g: DataFrame) -> DataFrame:
         pct("total_profit_of_fully_paid_loans - total_profit_all_status", "total_profit_of_fully_paid_loans")
         .alias("difference_percent_in_profit"),
         pct("_avg_fp_c - _avg_all_c", "_avg_fp_c").alias("difference_percent_in_avg_profit_per_loan"),
-    ).transform(in_order("purpose"))
+    )
 
 
 def pnl_gap(df: DataFrame, by: str = "purpose") -> DataFrame:
-    """a42 for any grouping column: all loans vs Fully Paid loans."""
-    return a42_profit_gap(df.withColumnRenamed(by, "purpose")).withColumnRenamed("purpose", by)
+    """a42 for any grouping column: all loans vs Fully Paid loans, ordered by
+    a range sort (the column may have very many values)."""
+    measures = ["total_pymnt", "funded_amnt", "collection_recovery_fee", "loan_status"]
+    keyed = df.select(F.col(by).alias("purpose"), *measures)
+    return _gap(keyed).orderBy("purpose").withColumnRenamed("purpose", by)
 
 
 def a42_profit_gap(df: DataFrame) -> DataFrame:
@@ -161,6 +164,10 @@ def a42_profit_gap(df: DataFrame) -> DataFrame:
     and the NULL purpose are left out, as the source's inner join leaves them
     out.
     """
+    return _gap(df).transform(in_order("purpose"))
+
+
+def _gap(df: DataFrame) -> DataFrame:
     net = F.col("total_pymnt") - F.col("funded_amnt") - F.col("collection_recovery_fee")
     fp = F.col("loan_status") == FULLY_PAID
     g = df.filter(F.col("purpose").isNotNull()).groupBy("purpose").agg(
@@ -183,7 +190,7 @@ def op_join_profit_gap(df: DataFrame) -> DataFrame:
     fp_s = df.filter(F.col("loan_status") == FULLY_PAID).groupBy("purpose").agg(
         F.sum(net).alias("total_profit_of_fully_paid_loans"), F.count(F.lit(1)).alias("_n_fp")
     )
-    return _gap_columns(all_s.join(fp_s, "purpose"))
+    return _gap_columns(all_s.join(fp_s, "purpose")).transform(in_order("purpose"))
 
 
 REPORTS = {

@@ -151,8 +151,8 @@ def a16_top_rate_loan(df: DataFrame) -> DataFrame:
 
     The ranking reads two columns (rate, id) with a per-task top-1; the
     winning id is a scalar subquery that the wide scan receives as a
-    runtime filter, so the other columns are read only around that row
-    (row-group statistics) instead of for the whole table.
+    runtime filter, so the other columns are read only in row groups whose
+    bloom filter on loan_id may hold it (``store.write_loans``).
     """
     top_id = (
         df.select("loan_id", "int_rate_bp")

@@ -24,6 +24,7 @@ from loanscope.operators.cleaning import CHARGED_OFF
 from loanscope.operators.shares import in_order, share_of, top_per_group
 from loanscope.plans.oracle_base import avg_h, pct as sql_pct, with_loans
 
+# Fixed output names of the report.
 SEGMENT_COLUMNS = [
     "range_of_loan", "total_loans", "loan_status", "percentage_of_status",
     "most_grade_charged_off", "percent_of_the_most_grade_get_co", "average_int_rate",
@@ -82,9 +83,6 @@ def a43_segment_risk(df: DataFrame) -> DataFrame:
     )
 
 
-segment_risk = a43_segment_risk
-
-
 def op_top_grade_per_band(df: DataFrame) -> DataFrame:
     """Most frequent grade among Charged Off loans of each amount band
     (ROW_NUMBER() OVER (PARTITION BY band, status ORDER BY count DESC) = 1,
@@ -204,12 +202,17 @@ REPORTS = {
 }
 
 
-def _band_case(col: str = "funded_amnt") -> str:
-    return AMOUNT_BANDS.label_sql(col)
+# Edges and labels written out, apart from functions.bands.
+_BAND_CASE = (
+    "CASE WHEN funded_amnt IS NULL THEN 'Unknown' WHEN funded_amnt > 30000 THEN 'More than $30K'"
+    " WHEN funded_amnt > 25000 THEN 'From $25K - $30K' WHEN funded_amnt > 20000 THEN 'From $20K - $25K'"
+    " WHEN funded_amnt > 15000 THEN 'From $15K - $20K' WHEN funded_amnt > 10000 THEN 'From $10K - $15K'"
+    " WHEN funded_amnt > 5000 THEN 'From $5K - $10K' ELSE 'Less than $5K' END"
+)
 
 
 # Oracle: grouped SQL with one summary per question, joined on the band.
-_BANDED = f"banded AS (SELECT *, {_band_case()} AS range_of_loan FROM loans)"
+_BANDED = f"banded AS (SELECT *, {_BAND_CASE} AS range_of_loan FROM loans)"
 _CO_GRADES = (
     "co_grades AS (SELECT range_of_loan, grade, count(*) AS grade_counts FROM banded"
     " WHERE loan_status = 'Charged Off' GROUP BY range_of_loan, grade)"
@@ -278,6 +281,6 @@ ORACLE = {
     "a45_purpose_term_risk_band": _purpose_term_sql("funded_amnt > 5000 AND funded_amnt <= 10000"),
     "a46_status_counts_filtered": with_loans(
         "SELECT loan_status, count(*) AS number_of_loans FROM loans"
-        f" WHERE funded_amnt > 5000 AND funded_amnt <= 10000 AND int_rate_bp > {A46_MIN_RATE_BP}"
+        f" WHERE funded_amnt > 5000 AND funded_amnt <= 10000 AND int_rate_bp > 1514"
         " AND purpose = 'MACHINERY' AND term = '60 months' GROUP BY loan_status"),
 }

@@ -147,7 +147,13 @@ REPORTS = {
 
 
 def _income_case() -> str:
-    return INCOME_BANDS.label_sql("annual_inc")
+    # edges and labels written out, apart from functions.bands
+    return (
+        "CASE WHEN annual_inc IS NULL THEN 'Unknown' WHEN annual_inc > 360000 THEN 'Higher than $360k'"
+        " WHEN annual_inc > 160000 THEN 'From $160K - $360K' WHEN annual_inc > 80000 THEN 'From $80K - $160K'"
+        " WHEN annual_inc > 50000 THEN 'From $50K - $80K' WHEN annual_inc > 30000 THEN 'From $30K - $50K'"
+        " ELSE 'Under $30K' END"
+    )
 
 
 def _share(group: str, sub: str, cols: str, where: str = "") -> str:

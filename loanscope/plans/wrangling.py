@@ -2,8 +2,8 @@
 
 The loan view has clean text, so two keys first derive dirty input with a
 deterministic rule over every row (the same rule appears in the oracle):
-w_blank_to_null blanks out some purposes, w_years cuts some credit-line
-months to two-digit years.
+w_blank_to_null blanks out some purposes, w_years cuts some issue and
+credit-line months to two-digit years.
 """
 
 from __future__ import annotations
@@ -37,6 +37,15 @@ def dirty_credit_line(df: DataFrame) -> DataFrame:
     )
 
 
+def dirty_issue(df: DataFrame) -> DataFrame:
+    """Two-digit issue years for loan_id % 17 = 0."""
+    t = F.col("issue_d")
+    return df.withColumn(
+        "issue_d",
+        F.when(F.col("loan_id") % 17 == 0, F.concat(F.substring(t, 1, 4), F.substring(t, 7, 2))).otherwise(t),
+    )
+
+
 def w_blank_to_null(df: DataFrame) -> DataFrame:
     """Blank purposes become NULL; every row is kept."""
     return blank_to_null(dirty_purpose(df), ["purpose"]).select("loan_id", "purpose")
@@ -44,7 +53,7 @@ def w_blank_to_null(df: DataFrame) -> DataFrame:
 
 def w_years(df: DataFrame) -> DataFrame:
     """issue_year, normalised earliest_cr_line, credit_opened_year."""
-    raw = dirty_credit_line(df.select("loan_id", "issue_d", "earliest_cr_line"))
+    raw = dirty_issue(dirty_credit_line(df.select("loan_id", "issue_d", "earliest_cr_line")))
     return with_years(raw).select("loan_id", "issue_d", "issue_year", "earliest_cr_line", "credit_opened_year")
 
 
@@ -101,15 +110,18 @@ def _constant_sql() -> str:
     )
 
 
-_TWO_DIGIT_TEXT = (
-    "CASE WHEN loan_id % 13 = 0 THEN left(earliest_cr_line, 4) || substr(earliest_cr_line, 7, 2)"
-    " ELSE earliest_cr_line END"
-)
-_WIDEN = (
-    "CASE WHEN regexp_full_match(e, '[A-Za-z]{3}-[0-9]{2}')"
-    " THEN left(e, 4) || CAST(CASE WHEN CAST(right(e, 2) AS INT) >= 70 THEN 1900 ELSE 2000 END"
-    " + CAST(right(e, 2) AS INT) AS VARCHAR) ELSE e END"
-)
+def _two_digit_text(col: str, every: int) -> str:
+    return f"CASE WHEN loan_id % {every} = 0 THEN left({col}, 4) || substr({col}, 7, 2) ELSE {col} END"
+
+
+def _month_date(e: str) -> str:
+    wide = (
+        f"CASE WHEN regexp_full_match({e}, '[A-Za-z]{{3}}-[0-9]{{2}}')"
+        f" THEN left({e}, 4) || CAST(CASE WHEN CAST(right({e}, 2) AS INT) >= 70 THEN 1900 ELSE 2000 END"
+        f" + CAST(right({e}, 2) AS INT) AS VARCHAR) ELSE {e} END"
+    )
+    return f"CAST(try_strptime({wide}, '%b-%Y') AS DATE)"
+
 
 _ROUND_DTI = "(dti_bp + 50) // 100"
 
@@ -130,10 +142,11 @@ ORACLE = {
         " SELECT loan_id, CASE WHEN loan_id % 9 = 0 THEN '' WHEN loan_id % 9 = 1 THEN '  ' ELSE purpose END AS p"
         " FROM loans) t"),
     "w_years": with_loans(
-        "SELECT loan_id, issue_d, issue_year, strftime(d, '%b-%Y') AS earliest_cr_line,"
-        " CAST(year(d) AS BIGINT) AS credit_opened_year FROM ("
-        f" SELECT loan_id, issue_d, issue_year, CAST(try_strptime({_WIDEN}, '%b-%Y') AS DATE) AS d FROM ("
-        f"  SELECT loan_id, issue_d, issue_year, {_TWO_DIGIT_TEXT} AS e FROM loans) t1) t2"),
+        "SELECT loan_id, i AS issue_d, CAST(year(di) AS BIGINT) AS issue_year,"
+        " strftime(d, '%b-%Y') AS earliest_cr_line, CAST(year(d) AS BIGINT) AS credit_opened_year FROM ("
+        f" SELECT loan_id, i, {_month_date('i')} AS di, {_month_date('e')} AS d FROM ("
+        f"  SELECT loan_id, {_two_digit_text('issue_d', 17)} AS i,"
+        f" {_two_digit_text('earliest_cr_line', 13)} AS e FROM loans) t1) t2"),
     "w_constant_columns": _constant_sql(),
     "w_clean": with_loans(f"SELECT {CLEANED_SELECT} FROM loans"),
     "w_duplicate_keys": _duplicates_sql("loans"),

@@ -21,6 +21,7 @@ from loanscope.sources.loan_view import RAW_COLUMNS
 _TEXT = {
     "term", "grade", "sub_grade", "loan_status", "purpose", "home_ownership", "addr_state",
     "issue_d", "last_pymnt_d", "earliest_cr_line", "zip_code", "debt_settlement_flag", "pymnt_plan",
+    "hardship_flag", "disbursement_method", "initial_list_status", "application_type", "emp_title",
 }
 
 

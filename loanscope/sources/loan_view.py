@@ -36,9 +36,26 @@ RAW_COLUMNS = [
     "total_rec_prncp", "total_rec_int", "total_rec_late_fee", "recoveries",
     "collection_recovery_fee", "zip_code", "delinq_2yrs", "pub_rec",
     "mths_since_last_delinq", "inq_last_6mths", "debt_settlement_flag",
-    "total_acc", "pymnt_plan", "tax_liens",
+    "total_acc", "pymnt_plan", "tax_liens", "policy_code", "acc_now_delinq",
+    "hardship_flag", "delinq_amnt", "disbursement_method", "initial_list_status",
+    "collections_12_mths_ex_med", "out_prncp", "out_prncp_inv", "application_type",
+    "emp_title",
 ]
 
+# The columns that hold one value in the whole source file.
+CONSTANTS = {
+    "policy_code": 1,
+    "acc_now_delinq": 0,
+    "hardship_flag": "N",
+    "delinq_amnt": 0,
+    "disbursement_method": "Cash",
+    "initial_list_status": "f",
+    "collections_12_mths_ex_med": 0,
+    "out_prncp": 0,
+    "out_prncp_inv": 0,
+    "application_type": "Individual",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table of the scale-factor folder."""
@@ -128,5 +145,7 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "2 + loan_id % 80 AS total_acc",
         "'n' AS pymnt_plan",
         "CAST(CASE WHEN loan_id % 2 = 0 THEN 0 END AS BIGINT) AS tax_liens",
+        *[f"'{v}' AS {c}" if isinstance(v, str) else f"{v}L AS {c}" for c, v in CONSTANTS.items()],
+        "CASE WHEN o_custkey % 13 <> 0 THEN concat('employer ', CAST(o_custkey % 400 AS STRING)) END AS emp_title",
     )
     return out.select(*RAW_COLUMNS)

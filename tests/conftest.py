@@ -32,7 +32,8 @@ def small_loans(spark):
 _STRING = {
     "term", "grade", "sub_grade", "loan_status", "purpose", "home_ownership", "addr_state",
     "issue_d", "last_pymnt_d", "earliest_cr_line", "zip_code", "debt_settlement_flag",
-    "pymnt_plan", "payment_timing",
+    "pymnt_plan", "payment_timing", "hardship_flag", "disbursement_method", "initial_list_status",
+    "application_type", "emp_title",
 }
 
 
@@ -53,7 +54,10 @@ _DEFAULTS = dict(
     earliest_cr_line="Jan-2000", installment_c=30000, total_pymnt=11000, total_rec_prncp=10000,
     total_rec_int=1000, total_rec_late_fee=0, recoveries=0, collection_recovery_fee=0,
     zip_code="100xx", delinq_2yrs=0, pub_rec=0, mths_since_last_delinq=None, inq_last_6mths=0,
-    debt_settlement_flag="N", total_acc=10, pymnt_plan="n", tax_liens=0, issue_year=2010,
+    debt_settlement_flag="N", total_acc=10, pymnt_plan="n", tax_liens=0, policy_code=1, acc_now_delinq=0,
+    hardship_flag="N", delinq_amnt=0, disbursement_method="Cash", initial_list_status="f",
+    collections_12_mths_ex_med=0, out_prncp=0, out_prncp_inv=0, application_type="Individual",
+    emp_title="clerk", issue_year=2010,
     credit_opened_year=2000, term_months=36, months_made_payment=36, payment_timing="early",
 )
 

@@ -83,3 +83,42 @@ def test_a_changed_source_is_built_again(spark):
     orders = spark.read.parquet(f"{TESTDATA}/sf0.001/orders.parquet").limit(500)
     orders.write.mode("overwrite").parquet(f"{d}/orders.parquet")
     assert store.loans(spark, d).count() == 500
+
+
+def test_all_constant_columns_are_found_and_dropped(spark, small_loans):
+    from loanscope.operators.cleaning import FIRST_DROP, SECOND_DROP
+    from loanscope.plans.wrangling import w_clean, w_constant_columns
+
+    found = {r["column_name"] for r in w_constant_columns(small_loans).collect() if r["is_constant"]}
+    assert set(FIRST_DROP) <= found
+    assert not set(FIRST_DROP + SECOND_DROP) & set(w_clean(small_loans).columns)
+    assert set(FIRST_DROP + SECOND_DROP) <= set(small_loans.columns)
+
+
+def test_an_id_reads_few_row_groups(spark, small_loans):
+    path = f"{_folder()}/loans"
+    store.write_loans(small_loans.repartition(8, "purpose", "addr_state"), path)
+    one = spark.read.parquet(path).filter("loan_id = 707")
+    assert [r["loan_id"] for r in one.collect()] == [707]
+    node = one._jdf.queryExecution().executedPlan()
+    while node.children().size():
+        node = node.children().head()
+    read = node.metrics().get("numOutputRows").get().value()
+    assert 0 < read < small_loans.count() / 2
+
+
+def test_profit_gap_by_a_wide_key_stays_distributed(spark, small_loans):
+    got = pnl.pnl_gap(small_loans, "zip_code")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "RoundRobin" not in plan and "rangepartitioning" in plan
+    zips = [r["zip_code"] for r in got.collect()]
+    assert zips == sorted(zips) and len(zips) > 50
+
+
+@pytest.mark.parametrize("edge", [5000, 10000, 15000, 20000, 25000, 30000])
+def test_amount_edges_belong_to_the_band_below(spark, edge):
+    from loanscope.functions.bands import AMOUNT_BANDS
+
+    df = make_loans(spark, [{"funded_amnt": edge}, {"funded_amnt": edge + 1}])
+    got = [r[0] for r in df.orderBy("loan_id").select(AMOUNT_BANDS.ordinal("funded_amnt")).collect()]
+    assert got == [edge // 5000, edge // 5000 + 1]
