@@ -22,6 +22,11 @@ between letters and a following sign.  Texts where every white space stands so
 are encoded by units, each unit once (a table of bounded size); all other
 texts are encoded whole.  Either way the ids are the tokeniser's own.
 
+Added tokens.  The query and the pipeline give the ids of ``Tokenizer
+.from_file(path).encode(text, add_special_tokens=False)``: the string of an
+added token (``<|endoftext|>``) in a text becomes that token's id, and such a
+text is encoded whole.  Without ``added_tokens`` the string is ordinary text.
+
 Null and empty texts are one piece with the end id alone.  Repeated rows are
 packed like any others.  An empty table gives an empty result; extra columns
 are ignored.
@@ -63,12 +68,15 @@ _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 class UnitEncoder:
     """Token ids of texts as little-endian 32-bit bytes, by units."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens  # if set, their strings are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # their strings are found before the pattern cuts, so such a text is not one of units
+        self.uneven = _UNEVEN + tuple(t.content for t in added) * added_tokens
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -88,7 +96,7 @@ class UnitEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if text[-1] == " " or any(x in text for x in _UNEVEN):
+        if text[-1] == " " or any(x in text for x in self.uneven):
             return self._whole(text)
         units = _UNIT.findall(text)
         found = list(map(self.young.get, units))
@@ -99,9 +107,9 @@ class UnitEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str, added_tokens: bool = False) -> UnitEncoder:
     """The encoder of a tokeniser file, loaded once per Python worker."""
-    return UnitEncoder(path)
+    return UnitEncoder(path, added_tokens)
 
 
 def cuts(total: int, capacity: int, step: int):
@@ -113,12 +121,12 @@ def cuts(total: int, capacity: int, step: int):
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, step: int = STEP,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
     end = array("I", [end_id]).tobytes()  # 32-bit, in the machine's (little-endian) order
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, added_tokens)
         for b in slices(batches):
             rows = []
             for doc, text in zip(ids_of(b).tolist(), b.column(1).to_pylist()):
@@ -178,9 +186,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP,
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """Tokenise, store the pieces, pack."""
-    return pack(written(tokenise(docs, path, capacity), "pieces"), capacity)
+    return pack(written(tokenise(docs, path, capacity, added_tokens=added_tokens), "pieces"), capacity)
 
 
 def tokenizer_path() -> str:
@@ -190,7 +198,7 @@ def tokenizer_path() -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), added_tokens=True)
 
 
 QUERIES = {"op10_packing": op10_packing}
