@@ -7,8 +7,9 @@ words of their class and id attributes, link density, length, punctuation,
 position.  Neighbouring labels are scored too; Viterbi decoding gives the best
 labelling of the whole page, and the article blocks are joined by line breaks.
 
-Script, style and other raw elements, forms, comments and markup are never
-text.  Character references are decoded, white space inside a block becomes
+Script, style and other raw elements (``_RAW``, not custom elements such as
+svg-icon), forms, comments and markup are never text; formulas and the
+fallback of an object are.  Character references are decoded, white space inside a block becomes
 one space.  Unclosed or stray tags are handled as browsers do in the plain
 cases: a paragraph ends where a block begins, a closing tag closes up to its
 opening one, markup cut off by the end of the page is dropped.
@@ -48,9 +49,9 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK_TAGS - {"body", "button", "head", "html", "option", "title"}
 
-_RAW = "script|style|noscript|template|textarea|svg|iframe|object|math|canvas"
+_RAW = "script|style|noscript|template|textarea|svg|iframe|canvas"
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\s[^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*|[^>]*))>"
     r"|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z",
     re.S | re.I)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from loanscope.llm import packing
+from loanscope.llm import html_extract, packing
 
 END = "<|endoftext|>"
 
@@ -30,3 +30,16 @@ def test_packing_query_and_stage_encode_added_tokens(llm, docs, tmp_path):
     assert want[1][0] == 5
     for out in (packing.op10_packing(llm, str(tmp_path)), corpus_pipeline.sequences(llm, df, str(tmp_path))):
         assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<article><svg-icon name="x"></svg-icon><p>Main text.</p></article>', ["Main text."]),
+    ("<template-card><p>A card.</p></template-card><p>b</p>", ["A card.", "b"]),
+    ("<p>a<object-view>b</object-view>c</p><style-guide>d</style-guide>", ["abc", "d"]),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>", ["Let x=2 hold."]),
+    ('<object data="a.swf"><param name="q" value="1"><p>Fallback text.</p></object>', ["Fallback text."]),
+    ("<svg\nwidth=1><text>no</text></svg><p>a</p><svg/><p>b</p><script>no</script >", ["a", "b"]),
+    ("<STYLE>p{}</STYLE><canvas>no</canvas><p>a", ["a"]),
+])
+def test_raw_elements_are_told_by_their_whole_name(page, want):
+    assert [b.text for b in html_extract.blocks(page)] == want
