@@ -11,6 +11,9 @@ SHA-256 digests of the entire canonical texts are joined by hash:
 * equivalent spellings (``SPELLINGS``) become one;
 * runs of separators become one space, ends trimmed.
 
+The known licences are a fixed table: the short texts below and the files of
+``licenses/`` (named by their id), each in the forms of ``license_forms``.
+
 Two lookups use the same function and the same digests: the entire text of a
 document (``license_id``: the document is a copy of that licence) and each of
 its lines (``notice_ids``: the document names a licence in a notice line).
@@ -28,6 +31,9 @@ are pooled by doc_id.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +108,33 @@ LICENSE_TEXTS = {
     ),
 }
 
+_MIT_CONDITION = re.compile(r", subject to the following conditions:.*?portions of the Software\.", re.S)
+_ENDORSEMENT = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE"
+)
+
+# Licences whose words are those of another but for a paragraph.
+LICENSE_TEXTS |= {
+    "BSD-3-Clause": LICENSE_TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE", _ENDORSEMENT, 1),
+    "0BSD": LICENSE_TEXTS["ISC"].partition("\n\n")[2].replace(
+        ", provided that the above copyright notice and this permission notice appear in all copies", ""),
+    "MIT-0": _MIT_CONDITION.sub(".", LICENSE_TEXTS["MIT"].partition("\n\n")[2]),
+}
+
+# Headings under which the short texts are given, or none.
+LICENSE_HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "The BSD 2-Clause License",
+                     "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License",
+                     "New BSD License", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License"],
+}
+
 # One-line notices that name a licence.
 LICENSE_NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License."],
@@ -130,9 +163,30 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(c, " +", " "))
 
 
+def license_forms() -> list[tuple[str, str]]:
+    """(license_id, text) of every form of the full texts: short texts under
+    each heading and none, with and without numbers before the clauses; long
+    texts with and without what follows their terms; addresses with http and
+    https."""
+    forms = set()
+    for name, text in LICENSE_TEXTS.items():
+        heading, _, body = text.partition("\n\n")
+        if heading not in LICENSE_HEADINGS[name]:
+            body = text
+        for clauses in (body, re.sub(r"(?m)^\d\. ", "", body)):
+            forms |= {(name, f"{h}\n\n{clauses}") for h in ["", *LICENSE_HEADINGS[name]]}
+    for file in (files("loanscope.llm") / "licenses").iterdir():
+        text = file.read_text("utf-8")
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        for t in (text, terms + end, terms):
+            forms |= {(file.name.removesuffix(".txt"), t.replace(a, b))
+                      for a, b in (("http://", "https://"), ("https://", "http://"))}
+    return sorted(forms)
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """license_id, text: full texts and notices."""
-    rows = list(LICENSE_TEXTS.items()) + [(k, n) for k, ns in LICENSE_NOTICES.items() for n in ns]
+    rows = license_forms() + [(k, n) for k, ns in LICENSE_NOTICES.items() for n in ns]
     return spark.createDataFrame(rows, "license_id string, text string")
 
 

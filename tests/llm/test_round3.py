@@ -1,11 +1,12 @@
 import zlib
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from loanscope.llm import html_extract, packing
+from loanscope.llm import html_extract, license_scan, packing
 
 END = "<|endoftext|>"
 
@@ -43,3 +44,48 @@ def test_packing_query_and_stage_encode_added_tokens(llm, docs, tmp_path):
 ])
 def test_raw_elements_are_told_by_their_whole_name(page, want):
     assert [b.text for b in html_extract.blocks(page)] == want
+
+
+def test_whole_texts_of_common_licenses(llm):
+    folder = Path(license_scan.__file__).parent / "licenses"
+    names = ["Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense",
+             "BSL-1.0"]
+    bsd = """Copyright (c) 2019, Someone.  All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+
+""" + license_scan.LICENSE_TEXTS["BSD-2-Clause"].partition("THIS SOFTWARE")[1] + (
+        license_scan.LICENSE_TEXTS["BSD-2-Clause"].partition("THIS SOFTWARE")[2])
+    want = {n: n for n in names} | {
+        "bsd": "BSD-3-Clause", "bsd head": "BSD-3-Clause", "apache terms": "Apache-2.0", "gpl terms": "GPL-2.0",
+        "gpl http": "GPL-3.0", "mit": "MIT", "cut": None, "bsd more": None}
+    text = {n: (folder / f"{n}.txt").read_text() for n in names}
+    text |= {
+        "bsd": bsd, "bsd head": "BSD 3-Clause License\n\n" + bsd, "bsd more": bsd + "\nAnd more.",
+        "apache terms": text["Apache-2.0"].partition("END OF TERMS")[0] + "END OF TERMS AND CONDITIONS\n",
+        "gpl terms": text["GPL-2.0"].partition("END OF TERMS")[0],
+        "gpl http": text["GPL-3.0"].replace("https:", "http:"), "cut": text["GPL-3.0"][:20000],
+        "mit": license_scan.LICENSE_TEXTS["MIT"].replace("MIT License", "The MIT License (MIT)"),
+    }
+    ids = {i: n for i, n in enumerate(want)}
+    df = llm.createDataFrame([(i, text[n]) for i, n in ids.items()], "doc_id bigint, text string")
+    got = license_scan.license_scan(df, license_scan.known_licenses(llm)).collect()
+    assert {ids[r["doc_id"]]: r["license_id"] for r in got} == want
+
+
+def test_known_license_forms_have_one_id_each(llm):
+    known = license_scan.known_licenses(llm)
+    one = known.groupBy(license_scan.canonical(known["text"]).alias("c")).agg({"license_id": "collect_set"}).collect()
+    assert all(len(r[1]) == 1 for r in one)
