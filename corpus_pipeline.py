@@ -12,7 +12,9 @@ The first four return the columns of ``documents``.
    the texts (no row goes, n_chars follows the text);
 5. packing: pieces of token sequences.
 
-Null texts count as empty (the quality rules reject them); an empty table
+Null texts count as empty (the quality rules reject them); a row with a null
+doc_id is a document of its own that comes after all others and stays without
+an id, down to its pieces; an empty table
 passes through all stages; extra columns stay until the last one.
 """
 

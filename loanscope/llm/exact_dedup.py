@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanscope.llm.tables import read_table, with_columns_free, written
+from loanscope.llm.tables import read_table, with_columns_free, with_null_ids, written
 
 # Tasks over which the rows of one digest are spread in the first merge.
 SALTS = 32
@@ -75,9 +75,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, all columns unchanged."""
-    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"))
-    return docs.join(keep, docs["doc_id"] == keep["_keep_id"], "left_semi")
+    """The rows of ``docs`` that exact dedup keeps, all columns unchanged.  A
+    row with a null doc_id comes after all that have one: it stays if no other
+    text equals its own, and of equal texts without any doc_id one stays."""
+    def kept(docs: DataFrame) -> DataFrame:
+        keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"))
+        return docs.join(keep, docs["doc_id"] == keep["_keep_id"], "left_semi")
+
+    return with_null_ids(docs, kept)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

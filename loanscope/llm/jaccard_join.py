@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from loanscope.llm.graph import components
 from loanscope.llm.repeats import buckets_for, packed_texts, repeated, unpacked
-from loanscope.llm.tables import read_table, with_columns_free, written
+from loanscope.llm.tables import read_table, with_columns_free, with_null_ids, written
 from loanscope.llm.textbatch import LOWER, Rolling, ids_of, mix64, slices, text_buffers, word_hashes, words
 
 SHINGLE = 3
@@ -430,10 +430,15 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def kept_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class (the smallest doc_id), all columns."""
-    keep = jaccard_classes(docs, shingle, percent).filter("doc_id = component_id").select(
-        F.col("doc_id").alias("_keep_id"))
-    return docs.join(keep, docs["doc_id"] == keep["_keep_id"], "left_semi")
+    """One document of each class (the smallest doc_id), all columns.  A row
+    with a null doc_id comes after all that have one: it stays only if its
+    class has no doc_id, and then one of them does."""
+    def kept(docs: DataFrame) -> DataFrame:
+        keep = jaccard_classes(docs, shingle, percent).filter("doc_id = component_id").select(
+            F.col("doc_id").alias("_keep_id"))
+        return docs.join(keep, docs["doc_id"] == keep["_keep_id"], "left_semi")
+
+    return with_null_ids(docs, kept)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

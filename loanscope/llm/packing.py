@@ -28,7 +28,8 @@ added token (``<|endoftext|>``) in a text becomes that token's id, and such a
 text is encoded whole.  Without ``added_tokens`` the string is ordinary text.
 
 Null and empty texts are one piece with the end id alone.  Repeated rows are
-packed like any others.  An empty table gives an empty result; extra columns
+packed like any others.  A null doc_id stays null; its pieces come after all
+others of their length, spread and ordered by their CRC-32.  An empty table gives an empty result; extra columns
 are ignored.
 """
 
@@ -42,11 +43,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanscope.llm.tables import read_table, with_columns_free, written
-from loanscope.llm.textbatch import ids_of, slices
+from loanscope.llm.textbatch import slices
 
 CAPACITY = 2048
 END_ID = 1
@@ -56,6 +58,7 @@ GROUP = 8192
 LINEAR, QUADRATIC = 4096.0, 1.0
 STEP = 512  # the rest of a document is cut once, at a multiple of this
 MEMO = 300_000
+_LAST = (1 << 63) - 1  # where a null doc_id is sorted
 
 _UNIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?%*&$#|\"()])| ?[^ \n]+|\n")
 # White space that does not stand alone between other characters, or is
@@ -129,7 +132,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
         enc = encoder(path, added_tokens)
         for b in slices(batches):
             rows = []
-            for doc, text in zip(ids_of(b).tolist(), b.column(1).to_pylist()):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = enc.encode(text or "") + end
                 total = len(raw) // 4
                 for start, stop in cuts(total, capacity, step):
@@ -171,8 +174,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP,
     groups = max(1, -(-pieces.count() // group))
 
     def run(table: pa.Table) -> pa.Table:
-        cols = [table.column(c).to_numpy() for c in ("doc_id", "start", "length")]
-        order = np.lexsort((cols[1], cols[0], -cols[2]))
+        cols = [pc.fill_null(table.column(c), _LAST).to_numpy() for c in ("doc_id", "start", "length", "ids_crc32")]
+        order = np.lexsort((cols[3], cols[1], cols[0], -cols[2]))
         table = table.take(pa.array(order))
         seq, offset = assign(cols[2][order], capacity, linear, quadratic)
         number = table.column("grp").to_numpy()[0]
@@ -181,7 +184,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP,
             .append_column("offset", pa.array(offset))
 
     return (
-        pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+        pieces.withColumn("grp", F.pmod(F.xxhash64(F.coalesce("doc_id", "ids_crc32"), "start"), F.lit(groups)))
         .groupBy("grp").applyInArrow(run, _PIECES + ", sequence_id bigint, offset bigint")
     )
 

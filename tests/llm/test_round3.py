@@ -89,3 +89,32 @@ def test_known_license_forms_have_one_id_each(llm):
     known = license_scan.known_licenses(llm)
     one = known.groupBy(license_scan.canonical(known["text"]).alias("c")).agg({"license_id": "collect_set"}).collect()
     assert all(len(r[1]) == 1 for r in one)
+
+
+def test_rows_without_an_id_go_through_all_stages(llm):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in llm.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    good = {r["doc_id"] for r in corpus_pipeline.quality(llm, llm.createDataFrame(
+        rows, "doc_id bigint, text string, lang string"), sf).collect()}
+    _, text, lang = next(r for r in sorted(rows) if r[0] in good and len(r[1]) > 2000)
+    own = " ".join(f"w{i * i % 977}x{i}" for i in range(120)) + "."
+    near = own.replace("w4x2", "other")
+    rows += [(None, own, lang), (None, own, lang), (None, near, lang), (None, text, lang), (None, "short", lang),
+             (None, None, lang)]
+    df = llm.createDataFrame([(*r, len(r[1] or "")) for r in rows],
+                             "doc_id bigint, text string, lang string, n_chars bigint").repartition(4)
+    nulls = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = corpus_pipeline.written(stage(llm, df, sf), "test")
+        assert df.schema["doc_id"].dataType.simpleString() == "bigint"
+        nulls.append(sorted(r["text"] for r in df.filter("doc_id IS NULL").collect()))
+        if name == "quality_rules":
+            assert {r["doc_id"] for r in df.filter("doc_id IS NOT NULL").collect()} == good
+    assert nulls[0] == sorted([own, own, near, text]) and nulls[1] == sorted([own, near])
+    assert len(nulls[2]) == 1 and nulls[2][0] in (own, near) and nulls[3] == nulls[2]
+    packed = corpus_pipeline.sequences(llm, df, sf).collect()
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    ids = np.array(tok.encode(nulls[3][0], add_special_tokens=False).ids + [packing.END_ID], "<u4")
+    pieces = sorted((r["start"], r["length"], r["ids_crc32"]) for r in packed if r["doc_id"] is None)
+    assert pieces == [(a, b - a, zlib.crc32(ids[a:b].tobytes()))
+                      for a, b in packing.cuts(len(ids), packing.CAPACITY, packing.STEP)]
