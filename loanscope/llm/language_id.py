@@ -11,9 +11,9 @@ everything learned to be trusted.
 
 Learning.  Only training rows are used: text and language, never doc_id or
 source.  Document frequencies are counted over all training rows.  The
-clusters are fitted on a hash sample of about ``SAMPLE`` rows per language (a
-row is taken with probability SAMPLE / rows of its language), one language per
-task; the model (languages x clusters x DIMS numbers) is what reaches the
+clusters are fitted on a hash sample of each language's distinct texts
+(``sampled``: those with the least hashes, ``SAMPLE`` at most, all if there are
+fewer; copies count once), one language per task; the model (languages x clusters x DIMS numbers) is what reaches the
 driver and the tasks.
 
 Prediction reads whole texts.  Null texts and texts without a letter are
@@ -28,7 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanscope.llm.tables import read_table
@@ -109,6 +109,22 @@ class Model:
         return best, cos[np.arange(len(best)), best]
 
 
+def sampled(train: DataFrame, sample: int) -> DataFrame:
+    """(lang, text): of every language the distinct texts with the least
+    hashes (low bits), ``sample`` at most."""
+    rows = train.select("lang", "text", F.xxhash64("text").alias("h"))
+    distinct = rows.select("lang", "h").distinct()
+    sizes = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    # about twice as many as are taken, so that the ranking does not grow with the texts
+    near = distinct.join(F.broadcast(sizes), "lang").filter(part * F.col("n") <= 2 * sample)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(part, "h"))
+    least = near.withColumn("rank", rank).filter(F.col("rank") <= sample)
+    # sample x languages rows
+    return rows.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]) \
+        .groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def fit(train: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, reject: float = REJECT) -> Model | None:
     """The model of rows (text, lang); rows with a null are ignored."""
     train = train.select("text", "lang").dropna()
@@ -129,13 +145,6 @@ def fit(train: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, reject
     df = np.array([total[i] for i in range(DIMS)])
     idf = (np.log((1 + rows) / (1 + df)) + 1).astype(np.float32)
 
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    picked = (
-        train.join(sizes, "lang")
-        .filter((F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)) * F.col("rows") <= sample)
-        .select("lang", "text")
-    )
-
     def cluster(table: pa.Table) -> pa.Table:
         v = tfidf(gram_counts(*text_buffers(table.column("text"))), idf)
         c, own = fit_clusters(v, clusters)
@@ -146,7 +155,7 @@ def fit(train: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, reject
             "least": pa.array([float(np.quantile(cos[own == i], reject)) for i in used], pa.float64()),
             "centroid": pa.array([c[i].astype("<f4").tobytes() for i in used], pa.binary())})
 
-    found = picked.groupBy("lang").applyInArrow(cluster, "lang string, least double, centroid binary").collect()
+    found = sampled(train, sample).groupBy("lang").applyInArrow(cluster, "lang string, least double, centroid binary").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["centroid"]))
     if not found:
         return None

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from loanscope.llm import html_extract, license_scan, packing
+from loanscope.llm import html_extract, language_id, license_scan, packing
 
 END = "<|endoftext|>"
 
@@ -118,3 +118,15 @@ def test_rows_without_an_id_go_through_all_stages(llm):
     pieces = sorted((r["start"], r["length"], r["ids_crc32"]) for r in packed if r["doc_id"] is None)
     assert pieces == [(a, b - a, zlib.crc32(ids[a:b].tobytes()))
                       for a, b in packing.cuts(len(ids), packing.CAPACITY, packing.STEP)]
+
+
+def test_language_sample_counts_distinct_texts_and_is_bounded(llm):
+    rows = [("one text many times", "aa")] * 600 + [(f"text number {i}", "aa") for i in range(50)]
+    rows += [(f"copied text {i}", "bb") for i in range(3)] * 400 + [("alone", "cc")]
+    train = llm.createDataFrame(rows, "text string, lang string").repartition(5)
+    got = [tuple(r) for r in language_id.sampled(train, 20).select("text", "lang").collect()]
+    assert len(set(got)) == len(got) and set(got) <= set(rows)
+    assert {g: sum(x == g for _, x in got) for g in ("aa", "bb", "cc")} == {"aa": 20, "bb": 3, "cc": 1}
+    assert sorted(got) == sorted(tuple(r) for r in language_id.sampled(train.repartition(3), 20).select(
+        "text", "lang").collect())
+    assert set(language_id.fit(train, sample=20).langs) == {"aa", "bb", "cc"}
