@@ -59,8 +59,10 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: SQL cannot express thresholds, suffix arrays or tokenisation; the tests
-#: compare every stage with a brute-force version.
+#: SQL cannot express thresholds, suffix arrays or tokenisation;
+#: tests/llm/test_plain.py compares the rows of every stage with a plain
+#: version (packing: the pieces; of the sequences only that they are filled
+#: without gaps up to their capacity).
 ORACLE_SQL = None
 
 
