@@ -10,6 +10,7 @@ from loanscope.llm.tables import ship
 _MODULES = [
     "jaccard_join", "language_id", "suffix_dedup", "html_extract", "license_scan",
     "sentencepiece_bpe", "exact_dedup", "substring_dedup", "quality_rules", "packing",
+    "quality_cnn", "vector_codes", "prefix_trie",
 ]
 
 
