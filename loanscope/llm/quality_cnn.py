@@ -65,12 +65,12 @@ class Layout:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         size = np.diff(offs)
-        blocks = np.maximum(1, -(-size // BLOCK))
+        blocks = -(-(size + WIDTH - 1) // BLOCK)  # no window reaches into the next text
         self.first = np.concatenate(([0], np.cumsum(blocks)))
         self.code = np.full(self.first[-1] * BLOCK + WIDTH - 1, _PAD, np.int16)
-        at = np.repeat(self.first[:-1] * BLOCK - offs[:-1], size)
-        self.code[np.arange(len(data)) + at] = data
-        spare = blocks * BLOCK - size
+        for lo, hi, at in zip(offs[:-1].tolist(), offs[1:].tolist(), (self.first[:-1] * BLOCK).tolist()):
+            self.code[at:at + hi - lo] = data[lo:hi]
+        spare = blocks * BLOCK - size  # at least WIDTH - 1
         skip = np.repeat(self.first[1:] * BLOCK - np.cumsum(spare), spare)
         self.idle = np.arange(spare.sum()) + skip
         chunks = np.maximum(1, -(-(blocks - 2) // 2))
