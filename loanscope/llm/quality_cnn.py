@@ -174,7 +174,9 @@ class Network:
         g = {"o": np.hstack((mean, top)).T @ dz, "ob": dz.sum(keepdims=True)}
         d_mean = dz[:, None] * self.p["o"][:HIDDEN] / np.diff(lay.begin)[:, None]
         d_top = dz[:, None] * self.p["o"][HIDDEN:]
-        dh = (d_mean[own] + np.where(h == top[own], d_top[own], 0)) * (h > 0)
+        best = h == top[own]  # chunks that are alike share the maximum
+        d_top = d_top / np.add.reduceat(best, lay.begin[:-1], axis=0, dtype=np.float32)
+        dh = (d_mean[own] + np.where(best, d_top[own], 0)) * (h > 0)
         g["h"], g["hb"] = f.T @ dh, dh.sum(0)
         df = np.where(f > 0, dh @ self.p["h"].T, 0).astype(np.float32)
         g["kb"] = df.sum(0)
