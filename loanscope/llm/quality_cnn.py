@@ -13,7 +13,7 @@ Learning.  Labelled rows only, text and label, never doc_id, lang or source.
 Of either label the ``SAMPLE`` rows with the least hashes of their ids are
 taken (all if there are fewer); of a sampled text longer than ``SEGMENT`` bytes
 one segment of that length, at a place that its own hash draws, is learned
-from.  That bounds the training set to 2 * SAMPLE * SEGMENT bytes (8 MB), which
+from.  That bounds the training set to 2 * SAMPLE * SEGMENT bytes (12 MB), which
 one task holds.  Both labels weigh alike in training; afterwards the bias moves
 by the log odds of the labels over all training rows, so that a score is a
 probability for rows like those.  What leaves the training task is the model,
@@ -44,9 +44,9 @@ FILTERS = 48
 HIDDEN = 16
 BLOCK = 64            # positions pooled first
 CHUNK = 4 * BLOCK     # a chunk is four blocks and begins every two
-SAMPLE = 1000
+SAMPLE = 1500
 SEGMENT = 4096
-EPOCHS = 6
+EPOCHS = 12
 BATCH = 32
 RATE = 0.004
 STEP = 1 << 14
