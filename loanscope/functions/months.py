@@ -52,9 +52,10 @@ def format_month(date) -> Column:
 
 
 def month_year_code(text: str) -> Column:
-    """``Dec-1999`` -> ``1299`` (two-digit month, two-digit year; the MMyy
-    print of the parsed month), NULL unless the text is ``Mon-yyyy``.  Case
-    does not matter, as in ``parse_month``.
+    """``Dec-1999`` and ``Dec-99`` -> ``1299`` (two-digit month, two-digit
+    year: the MMyy print of the parsed month), NULL for any other text.  Case
+    does not matter, as in ``parse_month``; a two-digit year is its own last
+    two digits under the pivot, so both spellings of a month agree.
 
     String arithmetic on the text (month looked up in a 12-entry array), no
     date parsing or formatting per value.
@@ -62,9 +63,8 @@ def month_year_code(text: str) -> Column:
     months = ", ".join(f"'{m.lower()}'" for m in MONTH_ABBREVIATIONS)
     m = f"array_position(array({months}), lower(substring({text}, 1, 3)))"
     return F.expr(
-        f"CASE WHEN length({text}) = 8 AND substring({text}, 4, 1) = '-' AND {m} > 0"
-        f" AND try_cast(substring({text}, 5, 4) AS INT) IS NOT NULL"
-        f" THEN concat(lpad(CAST({m} AS STRING), 2, '0'), substring({text}, 7, 2)) END"
+        f"CASE WHEN {text} RLIKE '^[A-Za-z]{{3}}-([0-9]{{2}}){{1,2}}$' AND {m} > 0"
+        f" THEN concat(lpad(CAST({m} AS STRING), 2, '0'), right({text}, 2)) END"
     )
 
 

@@ -97,21 +97,20 @@ def standardise_units(df: DataFrame) -> DataFrame:
     ``int_rate`` (``'10.65%'`` or 10.65) becomes ``int_rate_bp`` (1065),
     ``dti`` (27.65) becomes ``dti_bp`` (2765) and ``installment`` (162.87
     dollars) becomes ``installment_c`` (16287 cents), each rounded half-up
-    from its decimal text; columns that are absent are left alone.  Money
-    columns may keep cents (decimal): the reports' ratios are exact for
+    from its decimal text; columns that are absent are left alone.  A blank
+    cell is NULL; any other text that is no number (``12,5``) fails the job.
+    Money columns may keep cents (decimal): the reports' ratios are exact for
     fractional sums too.
     """
-    conversions = {
-        "int_rate": ("int_rate_bp", "regexp_replace(CAST(int_rate AS STRING), '%', '')"),
-        "dti": ("dti_bp", "CAST(dti AS STRING)"),
-        "installment": ("installment_c", "CAST(installment AS STRING)"),
-    }
+    targets = {"int_rate": "int_rate_bp", "dti": "dti_bp", "installment": "installment_c"}
     out = df
-    for src, (dst, text) in conversions.items():
+    for src, dst in targets.items():
         if src in df.columns:
-            out = out.withColumn(
-                dst, F.expr(f"CAST(round(try_cast(trim({text}) AS DECIMAL(18,4)) * 100, 0) AS BIGINT)")
-            ).drop(src)
+            text = F.trim(F.col(src).cast("string"))
+            number = (F.regexp_replace(text, "%$", "") if src == "int_rate" else text).try_cast("decimal(18,4)")
+            bad = F.raise_error(F.concat(F.lit(f"column {src}: not a number: "), text)).cast("decimal(18,4)")
+            exact = F.when(number.isNull() & (text != ""), bad).otherwise(number)
+            out = out.withColumn(dst, F.round(exact * 100, 0).cast("bigint")).drop(src)
     return out
 
 

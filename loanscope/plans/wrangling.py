@@ -8,14 +8,19 @@ credit-line months to two-digit years.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanscope.operators.cleaning import blank_to_null, with_years
 from loanscope.operators.profile import composite_key, constant_columns, duplicate_keys
 from loanscope.operators.row_id import with_row_id
 from loanscope.operators.shares import in_order
 from loanscope.plans.oracle_base import CLEANED_SELECT, with_loans
+from loanscope.session import require_shared_dir
+from loanscope.sources.loan_csv import import_loans
 from loanscope.sources.loan_view import RAW_COLUMNS
 from loanscope.sources.store import cleaned
 
@@ -82,6 +87,55 @@ def w_duplicate_keys_reimport(df: DataFrame) -> DataFrame:
     return w_duplicate_keys(reimported(df))
 
 
+def w_duplicate_keys_two_digit(df: DataFrame) -> DataFrame:
+    """Composite keys occurring more than once when the second import spells
+    issue and credit-line months with two-digit years (loan_id % 17 = 0 and
+    % 13 = 0): another spelling of a month is the same key."""
+    again = dirty_issue(dirty_credit_line(df.filter(F.col("loan_id") % 100 == 3)))
+    return w_duplicate_keys(df.unionByName(again))
+
+
+IMPORT_HEADER = "loan_id,purpose,emp_title,annual_inc"
+
+
+def dirty_file(df: DataFrame) -> DataFrame:
+    """Lines of a loan file (one text column), some of them bad: by loan_id % 40
+    a cell is missing (1), the income is no number (2), the title holds a
+    separator, quotes and a line break inside quotes (3), the purpose is quoted
+    (4) or a cell is too many (5)."""
+    r = F.col("loan_id") % 40
+    income = F.coalesce(F.col("annual_inc").cast("string"), F.lit("NULL"))
+    cells = [
+        F.col("loan_id").cast("string"),
+        F.when(r == 4, F.concat(F.lit('"'), F.coalesce("purpose", F.lit("")), F.lit('"')))
+        .otherwise(F.coalesce("purpose", F.lit("NULL"))),
+        F.when(r == 3, F.lit('"chief, ""night""\nshift"')).otherwise(F.coalesce("emp_title", F.lit("NULL"))),
+        F.when(r == 1, None).when(r == 2, F.concat(income, F.lit("O"))).otherwise(income),
+        F.when(r == 5, F.lit("extra")),
+    ]
+    line = F.concat_ws(",", *cells)  # leaves out what is null
+    # one file per task, each beginning with the header
+    first = F.shiftleft(F.spark_partition_id().cast("bigint"), 33) == F.monotonically_increasing_id()
+    return df.select(line.alias("line")).select(
+        F.when(first, F.concat(F.lit(IMPORT_HEADER + "\n"), "line")).otherwise(F.col("line")).alias("line"))
+
+
+def w_import(df: DataFrame) -> DataFrame:
+    """The loan table written as a file with bad records and imported again:
+    every record is loaded or rejected with a column and a reason."""
+    path = f"{require_shared_dir(df.sparkSession).rstrip('/')}/loanscope-import-{uuid.uuid4().hex}"
+    dirty_file(df).write.text(path)
+    schema = T.StructType([T.StructField("loan_id", T.LongType()), T.StructField("purpose", T.StringType()),
+                           T.StructField("emp_title", T.StringType()), T.StructField("annual_inc", T.LongType())])
+    loaded, rejects = import_loans(df.sparkSession, path, schema)
+    none = F.lit(None).cast("string")
+    given = F.substring_index("text", ",", 1).cast("bigint").alias("loan_id")
+    loaded = loaded.withColumn("annual_inc", F.col("annual_inc").cast("double"))
+    return loaded.select("*", F.lit(False).alias("rejected"), none.alias("bad_column"), none.alias("reason")).unionByName(
+        rejects.select(given, none.alias("purpose"), none.alias("emp_title"), none.cast("double").alias("annual_inc"),
+                       F.lit(True).alias("rejected"), F.col("column").alias("bad_column"), "reason"))
+
+
 def w_row_id(df: DataFrame) -> DataFrame:
     """Dense loan ids 1..N in loan_id order, without a single partition."""
     return with_row_id(df.select("loan_id"), "loan_id", id_col="row_id")
@@ -94,6 +148,8 @@ REPORTS = {
     "w_clean": w_clean,
     "w_duplicate_keys": w_duplicate_keys,
     "w_duplicate_keys_reimport": w_duplicate_keys_reimport,
+    "w_duplicate_keys_two_digit": w_duplicate_keys_two_digit,
+    "w_import": w_import,
     "w_row_id": w_row_id,
 }
 
@@ -126,13 +182,13 @@ def _month_date(e: str) -> str:
 _ROUND_DTI = "(dti_bp + 50) // 100"
 
 
-def _duplicates_sql(source: str) -> str:
+def _duplicates_sql(source: str, month=lambda c: f"CAST(try_strptime({c}, '%b-%Y') AS DATE)") -> str:
     return with_loans(
         "SELECT primkey, count(primkey) AS occurrences FROM ("
-        " SELECT left(zip_code, 3) || '-' || strftime(CAST(try_strptime(earliest_cr_line, '%b-%Y') AS DATE), '%m%y')"
+        f" SELECT left(zip_code, 3) || '-' || strftime({month('earliest_cr_line')}, '%m%y')"
         " || '-' || left(home_ownership, 1) || '-' || sub_grade || '-' || upper(left(purpose, 3)) || '-'"
         f" || CAST({_ROUND_DTI} AS VARCHAR) || '-' || CAST(funded_amnt AS VARCHAR) || '-'"
-        f" || strftime(CAST(try_strptime(issue_d, '%b-%Y') AS DATE), '%m%y') AS primkey FROM {source}) keyed"
+        f" || strftime({month('issue_d')}, '%m%y') AS primkey FROM {source}) keyed"
         " GROUP BY primkey HAVING count(primkey) > 1")
 
 
@@ -152,5 +208,17 @@ ORACLE = {
     "w_duplicate_keys": _duplicates_sql("loans"),
     "w_duplicate_keys_reimport": _duplicates_sql(
         "(SELECT * FROM loans UNION ALL SELECT * FROM loans WHERE loan_id % 100 = 3) again"),
+    "w_duplicate_keys_two_digit": _duplicates_sql(
+        "(SELECT * FROM loans UNION ALL SELECT * REPLACE ("
+        f"{_two_digit_text('issue_d', 17)} AS issue_d, {_two_digit_text('earliest_cr_line', 13)} AS earliest_cr_line)"
+        " FROM loans WHERE loan_id % 100 = 3) again", _month_date),
+    "w_import": with_loans(
+        "SELECT loan_id, CASE WHEN NOT bad THEN purpose END AS purpose,"
+        " CASE WHEN NOT bad THEN CASE WHEN r = 3 THEN 'chief, \"night\"' || chr(10) || 'shift' ELSE emp_title END END"
+        " AS emp_title, CAST(CASE WHEN NOT bad THEN annual_inc END AS DOUBLE) AS annual_inc, bad AS rejected,"
+        " CASE WHEN r = 2 THEN 'annual_inc' END AS bad_column,"
+        " CASE WHEN r IN (1, 5) THEN 'not 4 cells'"
+        " WHEN r = 2 THEN 'not a bigint: ' || coalesce(CAST(annual_inc AS VARCHAR), 'NULL') || 'O' END AS reason"
+        " FROM (SELECT *, loan_id % 40 AS r, loan_id % 40 IN (1, 2, 5) AS bad FROM loans) t"),
     "w_row_id": with_loans("SELECT loan_id, row_number() OVER (ORDER BY loan_id) AS row_id FROM loans"),
 }

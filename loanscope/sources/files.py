@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanscope.operators.cleaning import blank_to_null
+from loanscope.sources.loan_csv import checked
 from loanscope.sources.loan_view import RAW_COLUMNS
 
 _TEXT = {
@@ -35,28 +35,19 @@ def raw_schema() -> T.StructType:
 def read_loans(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Raw loans from CSV, columns found by their header names in any order.
 
-    'NULL' and blank cells become NULL; a cell that is no value of its
-    column's type fails the job with the cell's text (give money columns a
-    decimal type when the file has cents).  A missing column is an error;
-    columns outside the schema are not read.
+    'NULL' and blank cells become NULL.  A record with a cell that is no value
+    of its column's type (give money columns a decimal type when the file has
+    cents), with too few or too many cells or an open quote fails the job with
+    its line and reason; ``loan_csv.import_loans`` returns such records as a
+    second table instead.  Cells in quotes may hold separators and line breaks.
+    A missing column is an error; columns outside the schema are not read.
     """
-    st = schema or raw_schema()
-    df = spark.read.option("header", True).option("nullValue", "NULL").option("inferSchema", False).csv(path)
-    text = blank_to_null(df.select(*[f.name for f in st.fields]), [f.name for f in st.fields])
-
-    def typed(f: T.StructField):
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.StringType):
-            return c
-        number = F.expr(f"try_cast(trim(`{f.name}`) AS {f.dataType.simpleString()})")
-        exact = number
-        if isinstance(f.dataType, (T.LongType, T.IntegerType)):
-            # a cast would cut decimals off silently
-            exact = F.when(F.trim(c).rlike(r"^[+-]?\d+$"), number)
-        bad = F.raise_error(F.concat(F.lit(f"column {f.name}: not a {f.dataType.simpleString()}: "), c))
-        return F.when(c.isNull() | exact.isNotNull(), exact).otherwise(bad.cast(f.dataType)).alias(f.name)
-
-    return text.select(*[typed(f) for f in st.fields])
+    rows = checked(spark, path, schema or raw_schema())
+    said = F.concat_ws(" ", F.concat(F.lit("line "), F.col("line"), F.lit(" of "), F.col("file")),
+                       F.concat(F.lit("column "), F.col("column"), F.lit(":")), F.col("reason"))
+    # in the filter, so that no selection of columns leaves the check out
+    good = F.when(F.col("reason").isNotNull(), F.raise_error(said).cast("boolean")).otherwise(F.lit(True))
+    return rows.filter(good).select("row.*")
 
 
 def save_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

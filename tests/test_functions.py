@@ -73,8 +73,10 @@ def test_comma_text(spark):
 
 
 def test_month_year_code(spark):
-    df = spark.createDataFrame([("Dec-1999",), ("Mar-2005",), ("Foo-2011",), ("Dec-99",), (None,)], "t string")
-    assert [r.c for r in df.select(month_year_code("t").alias("c")).collect()] == ["1299", "0305", None, None, None]
+    df = spark.createDataFrame([("Dec-1999",), ("Mar-2005",), ("Foo-2011",), ("dec-99",), ("Jan-0",), ("Jan-201",), (None,)],
+                               "t string")
+    assert [r.c for r in df.select(month_year_code("t").alias("c")).collect()] == [
+        "1299", "0305", None, "1299", None, None, None]
 
 
 def test_ratios_do_not_overflow_on_large_sums(spark):
