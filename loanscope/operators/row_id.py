@@ -31,33 +31,45 @@ from pyspark.sql import functions as F
 from loanscope.session import require_shared_dir
 
 
-def with_row_id(df: DataFrame, order_cols, id_col: str = "row_id", num_partitions: int | None = None) -> DataFrame:
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row_id(df: DataFrame, order_cols, id_col: str = "row_id", num_partitions: int | None = None,
+                work_dir: str | None = None) -> DataFrame:
     """Add ``id_col`` = 1..N in the order of ``order_cols`` (see the module
-    notes)."""
+    notes); a column of that name is replaced, all others stay as they are.
+    The tagged rows are written to ``work_dir``, by default a new folder in the
+    session's shared one; whoever names a folder may remove it when the result
+    is no longer read."""
     spark = df.sparkSession
-    base = require_shared_dir(spark)
+    path = work_dir or f"{require_shared_dir(spark).rstrip('/')}/loanscope-rowid-{uuid.uuid4().hex}"
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    pid, pos, off = (_free(df, n) for n in ("_pid", "_pos", "_off"))
     # Without an explicit count the range exchange uses the session's shuffle
     # partitions and AQE may merge neighbouring ranges; merged ranges stay in
     # key order, so the tags below remain globally ordered.
     ranged = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
-    path = f"{base.rstrip('/')}/loanscope-rowid-{uuid.uuid4().hex}"
     (
         ranged
         .sortWithinPartitions(*cols)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+        .withColumn(pid, F.spark_partition_id())
+        .withColumn(pos, F.monotonically_increasing_id() - F.shiftleft(F.col(pid).cast("bigint"), 33))
         .write.parquet(path)
     )
     tagged = spark.read.parquet(path)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    counts = tagged.groupBy(pid).agg(F.count(F.lit(1)).alias(off))
     offsets = counts.select(
-        "_pid",
+        pid,
         F.coalesce(
-            F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+            F.sum(off).over(Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0).cast("bigint"),
-        ).alias("_off"),
+        ).alias(off),
     )
     # one row per range partition: bounded by n
-    out = tagged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(id_col, F.col("_off") + F.col("_pos") + 1).drop("_pid", "_pos", "_off")
+    out = tagged.join(F.broadcast(offsets), pid)
+    return out.withColumn(id_col, F.col(off) + F.col(pos) + 1).drop(pid, pos, off)

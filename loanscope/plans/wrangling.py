@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanscope.operators.cleaning import blank_to_null, with_years
+from loanscope.operators.cleaning import FULLY_PAID, blank_to_null, with_years
 from loanscope.operators.profile import composite_key, constant_columns, duplicate_keys
 from loanscope.operators.row_id import with_row_id
 from loanscope.operators.shares import in_order
 from loanscope.plans.oracle_base import CLEANED_SELECT, with_loans
 from loanscope.session import require_shared_dir
 from loanscope.sources.loan_csv import import_loans
+from loanscope.sources.published import append_with_ids, publish, read_appended, read_published
 from loanscope.sources.loan_view import RAW_COLUMNS
 from loanscope.sources.store import cleaned
 
@@ -141,6 +142,26 @@ def w_row_id(df: DataFrame) -> DataFrame:
     return with_row_id(df.select("loan_id"), "loan_id", id_col="row_id")
 
 
+def w_appended_ids(df: DataFrame) -> DataFrame:
+    """Ids of a table that grows: the loans with loan_id % 3 > 0 are appended
+    first, then the others; ids continue from the stored mark."""
+    path = f"{require_shared_dir(df.sparkSession).rstrip('/')}/loanscope-appended-{uuid.uuid4().hex}"
+    rows = df.select(F.col("loan_id").alias("source_id"), "issue_year", "funded_amnt")
+    for part in (rows.filter("source_id % 3 > 0"), rows.filter("source_id % 3 = 0")):
+        append_with_ids(part, path, "source_id")
+    return read_appended(df.sparkSession, path)
+
+
+def w_published(df: DataFrame) -> DataFrame:
+    """The clean table after two exports to one published table: first the
+    Fully Paid loans, then all; readers see the last version only."""
+    path = f"{require_shared_dir(df.sparkSession).rstrip('/')}/loanscope-published-{uuid.uuid4().hex}"
+    rows = df.select("loan_id", "loan_status", "funded_amnt")
+    publish(rows.filter(F.col("loan_status") == FULLY_PAID), path)
+    publish(rows, path)
+    return read_published(df.sparkSession, path)
+
+
 REPORTS = {
     "w_years": w_years,
     "w_blank_to_null": w_blank_to_null,
@@ -151,6 +172,8 @@ REPORTS = {
     "w_duplicate_keys_two_digit": w_duplicate_keys_two_digit,
     "w_import": w_import,
     "w_row_id": w_row_id,
+    "w_appended_ids": w_appended_ids,
+    "w_published": w_published,
 }
 
 
@@ -221,4 +244,8 @@ ORACLE = {
         " WHEN r = 2 THEN 'not a bigint: ' || coalesce(CAST(annual_inc AS VARCHAR), 'NULL') || 'O' END AS reason"
         " FROM (SELECT *, loan_id % 40 AS r, loan_id % 40 IN (1, 2, 5) AS bad FROM loans) t"),
     "w_row_id": with_loans("SELECT loan_id, row_number() OVER (ORDER BY loan_id) AS row_id FROM loans"),
+    "w_appended_ids": with_loans(
+        "SELECT row_number() OVER (ORDER BY loan_id % 3 = 0, loan_id) AS loan_id, loan_id AS source_id, issue_year,"
+        " funded_amnt FROM loans"),
+    "w_published": with_loans("SELECT loan_id, loan_status, funded_amnt FROM loans"),
 }

@@ -11,10 +11,13 @@ written by Spark's own writers in parallel, never collected to the driver.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loanscope.sources import commits
 from loanscope.sources.loan_csv import checked
 from loanscope.sources.loan_view import RAW_COLUMNS
 
@@ -51,11 +54,39 @@ def read_loans(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def save_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a report (``fmt`` parquet or csv with a header)."""
-    w = df.write.mode(mode)
-    if fmt == "csv":
-        w = w.option("header", True)
-    w.format(fmt).save(path)
+    """Write a report (``fmt`` parquet or csv with a header) to the folder
+    ``path``.
+
+    Overwriting is staged: the report is written beside the old one and takes
+    its place by renaming once it is complete, so an export that fails leaves
+    the old report as it was.  Between the two renames the folder is missing
+    for a moment; ``published.publish`` has no such moment (versions behind a
+    pointer, read with ``read_published``)."""
+    spark, path = df.sparkSession, path.rstrip("/")
+
+    def write(target: str, mode: str) -> None:
+        w = df.write.mode(mode)
+        if fmt == "csv":
+            w = w.option("header", True)
+        w.format(fmt).save(target)
+
+    if mode != "overwrite" or not commits.exists(spark, path):
+        write(path, mode)
+        return
+    tag = uuid.uuid4().hex
+    fresh, old = f"{path}.new-{tag}", f"{path}.old-{tag}"
+    try:
+        write(fresh, "errorifexists")
+    except BaseException:
+        commits.remove(spark, fresh)
+        raise
+    commits.move(spark, path, old)
+    try:
+        commits.move(spark, fresh, path)
+    except BaseException:
+        commits.move(spark, old, path)
+        raise
+    commits.remove(spark, old)
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
