@@ -3,13 +3,13 @@ duplicate keys.
 
 All three are single passes with partial aggregation: the constant-column
 profile is one global aggregate (min, max, count per column) whose one
-output row is unpivoted; the duplicate check is a group-by on the key where
+output row is unpivoted (over files, number columns come from the footers); the duplicate check is a group-by on the key where
 map-side combining collapses repeated keys before the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanscope.functions.months import month_year_code
@@ -68,6 +68,70 @@ def constant_columns(df: DataFrame, cols=None, chunk: int = PROFILE_CHUNK) -> Da
     )
 
 
+# Types whose least and largest value Parquet footers hold exactly (text is cut
+# there, decimals and timestamps have several encodings).
+FOOTER_TYPES = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date"}
+
+
+def _footer_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application in which min, max and count of Parquet
+    columns are answered from file footers (the data source v2 reader)."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own
+
+
+def _footer_row(table: DataFrame, names: list, functions: tuple) -> dict | None:
+    """{(function, column): text} from the footers; None if one of them lacks
+    the statistics (Spark fails the job then)."""
+    aggs = [f"{f}(`{c}`) AS {f}{i}" for i, c in enumerate(names) for f in functions]
+    texts = [f"CAST({f}{i} AS STRING) AS {f}{i}" for i in range(len(names)) for f in functions]
+    try:
+        row = table.selectExpr(*aggs).selectExpr(*texts).first()
+    except Exception as e:
+        if "aggregatePushdown" not in str(e):
+            raise
+        return None
+    return {(f, c): row[f"{f}{i}"] for i, c in enumerate(names) for f in functions}
+
+
+def footer_profile(spark: SparkSession, path: str, names: list) -> list[tuple]:
+    """(column_name, non_null, min_value, max_value) of columns of FOOTER_TYPES
+    from the footers of the Parquet files at ``path``: no row group is read.
+    Columns are left out if a footer lacks their statistics, as is the case for
+    a file in which all values of a column are null."""
+    table = _footer_session(spark).read.parquet(path)
+    counts = _footer_row(table, names, ("count",)) if names else {}
+    if counts is None:
+        return []
+    n = {c: int(counts["count", c] or 0) for c in names}
+
+    def ranges(group: list) -> dict:
+        found = _footer_row(table, group, ("min", "max")) if group else {}
+        if found is not None or len(group) == 1:
+            return found or {}
+        half = len(group) // 2
+        return ranges(group[:half]) | ranges(group[half:])
+
+    known = ranges([c for c in names if n[c]])
+    return [(c, n[c], known.get(("min", c)), known.get(("max", c))) for c in names if not n[c] or ("min", c) in known]
+
+
+def constant_columns_of_files(spark: SparkSession, path: str, cols=None) -> DataFrame:
+    """``constant_columns`` of a table in Parquet files.  Numbers and dates are
+    profiled from the footers (one small job when this is called; a row per
+    column passes the driver); rows are read only for text columns and for
+    columns without statistics."""
+    table = spark.read.parquet(path)
+    names, types = list(cols) if cols is not None else table.columns, dict(table.dtypes)
+    known = footer_profile(spark, path, [c for c in names if types[c] in FOOTER_TYPES])
+    found = spark.createDataFrame(known, "column_name string, non_null bigint, min_value string, max_value string")
+    found = found.withColumn("is_constant", (F.col("non_null") > 0) & (F.col("min_value") == F.col("max_value")))
+    rest = [c for c in names if c not in {k[0] for k in known}]
+    return found.unionByName(constant_columns(table, rest)) if rest else found
+
+
 # dti rounded half up to whole percents, from basis points
 ROUNDED_DTI = "(dti_bp + 50) div 100"
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanscope.operators.cleaning import FULLY_PAID, blank_to_null, with_years
-from loanscope.operators.profile import composite_key, constant_columns, duplicate_keys
+from loanscope.operators.profile import composite_key, constant_columns, constant_columns_of_files, duplicate_keys
 from loanscope.operators.row_id import with_row_id
 from loanscope.operators.shares import in_order
 from loanscope.plans.oracle_base import CLEANED_SELECT, with_loans
@@ -23,7 +23,7 @@ from loanscope.session import require_shared_dir
 from loanscope.sources.loan_csv import import_loans
 from loanscope.sources.published import append_with_ids, publish, read_appended, read_published
 from loanscope.sources.loan_view import RAW_COLUMNS
-from loanscope.sources.store import cleaned
+from loanscope.sources.store import cleaned, written_path
 
 
 def dirty_purpose(df: DataFrame) -> DataFrame:
@@ -64,8 +64,14 @@ def w_years(df: DataFrame) -> DataFrame:
 
 
 def w_constant_columns(df: DataFrame) -> DataFrame:
-    """Profile of every raw column: which ones hold a single value."""
-    return constant_columns(df.select(*RAW_COLUMNS)).transform(in_order("column_name"))
+    """Profile of every raw column: which ones hold a single value.  Of the
+    written loan table, number columns are profiled from the file footers."""
+    path = written_path(df)
+    if path is None:
+        found = constant_columns(df.select(*RAW_COLUMNS))
+    else:
+        found = constant_columns_of_files(df.sparkSession, path, RAW_COLUMNS)
+    return found.transform(in_order("column_name"))
 
 
 def w_clean(df: DataFrame) -> DataFrame:

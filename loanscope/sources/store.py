@@ -117,6 +117,12 @@ def loans(spark: SparkSession, sf_dir: str, materialised: bool = True) -> DataFr
     return df
 
 
+def written_path(df: DataFrame) -> str | None:
+    """Folder of the written table that ``df`` is, as returned by ``loans``;
+    None for any other DataFrame."""
+    return next((path for path, known in _read.items() if known is df), None)
+
+
 def _cleaned_columns() -> list:
     cols = [c for c in RAW_COLUMNS if c not in set(FIRST_DROP + SECOND_DROP)]
     cols.insert(cols.index("issue_d") + 1, "issue_year")
