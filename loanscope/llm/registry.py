@@ -14,10 +14,16 @@ _MODULES = [
 ]
 
 
+def load() -> list:
+    """All modules with queries (a package that one of them needs and that is
+    missing raises ImportError here)."""
+    return [importlib.import_module(f"loanscope.llm.{m}") for m in _MODULES]
+
+
 def _all(name: str) -> dict:
     out = {}
-    for m in _MODULES:
-        out.update(getattr(importlib.import_module(f"loanscope.llm.{m}"), name))
+    for module in load():
+        out.update(getattr(module, name))
     return out
 
 
