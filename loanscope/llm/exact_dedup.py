@@ -17,7 +17,9 @@ space has become one space.  The work is native DataFrame code:
 
 Null text counts as empty, and empty texts are equal to each other.  Ties
 cannot arise: doc_id orders the copies; rows that repeat a doc_id are counted
-as rows and all marked kept when theirs is the smallest id.  An empty table
+as rows and all marked kept when theirs is the smallest id.  A row with a null
+doc_id comes after all that have one: if its group has no doc_id, one of its
+rows is kept and the keep_id of all is null.  An empty table
 gives an empty result.  Other columns of the input are ignored.
 """
 
@@ -53,7 +55,11 @@ def duplicate_groups(members: DataFrame, salts: int = SALTS) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256
     (see the module notes for nulls, ties, repeated rows and empty input)."""
-    rows = with_columns_free(docs, id_col, text_col)
+    return with_null_ids(with_columns_free(docs, id_col, text_col), lambda rows: _exact_dedup(rows, salts),
+                         ids=("doc_id", "keep_id"))
+
+
+def _exact_dedup(rows: DataFrame, salts: int) -> DataFrame:
     content = normalised(F.col("text"))
     digests = written(rows.select("doc_id", F.sha2(content, 256).alias("text_sha256")), "digests")
     repeated = digests.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("text_sha256")

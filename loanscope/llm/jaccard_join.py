@@ -292,7 +292,7 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 "doc_id", "label", "inter", "uni")
         .join(members.select("doc_id", "n_shingles", "sketch"), "doc_id")
     )
-    rows = open_.count()
+    rows = int(open_.agg(F.sum(blocks)).first()[0] or 0)  # after the explode
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("cell", "x", "y"), F.lit(max(64, rows // 5000))))
 
     def run(table: pa.Table) -> pa.Table:
@@ -422,7 +422,14 @@ def _named_in(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles, component_id of every document.  A row with a null
+    doc_id is a document that comes after all others: its component_id is null
+    only if no doc_id is in its class."""
+    rows = with_columns_free(docs, "doc_id", "text")
+    return with_null_ids(rows, lambda rows: _jaccard_classes(rows, shingle, percent), ids=("doc_id", "component_id"))
+
+
+def _jaccard_classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     of, links = jaccard_join(docs, shingle, percent)
     classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return of.join(classes, of["member"] == classes["vertex"], "left").select(

@@ -24,8 +24,6 @@ alike; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,9 +36,28 @@ DIMS = 4096
 CLUSTERS = 4
 SAMPLE = 300
 REJECT = 0.005
+ROWS = 512  # texts per step of a task: 8 MB of counts
 # A-Z in lower case, other ASCII signs as spaces
 _LETTERS = np.where((LOWER >= 97) & (LOWER <= 122) | (LOWER >= 128), LOWER, 0x20).astype(np.uint8)
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of a text is a letter (general category L)."""
+    return any(map(str.isalpha, text))
+
+
+_TABLES: dict = {}
+
+
+def _classes(n: int, dims: int) -> np.ndarray:
+    """Class of every n-byte code (32 MB for three bytes, built in steps)."""
+    if (n, dims) not in _TABLES:
+        table = np.empty(1 << (8 * n), np.int16)
+        for lo in range(0, len(table), 1 << 18):
+            codes = np.arange(lo, min(len(table), lo + (1 << 18)), dtype=np.uint64)
+            table[lo:lo + (1 << 18)] = mix64(codes + np.uint64(n << 40)) % np.uint64(dims)
+        _TABLES[n, dims] = table
+    return _TABLES[n, dims]
 
 
 def gram_counts(data: np.ndarray, offs: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -48,8 +65,8 @@ def gram_counts(data: np.ndarray, offs: np.ndarray, dims: int = DIMS) -> np.ndar
     n_docs = len(offs) - 1
     low = _LETTERS[data].astype(np.uint32)
     gap = (low[1:] == 0x20) & (low[:-1] == 0x20)
-    out = np.zeros(n_docs * dims, np.int64)
-    doc = np.repeat(np.arange(n_docs, dtype=np.int64), np.diff(offs))
+    out = np.zeros(n_docs * dims, np.int32)
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(offs))
     for n in (2, 3):
         m = len(low) - n + 1
         if m <= 0:
@@ -57,23 +74,19 @@ def gram_counts(data: np.ndarray, offs: np.ndarray, dims: int = DIMS) -> np.ndar
         code = low[:m].copy()
         for k in range(1, n):
             code = (code << np.uint32(8)) | low[k:k + m]
-        table = _classes(n, dims)
         inside = (doc[:m] == doc[n - 1:]) & ~gap[:m]
         if n == 3:
             inside &= ~gap[1:m + 1]
-        out += np.bincount((doc[:m] * dims + table[code])[inside], minlength=len(out))
+        cell = doc[:m] * np.int32(dims) + _classes(n, dims)[code]
+        out += np.bincount(cell[inside], minlength=len(out)).astype(np.int32)
     return out.reshape(n_docs, dims)
 
 
-_TABLES: dict = {}
-
-
-def _classes(n: int, dims: int) -> np.ndarray:
-    """Class of every n-byte code."""
-    if (n, dims) not in _TABLES:
-        codes = np.arange(1 << (8 * n), dtype=np.uint64)
-        _TABLES[n, dims] = (mix64(codes + np.uint64(n << 40)) % np.uint64(dims)).astype(np.int16)
-    return _TABLES[n, dims]
+def parts(batches, text_col: str = "text"):
+    """Slices of at most ``ROWS`` texts, which bounds the counts of a slice."""
+    for b in slices(batches, text_col):
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
 
 
 def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -131,7 +144,7 @@ def fit(train: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, reject
 
     def frequencies(batches):
         df, n = np.zeros(DIMS, np.int64), 0
-        for b in slices(batches):
+        for b in parts(batches):
             df += (gram_counts(*text_buffers(b.column(0))) > 0).sum(0)
             n += b.num_rows
         yield pa.RecordBatch.from_arrays(
@@ -166,9 +179,9 @@ def fit(train: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, reject
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected of rows (doc_id, text)."""
     def run(batches):
-        for b in slices(batches):
+        for b in parts(batches):
             texts = b.column(1).to_pylist()
-            known = [bool(t) and _LETTER.search(t) is not None and model is not None for t in texts]
+            known = [bool(t) and has_letter(t) and model is not None for t in texts]
             if model is not None:
                 best, cos = model.predict(*text_buffers(b.column(1)))
             else:
@@ -185,7 +198,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def is_held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether a row is kept for testing (one with a null doc_id is not)."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,15 +8,14 @@ words, which are removed.  Windows are judged on the input; the first
 occurrence goes as well.
 
 A hash held by a third of all windows costs one entry per slice of texts.
-Hashes have 64 bits and the bits of their bucket; the number of buckets
-follows the corpus, so the expected number of windows that look repeated by
-chance is (windows per bucket) * windows / 2**65, under 1e-4 for 10**10
-windows.
+Hashes have 64 bits: of N different windows about N**2 / 2**64 share theirs with
+another by chance (one in 10**10 of 10**9 windows, some five of 10**10).
 
 Null and empty texts and texts with fewer words than a window lose nothing.
 A row that repeats in full is an occurrence of its own: all its windows then
 start elsewhere too, and go (doc_id names a text; rows of one doc_id must
-agree on it).  Extra columns are ignored.
+agree on it).  A row with a null doc_id is a text of its own.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanscope.llm.repeats import buckets_for, packed_texts, repeated, total_bytes, unpacked, with_found
-from loanscope.llm.tables import read_table, with_columns_free
+from loanscope.llm.tables import read_table, with_columns_free, with_null_ids
 from loanscope.llm.textbatch import SLICE_BYTES, Rolling, mix64, runs, slices, text_buffers, word_hashes, words
 
 WINDOW = 35
@@ -59,7 +58,10 @@ def join_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, removed (array of word intervals start,
     end) and kept_text (the kept words joined by one space)."""
-    rows = with_columns_free(docs, id_col, text_col)
+    return with_null_ids(with_columns_free(docs, id_col, text_col), lambda rows: _substring_dedup(rows, window))
+
+
+def _substring_dedup(rows: DataFrame, window: int) -> DataFrame:
     found = repeated(rows, lambda col: window_hashes(*text_buffers(col), window), buckets_for(total_bytes(rows)))
 
     def cut(batches):

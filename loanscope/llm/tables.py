@@ -37,24 +37,33 @@ def with_columns_free(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_null_ids(docs: DataFrame, stage: Callable[[DataFrame], DataFrame],
-                  others: DataFrame | None = None) -> DataFrame:
-    """``stage(docs)``, a selection of the rows of ``docs``, where a row with a
-    null doc_id is a document of its own: the stage sees it under an id above
-    all doc_ids (those of ``others`` too), in the order of the text's SHA-256
-    and the other columns; it leaves with a null doc_id again."""
+                  others: DataFrame | None = None, ids: tuple = ("doc_id",)) -> DataFrame:
+    """``stage(docs)``, where a row with a null doc_id is a document of its own:
+    the stage sees it under an id above all doc_ids (those of ``others`` too), in
+    the order of the text's SHA-256 and the other columns; in the columns ``ids``
+    of the result such an id is null again."""
     top, nulls = docs.agg(F.max("doc_id").cast("bigint"), F.count_if(F.col("doc_id").isNull())).first()
     if not nulls:
         return stage(docs)
     tops = [top, others.agg(F.max("doc_id").cast("bigint")).first()[0] if others is not None else None]
     least = max([t for t in tops if t is not None], default=-1) + 1
     kind = docs.schema["doc_id"].dataType
-    rest = [F.col(c) for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t]
-    nameless = with_row_id(docs.filter(F.col("doc_id").isNull()), [F.sha2("text", 256), *rest], "_row")
-    nameless = nameless.withColumn("doc_id", F.col("_row") + F.lit(least - 1)).select(docs.columns)
+    rest = [F.col(f"`{c}`") for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t]
+    row = free_name(docs, "_row")
+    nameless = with_row_id(docs.filter(F.col("doc_id").isNull()), [F.sha2("text", 256), *rest], row)
+    nameless = nameless.withColumn("doc_id", F.col(row) + F.lit(least - 1)).select(*[f"`{c}`" for c in docs.columns])
     named = docs.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     out = stage(named.unionByName(nameless))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") < least, F.col("doc_id")).cast(kind))
+    return out.withColumns({c: F.when(F.col(c) < least, F.col(c)).cast(kind) for c in ids})
 
 
 _shipped: set[str] = set()
