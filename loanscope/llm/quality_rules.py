@@ -202,12 +202,15 @@ def fit_cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     cuts = {p["stratum"]: {r: list(p[r]) for r in RULES} for p in proposal.collect()}
     # the first level that rejects a document: cutoffs fall with the level,
     # so it is the number of cutoffs at or above the ratio
-    named = proposal.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
-    first = F.least(*[F.expr(f"size(filter(cut_{r}, c -> c >= {r}))") for r in RULES])
-    cells = (
-        rows.filter("holdout").join(named, "stratum")
-        .groupBy("stratum", "good", first.alias("first")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    # (the cutoffs, strata x rules x levels numbers, are part of the expression:
+    # a stratum that holds most rows is not brought together)
+    known = F.create_map(*[x for s in sorted(cuts) for x in (F.lit(s), F.struct(
+        *[F.array(*[F.lit(float(c)) for c in cuts[s][r]]).alias(r) for r in RULES]))]) if cuts else None
+    if known is None:
+        return {}
+    held = rows.filter("holdout").withColumn("cut", known[F.col("stratum")]).filter("cut IS NOT NULL")
+    first = F.least(*[F.expr(f"size(filter(cut.{r}, c -> c >= {r}))") for r in RULES])
+    cells = held.groupBy("stratum", "good", first.alias("first")).agg(F.count(F.lit(1)).alias("n"))
     seen = {s: np.zeros((2, len(levels) + 1), int) for s in cuts}
     for c in cells.collect():
         seen[c["stratum"]][int(c["good"])][c["first"]] += c["n"]
