@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -44,17 +44,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> np.ndarray:
-    steps = np.full(size, base, dtype=np.uint64)
+_ROW = 1 << 11
+
+
+@lru_cache(maxsize=32)
+def _first_powers(base: int) -> np.ndarray:
+    """base**0 .. base**(_ROW-1) modulo 2**64 (16 KB)."""
+    steps = np.full(_ROW, base, dtype=np.uint64)
     steps[0] = 1
     return np.multiply.accumulate(steps)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64 (table sizes are powers of two,
-    so that few are kept)."""
-    return _powers(base, 1 << max(10, int(n).bit_length()))[:n]
+    """base**0 .. base**(n-1) modulo 2**64, as products of two short tables;
+    no table of a text's length is kept."""
+    row = _first_powers(base)
+    if n <= _ROW:
+        return row[:n]
+    tall = np.full(-(-n // _ROW), pow(base, _ROW, 1 << 64), dtype=np.uint64)
+    tall[0] = 1
+    return (np.multiply.accumulate(tall)[:, None] * row).reshape(-1)[:n]
 
 
 class Rolling:
@@ -109,7 +118,11 @@ def slices(batches, text_col: str = "text", max_bytes: int = SLICE_BYTES):
 
 
 def ids_of(batch: pa.RecordBatch, col: str = "doc_id") -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(col)).to_numpy(zero_copy_only=False).astype(np.int64)
+    """Ids as int64; they must not be null (numpy would make them doubles)."""
+    ids = batch.column(batch.schema.get_field_index(col))
+    if ids.null_count:
+        raise ValueError(f"null in {col}")
+    return ids.cast(pa.int64()).to_numpy()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
