@@ -48,7 +48,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack_documents(docs, packing.tokenizer_path(), added_tokens=True)
+    return packing.pack_documents(docs, added_tokens=True, **packing.tokenizer())
 
 
 STAGES = [

@@ -7,8 +7,9 @@ without a gap, the small tails fill what is left).  Ids exist only inside that t
 
 ``pack`` assigns pieces to sequences.  A piece of n tokens costs
 ``linear * n + quadratic * n * n`` (attention looks inside a document only).
-Pieces are spread by a hash over groups of about ``GROUP`` pieces, so that
-every group is bounded and packs on its own; a group starts with as many
+Pieces are numbered in the order of doc_id, start and checksum and dealt in
+turn to groups of at most ``GROUP`` pieces, so that every group is bounded,
+whatever is repeated, and packs on its own; a group starts with as many
 empty sequences as its tokens need at least, takes its pieces in descending
 order and gives each to the sequence of lowest cost so far that has room for
 it, or to a new one if none has.  Ties go to the smaller doc_id and start, and
@@ -16,25 +17,24 @@ to the sequence opened first, so the result does not depend on partitioning.
 The open end of a group is at most the sequences it needs beyond the minimum;
 the number of groups follows the number of pieces.
 
-Tokens per unit.  The tokeniser's pattern always cuts before a single space
-and around a single line break that stand between other characters, and
-between letters and a following sign.  Texts where every white space stands so
-are encoded by units, each unit once (a table of bounded size); all other
-texts are encoded whole.  Either way the ids are the tokeniser's own.
-
-Added tokens.  The query and the pipeline give the ids of ``Tokenizer
+Token ids.  The query and the pipeline give the ids of ``Tokenizer
 .from_file(path).encode(text, add_special_tokens=False)``: the string of an
-added token (``<|endoftext|>``) in a text becomes that token's id, and such a
-text is encoded whole.  Without ``added_tokens`` the string is ordinary text.
+added token (``<|endoftext|>``) in a text becomes that token's id.  Without
+``added_tokens`` the string is ordinary text.  Given the same vocabulary as a
+rank file (``ranks_path``), texts are encoded from the ranks, which is faster;
+texts with an added token's string, or with a run of ``SPACES`` white space signs
+(on which that engine runs out of stack), are left to the tokeniser.  The tests
+compare both over every code point.  Nothing is kept from text to text.
 
 Null and empty texts are one piece with the end id alone.  Repeated rows are
 packed like any others.  A null doc_id stays null; its pieces come after all
-others of their length, spread and ordered by their CRC-32.  An empty table gives an empty result; extra columns
-are ignored.
+others of their length, ordered by their CRC-32.  An empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -47,6 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanscope.llm.order_sums import ranked
 from loanscope.llm.tables import read_table, with_columns_free, written
 from loanscope.llm.textbatch import slices
 
@@ -57,62 +58,44 @@ GROUP = 8192
 # the linear layers' cost per token.
 LINEAR, QUADRATIC = 4096.0, 1.0
 STEP = 512  # the rest of a document is cut once, at a multiple of this
-MEMO = 300_000
+SPACES = 200
 _LAST = (1 << 63) - 1  # where a null doc_id is sorted
 
-_UNIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?%*&$#|\"()])| ?[^ \n]+|\n")
-# White space that does not stand alone between other characters, or is
-# neither a space nor a line break: such texts are encoded whole.
-_UNEVEN = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
-
+_LONG_SPACE = re.compile(r"\s{%d}" % SPACES)
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-class UnitEncoder:
-    """Token ids of texts as little-endian 32-bit bytes, by units."""
+class Encoder:
+    """Token ids of texts as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str, added_tokens: bool = False, ranks_path: str | None = None, pattern: str = ""):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added_tokens  # if set, their strings are ordinary text
         added = self.tokenizer.get_added_tokens_decoder().values()
-        # their strings are found before the pattern cuts, so such a text is not one of units
-        self.uneven = _UNEVEN + tuple(t.content for t in added) * added_tokens
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, units: set[str]) -> None:
-        if len(self.young) >= MEMO:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh = [u for u in units if u not in old]
-        for u in units.difference(fresh):
-            young[u] = old[u]
-        for u, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            young[u] = array("I", e.ids).tobytes()
+        self.strings = tuple(t.content for t in added) if added_tokens else ()
+        self.ranks = None
+        if ranks_path:
+            import tiktoken
+
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if text[-1] == " " or any(x in text for x in self.uneven):
-            return self._whole(text)
-        units = _UNIT.findall(text)
-        found = list(map(self.young.get, units))
-        while None in found:
-            self._learn({u for u, f in zip(units, found) if f is None})
-            found = list(map(self.young.get, units))
-        return b"".join(found)
+        if self.ranks is None or any(s in text for s in self.strings) or _LONG_SPACE.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).tobytes()
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, added_tokens: bool = False) -> UnitEncoder:
+def encoder(path: str, added_tokens: bool = False, ranks_path: str | None = None, pattern: str = "") -> Encoder:
     """The encoder of a tokeniser file, loaded once per Python worker."""
-    return UnitEncoder(path, added_tokens)
+    return Encoder(path, added_tokens, ranks_path, pattern)
 
 
 def cuts(total: int, capacity: int, step: int):
@@ -124,12 +107,13 @@ def cuts(total: int, capacity: int, step: int):
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, step: int = STEP,
-             id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False,
+             ranks_path: str | None = None, pattern: str = "") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
     end = array("I", [end_id]).tobytes()  # 32-bit, in the machine's (little-endian) order
 
     def run(batches):
-        enc = encoder(path, added_tokens)
+        enc = encoder(path, added_tokens, ranks_path, pattern)
         for b in slices(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -170,8 +154,12 @@ def assign(length: np.ndarray, capacity: int, linear: float, quadratic: float):
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP,
          linear: float = LINEAR, quadratic: float = QUADRATIC) -> DataFrame:
-    """Adds sequence_id and offset to stored pieces (read twice)."""
+    """Adds sequence_id and offset to stored pieces (read three times)."""
     groups = max(1, -(-pieces.count() // group))
+    # equal pieces are interchangeable, so any order among them will do
+    order = [F.coalesce("doc_id", F.lit(_LAST)), F.col("start"), F.col("ids_crc32"),
+             F.xxhash64(F.monotonically_increasing_id())]
+    dealt = ranked(pieces, order, [F.col(c) for c in pieces.columns])
 
     def run(table: pa.Table) -> pa.Table:
         cols = [pc.fill_null(table.column(c), _LAST).to_numpy() for c in ("doc_id", "start", "length", "ids_crc32")]
@@ -184,24 +172,32 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP,
             .append_column("offset", pa.array(offset))
 
     return (
-        pieces.withColumn("grp", F.pmod(F.xxhash64(F.coalesce("doc_id", "ids_crc32"), "start"), F.lit(groups)))
+        dealt.withColumn("grp", F.pmod("rank", F.lit(groups))).drop("rank")
         .groupBy("grp").applyInArrow(run, _PIECES + ", sequence_id bigint, offset bigint")
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, added_tokens: bool = False,
+                   ranks_path: str | None = None, pattern: str = "") -> DataFrame:
     """Tokenise, store the pieces, pack."""
-    return pack(written(tokenise(docs, path, capacity, added_tokens=added_tokens), "pieces"), capacity)
+    pieces = tokenise(docs, path, capacity, added_tokens=added_tokens, ranks_path=ranks_path, pattern=pattern)
+    return pack(written(pieces, "pieces"), capacity)
 
 
-def tokenizer_path() -> str:
+def tokenizer() -> dict:
+    """The arguments that name the public tokeniser, its ranks and its pattern."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return {"path": public_tokenizers.path("byte_bpe_50k.json"),
+            "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def tokenizer_path() -> str:
+    return tokenizer()["path"]
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), added_tokens=True)
+    return pack_documents(read_table(spark, sf_dir, "documents"), added_tokens=True, **tokenizer())
 
 
 QUERIES = {"op10_packing": op10_packing}

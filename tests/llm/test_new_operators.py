@@ -326,3 +326,108 @@ def test_matches_sql(llm, key):
     names = [c[0] for c in want.description]
     got = module.QUERIES[key](llm, "/root/testdata/sf0.001").select(*names).collect()
     assert _same(got, want.fetchall())
+
+
+# --- rows without a doc_id, ids above 2**53, columns of any name
+
+
+def _null_id_docs(llm):
+    passage = " ".join(f"w{i}" for i in range(120))
+    other = " ".join(f"v{i}" for i in range(200))
+    big = 2**60
+    rows = [(big + 1, "a b c " + passage), (big + 3, passage + " x y z"), (None, other), (big + 5, other + " end"),
+            (None, passage + " tail of its own"), (7, "short"), (None, None), (None, ""), (None, other), (8, other)]
+    data = [(d, t, "en", "s", len(t or ""), 1, 2, 3, 4, 5, "k", 6) for d, t in rows]
+    df = llm.createDataFrame(
+        data, "doc_id bigint, text string, lang string, source string, n_chars bigint, _row int, _pid int, _pos int,"
+              " _off int, kept_id int, _kept string, kept_text int")
+    return rows, df.repartition(3)
+
+
+def _with_numbers(rows):
+    """The rows with the ids that stand for null: above all others, by the
+    SHA-256 of the text."""
+    top = max(d for d, _ in rows if d is not None)
+    nulls = sorted((t for d, t in rows if d is None), key=lambda t: (t is not None, hashlib.sha256((t or "").encode()).hexdigest()))
+    return [(d, t) for d, t in rows if d is not None] + [(top + 1 + i, t) for i, t in enumerate(nulls)], top
+
+
+def test_rows_without_an_id_are_documents(llm):
+    import brute
+
+    from loanscope.llm import exact_dedup, jaccard_join, substring_dedup, suffix_dedup
+
+    rows, df = _null_id_docs(llm)
+    numbered, top = _with_numbers(rows)
+    null = lambda d: None if d is not None and d > top else d
+
+    want = brute.suffix_dedup(dict(numbered))
+    got = suffix_dedup.suffix_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert _same(got, [(null(d), *v) for d, v in want.items()])
+
+    got = substring_dedup.substring_dedup(df).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert _same(got, [(null(r[0]), *r[1:]) for r in brute.substring_dedup(numbered)])
+
+    groups = defaultdict(list)
+    for d, t in numbered:
+        groups[t or ""].append(d)
+    got = exact_dedup.exact_dedup(df).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert _same(got, [(null(d), null(min(g)), len(g), d == min(g)) for g in groups.values() for d in g])
+
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_join.jaccard_classes(df, 3, 80).collect()}
+    big = 2**60
+    assert got[big + 1, 121] == got[big + 3, 121] == big + 1
+    assert got[None, 122] == big + 1                       # linked to documents with an id
+    assert got[None, 198] == got[8, 198] == got[big + 5, 199] == 8
+    assert got[None, 0] is None and got[7, 1] == 7
+
+
+def test_stages_keep_columns_of_any_name(llm):
+    from loanscope.llm import exact_dedup, jaccard_join, suffix_dedup
+
+    rows, df = _null_id_docs(llm)
+    out = suffix_dedup.deduplicated_documents(df)
+    assert out.columns == df.columns and out.count() == len(rows)
+    assert {tuple(r)[5:] for r in out.collect()} == {(1, 2, 3, 4, 5, "k", 6)}
+    for kept in (exact_dedup.kept_documents(df), jaccard_join.kept_documents(df)):
+        assert kept.columns == df.columns and {tuple(r)[5:] for r in kept.collect()} == {(1, 2, 3, 4, 5, "k", 6)}
+
+
+def test_flags_are_never_null(llm, tmp_path):
+    _, df = _null_id_docs(llm)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    llm.createDataFrame([(7, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    from loanscope.llm import language_id
+
+    got = language_id.op2_language_id(llm, str(tmp_path)).collect()
+    assert len(got) == 10 and all(r["held_out"] is not None for r in got)
+    got = quality_cnn.op11_quality_cnn(llm, str(tmp_path)).collect()
+    assert len(got) == 10 and all(r["held_out"] is not None for r in got)
+    assert not any(map(language_id.has_letter, ["", "²½", "Ⅷ 12", "!?"])) and language_id.has_letter("2é")
+
+
+def test_ranks_encode_as_the_tokenizer_does():
+    """Every code point in several places, runs of white space, long words."""
+    from loanscope.llm import packing
+
+    enc = packing.Encoder(**packing.tokenizer(), added_tokens=True)
+    for lo in range(0, 0x110000, 1 << 14):
+        texts = [f"a{c}b {c} {c}1{c}{c}!{c}  {c}\n{c}" for c in map(chr, range(lo, lo + (1 << 14))) if not "\ud800" <= c < "\ue000"]
+        want = enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        assert all(enc.ranks.encode_ordinary(t) == w.ids for t, w in zip(texts, want))
+    for text in ["x" * 100_000, " " * 100_000, "\n " * 50_000 + "é", "a" + " " * 199 + "b", "a<|endoftext|>b"]:
+        want = enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == want
+
+
+def test_groups_of_packing_are_bounded(llm):
+    """Equal pieces without an id do not fall into one group."""
+    from loanscope.llm import packing
+
+    rows = [(None, 0, 30, 5, 30)] * 500 + [(i, 0, 700, i, 700) for i in range(40)]
+    pieces = llm.createDataFrame(rows, packing._PIECES).repartition(4)
+    out = packing.pack(pieces, group=64).collect()
+    groups = defaultdict(int)
+    for r in out:
+        groups[r["sequence_id"] >> 32] += 1
+    assert len(out) == 540 and max(groups.values()) <= 64 and len(groups) == 9

@@ -34,4 +34,4 @@ def test_run_registers_as_a_query(llm):
 
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and sorted(n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()) == sorted(
-        f"op{i}" for i in range(1, 11))
+        f"op{i}" for i in range(1, 14))

@@ -16,7 +16,7 @@ END = "<|endoftext|>"
 ])
 def test_units_give_the_ids_of_the_default_tokenizer(text):
     want = Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(packing.UnitEncoder(packing.tokenizer_path(), True).encode(text), "<u4").tolist() == want
+    assert np.frombuffer(packing.Encoder(**packing.tokenizer(), added_tokens=True).encode(text), "<u4").tolist() == want
 
 
 def test_packing_query_and_stage_encode_added_tokens(llm, docs, tmp_path):
