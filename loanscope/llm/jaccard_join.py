@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanscope.llm.graph import components
-from loanscope.llm.repeats import buckets_for, packed_texts, repeated, unpacked
+from loanscope.llm.repeats import buckets_for, packed_texts, repeated, slots_of, unpacked
 from loanscope.llm.tables import read_table, with_columns_free, with_null_ids, written
 from loanscope.llm.textbatch import LOWER, Rolling, ids_of, mix64, slices, text_buffers, word_hashes, words
 
@@ -366,7 +366,9 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     # what the rounds need of the members found in regions, written once: they
     # join these and not all texts and sketches again
     inside = regions.select("doc_id").distinct()
-    texts = written(packed_texts(rows).join(inside, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    # (texts that are surely in no region are left out before the shuffle)
+    texts = written(packed_texts(rows, slots_of(inside)).join(inside, "doc_id", "left_semi").dropDuplicates(["doc_id"]),
+                    "texts")
     members = written(members.select("doc_id", "n_shingles", "sketch").join(inside, "doc_id", "left_semi"), "inside")
     limit = F.expr(f"100 * inter >= {percent} * uni")
 

@@ -161,14 +161,37 @@ def repeated(docs: DataFrame, entries: Callable, buckets: int) -> DataFrame:
     return docs.mapInArrow(deal, _DEALT).groupBy("bucket").applyInArrow(count, FOUND)
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
+SLOTS = 1 << 23
+
+
+def _slot():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+
+
+def slots_of(ids: DataFrame) -> np.ndarray:
+    """Which of ``SLOTS`` hash slots hold a doc_id of ``ids``: a bitmap of 1 MB
+    however many ids there are (built in Spark, 256 rows reach the driver).  An
+    id whose slot is empty is not among them; with very many ids it says little."""
+    word = F.bitmap_construct_agg((F.col("slot") % 32768).cast("bigint"))
+    found = ids.select(_slot().alias("slot")).groupBy(F.expr("slot div 32768").alias("at")).agg(word.alias("bits"))
+    out = np.zeros(SLOTS // 8, np.uint8)
+    for r in found.collect():
+        out[r["at"] * 4096:(r["at"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def packed_texts(docs: DataFrame, slots: np.ndarray | None = None) -> DataFrame:
     """doc_id and the compressed text (``z``): a third of the bytes for a
-    shuffle that has to bring texts to what was found about them."""
+    shuffle that has to bring texts to what was found about them.  With
+    ``slots`` texts whose doc_id is surely not among those ids are left out."""
     import zstandard
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=3)
         for b in slices(batches):
+            if slots is not None:
+                at = b.column(2).to_numpy()
+                b = b.filter(pa.array((slots[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             data, offs = text_buffers(b.column(1))
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -176,7 +199,8 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                  pa.array([z.compress(raw[a:e]) for a, e in zip(offs[:-1].tolist(), offs[1:].tolist())],
                           pa.binary())], names=["doc_id", "z"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, z binary")
+    cols = ["doc_id", "text"] + ([_slot().alias("slot")] if slots is not None else [])
+    return docs.select(*cols).mapInArrow(run, "doc_id bigint, z binary")
 
 
 def unpacked(z: pa.Array) -> list[bytes]:

@@ -431,3 +431,13 @@ def test_groups_of_packing_are_bounded(llm):
     for r in out:
         groups[r["sequence_id"] >> 32] += 1
     assert len(out) == 540 and max(groups.values()) <= 64 and len(groups) == 9
+
+
+def test_slots_name_the_ids(llm):
+    from loanscope.llm import repeats
+
+    ids = llm.range(0, 5000, 7).select(F.col("id").alias("doc_id"))
+    docs = llm.range(5000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    left = {r["doc_id"] for r in repeats.packed_texts(docs, repeats.slots_of(ids)).collect()}
+    assert set(range(0, 5000, 7)) <= left and len(left) < 900
+    assert repeats.packed_texts(docs, repeats.slots_of(ids.filter("false"))).count() == 0
