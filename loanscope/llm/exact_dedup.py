@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanscope.llm.tables import read_table, with_columns_free, with_null_ids, written
+from loanscope.llm.tables import read_table, scratch, with_columns_free, with_null_ids, written
 
 # Tasks over which the rows of one digest are spread in the first merge.
 SALTS = 32
@@ -85,7 +85,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     row with a null doc_id comes after all that have one: it stays if no other
     text equals its own, and of equal texts without any doc_id one stays."""
     def kept(docs: DataFrame) -> DataFrame:
-        keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"))
+        with scratch(docs.sparkSession):
+            keep = written(exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep_id")), "kept", keep=True)
         return docs.join(keep, docs["doc_id"] == keep["_keep_id"], "left_semi")
 
     return with_null_ids(docs, kept)

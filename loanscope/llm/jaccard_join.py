@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from loanscope.llm.graph import components
 from loanscope.llm.repeats import buckets_for, packed_texts, repeated, slots_of, unpacked
-from loanscope.llm.tables import read_table, with_columns_free, with_null_ids, written
+from loanscope.llm.tables import read_table, scratch, with_columns_free, with_null_ids, written
 from loanscope.llm.textbatch import LOWER, Rolling, ids_of, mix64, slices, text_buffers, word_hashes, words
 
 SHINGLE = 3
@@ -432,10 +432,12 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def _jaccard_classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    of, links = jaccard_join(docs, shingle, percent)
-    classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return of.join(classes, of["member"] == classes["vertex"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "member", "doc_id").alias("component_id"))
+    with scratch(docs.sparkSession):
+        of, links = jaccard_join(docs, shingle, percent)
+        classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = of.join(classes, of["member"] == classes["vertex"], "left").select(
+            "doc_id", "n_shingles", F.coalesce("component", "member", "doc_id").alias("component_id"))
+        return written(found, "components", keep=True)
 
 
 def kept_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loanscope.operators.row_id import with_row_id
 from loanscope.session import require_shared_dir
+from loanscope.sources.commits import remove
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +23,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_open = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables ``written`` inside are removed at the end, but for those written
+    with ``keep``.  Only for steps whose results are written inside: nothing may
+    read the removed tables any more, not even to make up for a lost executor."""
+    outer = getattr(_open, "paths", None)
+    _open.paths = paths = []
+    try:
+        yield
+    finally:
+        _open.paths = outer
+        for path in paths:
+            remove(spark, path)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the folder in ``spark.checkpoint.dir`` and return
     the stored copy: later steps read files that every executor sees, so a
     lost executor costs a re-read and never a different recomputation."""
     spark = df.sparkSession
     path = f"{require_shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    if not keep and getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -66,12 +89,18 @@ def with_null_ids(docs: DataFrame, stage: Callable[[DataFrame], DataFrame],
     return out.withColumns({c: F.when(F.col(c) < least, F.col(c)).cast(kind) for c in ids})
 
 
+BATCH = "4m"
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Give the session's Python workers this package (once per application),
-    so that tasks can import it wherever they run."""
+    so that tasks can import it wherever they run.  Where the session has not
+    chosen a size, batches between the JVM and Python get one of ``BATCH``: the
+    default of 64 MB is held several times over in every task."""
+    if spark.conf.get(_BATCH_CONF, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_CONF, BATCH)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

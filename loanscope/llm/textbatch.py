@@ -115,6 +115,7 @@ def slices(batches, text_col: str = "text", max_bytes: int = SLICE_BYTES):
             hi = max(lo + 1, int(np.searchsorted(total, base + max_bytes, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()  # a reused worker keeps nothing of a task
 
 
 def ids_of(batch: pa.RecordBatch, col: str = "doc_id") -> np.ndarray:
