@@ -44,26 +44,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-_ROW = 1 << 11
+_TABLE = SLICE_BYTES + 4096  # powers for a slice; a longer text gets its own
 
 
-@lru_cache(maxsize=32)
-def _first_powers(base: int) -> np.ndarray:
-    """base**0 .. base**(_ROW-1) modulo 2**64 (16 KB)."""
-    steps = np.full(_ROW, base, dtype=np.uint64)
+@lru_cache(maxsize=4)
+def _table(base: int) -> np.ndarray:
+    """base**0 .. base**(_TABLE-1) modulo 2**64 (8 MB; at most four are kept)."""
+    steps = np.full(_TABLE, base, dtype=np.uint64)
     steps[0] = 1
     return np.multiply.accumulate(steps)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, as products of two short tables;
-    no table of a text's length is kept."""
-    row = _first_powers(base)
-    if n <= _ROW:
-        return row[:n]
-    tall = np.full(-(-n // _ROW), pow(base, _ROW, 1 << 64), dtype=np.uint64)
-    tall[0] = 1
-    return (np.multiply.accumulate(tall)[:, None] * row).reshape(-1)[:n]
+    """base**0 .. base**(n-1) modulo 2**64."""
+    table = _table(base)
+    if n <= _TABLE:
+        return table[:n]
+    rows = np.full(-(-n // _TABLE), pow(base, _TABLE, 1 << 64), dtype=np.uint64)
+    rows[0] = 1
+    return (np.multiply.accumulate(rows)[:, None] * table).reshape(-1)[:n]
 
 
 class Rolling:
