@@ -441,3 +441,13 @@ def test_slots_name_the_ids(llm):
     left = {r["doc_id"] for r in repeats.packed_texts(docs, repeats.slots_of(ids)).collect()}
     assert set(range(0, 5000, 7)) <= left and len(left) < 900
     assert repeats.packed_texts(docs, repeats.slots_of(ids.filter("false"))).count() == 0
+
+
+def test_leftmost_least_by_both_ways(monkeypatch):
+    from loanscope.llm import suffix_dedup
+
+    values = np.random.default_rng(1).integers(0, 50, 3000).astype(np.uint64)
+    want = [i + int(np.argmin(values[i:i + 77])) for i in range(len(values) - 76)]
+    assert suffix_dedup.leftmost_least(values, 77).tolist() == want
+    monkeypatch.setattr(suffix_dedup, "_PLACE_BITS", 4)  # as for a text too long for one number
+    assert suffix_dedup.leftmost_least(values, 77).tolist() == want
