@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanscope.llm.graph import components
-from loanscope.llm.repeats import buckets_for, packed_texts, repeated, slots_of, unpacked
+from loanscope.llm.repeats import buckets_for, packed_texts, repeated, slots_of, unpacked, unpacked_length
 from loanscope.llm.tables import read_table, scratch, with_columns_free, with_null_ids, written
 from loanscope.llm.textbatch import LOWER, Rolling, ids_of, mix64, slices, text_buffers, word_hashes, words
 
@@ -85,6 +85,11 @@ def small_limit(percent: int) -> int:
     return (100 - 1) // (100 - percent) if percent < 100 else 1 << 30
 
 
+def split_size(percent: int) -> int:
+    """Sizes from which a restriction is split further."""
+    return -(-percent * (small_limit(percent) + 1) // 100)
+
+
 def cells(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Region keys of every set: (keys, bounds).
 
@@ -93,8 +98,7 @@ def cells(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndar
     node on the way down where a linked pair is equal has a parent where the
     union is larger than ``small``, hence both sides hold at least ``above``.
     """
-    small = small_limit(percent)
-    above = -(-percent * (small + 1) // 100)
+    small, above = small_limit(percent), split_size(percent)
     total = np.concatenate(([np.uint64(0)], np.cumsum(mix64(hashes), dtype=np.uint64)))
     lo, hi = bounds[:-1].astype(np.int64), bounds[1:].astype(np.int64)
     doc = np.arange(len(lo))
@@ -169,12 +173,11 @@ def may_link(na: int, nb: int, a: bytes, b: bytes, percent: int) -> bool:
     return (100 + percent) * sketch_distance(a, b) <= (100 - percent) * (na + nb)
 
 
-def _sets(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, sketch, region keys."""
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles, digest of the set, sketch."""
     def run(batches):
         for b in slices(batches):
             h, bounds = shingle_sets(*text_buffers(b.column(1)), k)
-            key, cut = cells(h, bounds, percent)
             total = np.concatenate(([np.uint64(0)], np.cumsum(mix64(h ^ np.uint64(0x51ED270B)), dtype=np.uint64)))
             other = np.concatenate(([np.uint64(0)], np.cumsum(mix64(h + np.uint64(0x2545F491)), dtype=np.uint64)))
             n = np.diff(bounds)
@@ -182,21 +185,21 @@ def _sets(rows: DataFrame, k: int, percent: int) -> DataFrame:
                 [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()),
                  pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)),
                  pa.array((other[bounds[1:]] - other[bounds[:-1]]).view(np.int64)),
-                 pa.array([sketch(h[x:y]) if y > x else b"" for x, y in zip(bounds[:-1], bounds[1:])], pa.binary()),
-                 pa.array([key[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())],
-                names=["doc_id", "n_shingles", "d1", "d2", "sketch", "cells"])
+                 pa.array([sketch(h[x:y]) if y > x else b"" for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())],
+                names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
-    return rows.mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary, cells binary")
+    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary")
 
 
-def _regions(members: DataFrame) -> DataFrame:
+def _regions(rows: DataFrame, members: DataFrame, copies: DataFrame, k: int, percent: int) -> DataFrame:
     """(cell, doc_id, pivot) of the regions with two or more members; regions
-    with the same members are one."""
+    with the same members are one.  The keys are many and do not compress, so
+    they are taken from the texts when they are dealt and stored nowhere else;
+    the texts move only if ``copies`` is too large for Spark to broadcast."""
     def entries(col):
-        raw = col.to_pylist()
-        return (np.frombuffer(b"".join(raw), np.uint64),
-                np.concatenate(([0], np.cumsum([len(x) // 8 for x in raw]))).astype(np.int64))
+        texts = unpacked(col)
+        offs = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
+        return cells(*shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offs, k), percent)
 
     def explode(batches):
         for b in batches:
@@ -206,8 +209,11 @@ def _regions(members: DataFrame) -> DataFrame:
                 [pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(ids, pa.int64())],
                 names=["cell", "doc_id"])
 
-    size = int(members.select(F.sum(F.octet_length("cells"))).first()[0] or 0)
-    found = repeated(members.select("doc_id", "cells"), entries, buckets_for(8 * size))
+    n, shingles = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    # leaves of a trie that splits from ``above`` on hold about 0.7 times as many
+    keys = n + int(shingles / max(1.0, 0.7 * (split_size(percent) - 1)))
+    texts = packed_texts(rows).join(copies, "doc_id", "left_anti")
+    found = repeated(texts, entries, buckets_for(64 * keys), unpacked_length)
     flat = written(found.select("doc_id", "hash").mapInArrow(explode, "cell bigint, doc_id bigint").distinct(), "cells")
     popular = flat.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pop"))
     same = ["n", "h1", "h2", "lo", "hi"]
@@ -355,21 +361,22 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     is there.
     """
     rows = with_columns_free(docs, id_col, text_col)
-    sets = written(_sets(rows, shingle, percent), "sets")
+    sets = written(_sets(rows, shingle), "sets")
     named = sets.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("member"))
     of = sets.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left") \
         .select("doc_id", "n_shingles", "member")
     members = written(
         sets.join(named.select(F.col("member").alias("doc_id")), "doc_id", "left_semi")
-        .select("doc_id", "n_shingles", "sketch", "cells").dropDuplicates(["doc_id"]), "members")
-    regions = _regions(members)
+        .select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), "members")
+    copies = written(of.filter("doc_id <> member").select("doc_id").distinct(), "copies")
+    regions = _regions(rows, members, copies, shingle, percent)
     # what the rounds need of the members found in regions, written once: they
     # join these and not all texts and sketches again
     inside = regions.select("doc_id").distinct()
     # (texts that are surely in no region are left out before the shuffle)
     texts = written(packed_texts(rows, slots_of(inside)).join(inside, "doc_id", "left_semi").dropDuplicates(["doc_id"]),
                     "texts")
-    members = written(members.select("doc_id", "n_shingles", "sketch").join(inside, "doc_id", "left_semi"), "inside")
+    members = written(members.join(inside, "doc_id", "left_semi"), "inside")
     limit = F.expr(f"100 * inter >= {percent} * uni")
 
     first = _star_round(regions, texts, members, shingle, percent)

@@ -31,6 +31,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,14 +71,15 @@ def _group_rows(doc: np.ndarray, idx: np.ndarray, hashes: np.ndarray, doc_ids: n
     )
 
 
-def repeated(docs: DataFrame, entries: Callable, buckets: int) -> DataFrame:
+def repeated(docs: DataFrame, entries: Callable, buckets: int, length: Callable = pc.binary_length) -> DataFrame:
     """FOUND rows of ``docs``: doc_id and one string or binary column that
     ``entries(array)`` turns into (hashes, bounds); the entries of row d are
-    hashes[bounds[d]:bounds[d+1]]."""
+    hashes[bounds[d]:bounds[d+1]].  Slices are bounded by the ``length`` of that
+    column's values."""
     value = docs.columns[1]
 
     def deal(batches):
-        for b in slices(batches, value):
+        for b in slices(batches, value, length=length):
             ids = ids_of(b)
             hashes, bounds = entries(b.column(1))
             if len(hashes) == 0:
@@ -210,6 +212,13 @@ def unpacked(z: pa.Array) -> list[bytes]:
     return [d.decompress(x) for x in z.to_pylist()]
 
 
+def unpacked_length(z: pa.Array) -> pa.Array:
+    """Bytes of every text before packing."""
+    import zstandard
+
+    return pa.array([zstandard.frame_content_size(x) for x in z.to_pylist()], pa.int64())
+
+
 def with_found(packed: DataFrame, found: DataFrame, cols: list[str], how: str = "left") -> DataFrame:
     """Texts joined with everything found about their doc_id (arrays of
     blobs; their total size is bounded by the text's own)."""

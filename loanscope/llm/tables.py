@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import threading
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -24,6 +25,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _open = threading.local()
+RELEASE_S = 3.0
+_released = 0.0
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps.  It does so when the
+    driver's collector finds their plans unreachable, by itself every 30 minutes
+    (``spark.cleaner.periodicGC.interval``, fixed when the session starts); until
+    then they fill the executors' disks.  At most once in ``RELEASE_S`` seconds."""
+    global _released
+    if time.monotonic() - _released > RELEASE_S:
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
 
 
 @contextmanager
@@ -51,6 +65,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     if not keep and getattr(_open, "paths", None) is not None:
         _open.paths.append(path)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 

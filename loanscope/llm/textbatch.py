@@ -99,14 +99,14 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0]:offs[-1]], offs - offs[0]
 
 
-def slices(batches, text_col: str = "text", max_bytes: int = SLICE_BYTES):
+def slices(batches, text_col: str = "text", max_bytes: int = SLICE_BYTES, length=pc.binary_length):
     """Record batches cut so that each holds at most ``max_bytes`` of text
-    (or one row)."""
+    (or one row); ``length`` gives the bytes of every value."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         col = batch.column(batch.schema.get_field_index(text_col))
-        size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = pc.fill_null(length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         total = np.cumsum(size)
         lo = 0
         while lo < batch.num_rows:
