@@ -23,7 +23,9 @@ exact distances to it are computed.  Members within r are linked to the pivot
 and so in its class; the others form a region again, with a pivot of their
 own, ``ROUNDS`` times.  Pairs of a region that are in different classes after
 that are compared, but only inside the window of the triangle inequality:
-|d(x, p) - d(y, p)| <= r for the first pivot p.  Regions over ``BLOCK`` members are cut into blocks
+|d(x, p) - d(y, p)| <= r for the first pivot p.  A pair that shares several
+regions is tried in the least of those that both members name (each names its
+``FIRSTS`` least) and in any lesser one.  Regions over ``BLOCK`` members are cut into blocks
 and every two blocks meet in a task of their own, so no task holds a hot
 region; nothing is dropped.
 
@@ -60,6 +62,7 @@ from loanscope.llm.textbatch import LOWER, Rolling, ids_of, mix64, slices, text_
 SHINGLE = 3
 PERCENT = 90
 BLOCK = 1024
+FIRSTS = 8  # regions a member names, so that a pair is tried in one of them
 ROUNDS = 2  # pivots tried per region before its open pairs are compared
 
 
@@ -291,12 +294,13 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     pivot)."""
     # blocks of a large region: every two meet under a key of their own
     blocks = F.ceil((F.col("members") - 1) / BLOCK).cast("int")
+    firsts = open_.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list("cell")), 1, FIRSTS).alias("firsts"))
     dealt = (
         open_.withColumn("blk", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("cell", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk",
                 "doc_id", "label", "inter", "uni")
-        .join(members.select("doc_id", "n_shingles", "sketch"), "doc_id")
+        .join(members.select("doc_id", "n_shingles", "sketch").join(firsts, "doc_id"), "doc_id")
     )
     rows = int(open_.agg(F.sum(blocks)).first()[0] or 0)  # after the explode
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("cell", "x", "y"), F.lit(max(64, rows // 5000))))
@@ -312,6 +316,8 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         far = 1 - inter / uni  # NaN where the distance to the pivot was not needed
         raw = table.column("sketch").to_pylist()
         sketches = [raw[q] for q in order]
+        named = table.column("firsts").to_pylist()
+        named = [frozenset(named[q]) for q in order]
         classes = np.array([len(x) for x in sketches], np.int64)
         # coarse first: most pairs fall at 16 classes, nearly all others at 128
         levels = [(folded(sketches, w), classes >= w) for w in (16, 128)]
@@ -331,6 +337,8 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 for fold, has in levels:
                     j = j[~ruled_out(i, j, n, fold, has, percent)]
                 for q in j:
+                    if any(c < cell[2, lo] for c in named[i] & named[q]):
+                        continue  # both are in that region too
                     a, b = sorted((int(doc[i]), int(doc[q])))
                     if (a, b) not in out and may_link(n[i], n[q], sketches[i], sketches[q], percent):
                         out.add((a, b))
