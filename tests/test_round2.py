@@ -122,3 +122,21 @@ def test_amount_edges_belong_to_the_band_below(spark, edge):
     df = make_loans(spark, [{"funded_amnt": edge}, {"funded_amnt": edge + 1}])
     got = [r[0] for r in df.orderBy("loan_id").select(AMOUNT_BANDS.ordinal("funded_amnt")).collect()]
     assert got == [edge // 5000, edge // 5000 + 1]
+
+
+def test_loan_write_keeps_generated_methods_compilable(spark, small_loans):
+    limit, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(limit)
+
+    class Watched:
+        sparkSession = spark
+
+        @property
+        def write(self):
+            seen.append(int(spark.conf.get(limit)))
+            return small_loans.write
+
+    path = f"{_folder()}/loans"
+    store.write_loans(Watched(), path)
+    assert seen == [8000] and spark.conf.get(limit) == before
+    assert spark.read.parquet(path).exceptAll(small_loans).count() == 0
