@@ -63,6 +63,7 @@ SHINGLE = 3
 PERCENT = 90
 BLOCK = 1024
 FIRSTS = 8  # regions a member names, so that a pair is tried in one of them
+FEW = 250_000  # ids that are broadcast
 ROUNDS = 2  # pivots tried per region before its open pairs are compared
 
 
@@ -195,40 +196,46 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _regions(rows: DataFrame, members: DataFrame, copies: DataFrame, k: int, percent: int) -> DataFrame:
-    """(cell, doc_id, pivot) of the regions with two or more members; regions
-    with the same members are one.  The keys are many and do not compress, so
+    """(cell, doc_id, pivot, members, pop: the document's regions) of the regions
+    with two or more members; regions with the same members are one.  The keys are many and do not compress, so
     they are taken from the texts when they are dealt and stored nowhere else;
-    the texts move only if ``copies`` is too large for Spark to broadcast."""
+    the texts move, compressed, only if there are over ``FEW`` ``copies``."""
     def entries(col):
+        return cells(*shingle_sets(*text_buffers(col), k), percent)
+
+    def packed_entries(col):
         texts = unpacked(col)
         offs = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
         return cells(*shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offs, k), percent)
 
-    def explode(batches):
-        for b in batches:
-            blobs = b.column(1).to_pylist()
-            ids = np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in blobs])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(ids, pa.int64())],
-                names=["cell", "doc_id"])
+    def each(table: pa.Table) -> pa.Table:
+        blobs = table.column("hash").to_pylist()
+        ids = np.repeat(table.column("doc_id").to_numpy(), [len(x) // 8 for x in blobs])
+        return pa.table({"cell": pa.array(np.frombuffer(b"".join(blobs), np.int64)), "doc_id": pa.array(ids, pa.int64())})
 
     n, shingles = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     # leaves of a trie that splits from ``above`` on hold about 0.7 times as many
     keys = n + int(shingles / max(1.0, 0.7 * (split_size(percent) - 1)))
-    texts = packed_texts(rows).join(copies, "doc_id", "left_anti")
-    found = repeated(texts, entries, buckets_for(64 * keys), unpacked_length)
-    flat = written(found.select("doc_id", "hash").mapInArrow(explode, "cell bigint, doc_id bigint").distinct(), "cells")
-    popular = flat.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pop"))
+    each_as = {"buckets": buckets_for(64 * keys), "then": each, "schema": "cell bigint, doc_id bigint"}
+    if copies.count() <= FEW:
+        # one Python worker a task: it takes the texts as they are read
+        found = repeated(rows.join(F.broadcast(copies), "doc_id", "left_anti").select("doc_id", "text"), entries, **each_as)
+    else:
+        found = repeated(packed_texts(rows).join(copies, "doc_id", "left_anti"), packed_entries,
+                         length=unpacked_length, **each_as)
+    # a document's keys meet once, for the distinct ones and their number
+    flat = written(
+        found.groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
+        .select("doc_id", F.size("cells").alias("pop"), F.explode("cells").alias("cell")), "cells")
     same = ["n", "h1", "h2", "lo", "hi"]
     shape = flat.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("h1"),
-        F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    one = shape.filter("n > 1").groupBy(*same).agg(F.min("cell").alias("cell")).select("cell")
-    kept = flat.join(one, "cell", "left_semi").join(popular, "doc_id")
-    pivot = kept.groupBy("cell").agg(
-        F.max(F.struct("pop", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("members"))
-    return written(
-        kept.join(pivot, "cell").select("cell", "doc_id", (-F.col("best.neg")).alias("pivot"), "members"), "regions")
+        F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+        F.max(F.struct("pop", (-F.col("doc_id")).alias("neg"))).alias("best"))
+    # regions with the same members have the same pivot
+    one = shape.filter("n > 1").groupBy(*same).agg(F.min("cell").alias("cell"), F.max("best").alias("best")).select(
+        "cell", (-F.col("best.neg")).alias("pivot"), F.col("n").alias("members"))
+    return written(flat.join(one, "cell").select("cell", "doc_id", "pivot", "members", "pop"), "regions")
 
 
 class _SetCache:
@@ -352,7 +359,9 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 def _star_round(regions: DataFrame, texts: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b, inter, uni) of every member a and its region's pivot b, where
     the bounds allow a link."""
-    star = regions.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    # dealt by a once, for the distinct pairs and the join with a's sketch
+    star = regions.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")) \
+        .repartition("a").distinct()
     near = written(_filtered(star, members, percent), "near")
     return written(_distances(near, _named_in(texts, near), shingle), "star")
 
@@ -370,21 +379,21 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     """
     rows = with_columns_free(docs, id_col, text_col)
     sets = written(_sets(rows, shingle), "sets")
-    named = sets.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("member"))
-    of = sets.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left") \
-        .select("doc_id", "n_shingles", "member")
-    members = written(
-        sets.join(named.select(F.col("member").alias("doc_id")), "doc_id", "left_semi")
-        .select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), "members")
-    copies = written(of.filter("doc_id <> member").select("doc_id").distinct(), "copies")
+    named = written(sets.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("member")),
+                    "named")
+    of = written(sets.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
+                 .select("doc_id", "n_shingles", "member"), "of")
+    members = named.select(F.col("member").alias("doc_id"), "n_shingles")
+    copies = of.filter("doc_id <> member").select("doc_id")
     regions = _regions(rows, members, copies, shingle, percent)
     # what the rounds need of the members found in regions, written once: they
     # join these and not all texts and sketches again
     inside = regions.select("doc_id").distinct()
     # (texts that are surely in no region are left out before the shuffle)
-    texts = written(packed_texts(rows, slots_of(inside)).join(inside, "doc_id", "left_semi").dropDuplicates(["doc_id"]),
-                    "texts")
-    members = written(members.join(inside, "doc_id", "left_semi"), "inside")
+    zipped = packed_texts(rows, slots_of(inside)).join(inside, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sketches = sets.join(inside, "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch")
+    found = written(zipped.join(sketches.dropDuplicates(["doc_id"]), "doc_id"), "inside")
+    texts, members = found.select("doc_id", "z"), found.select("doc_id", "n_shingles", "sketch")
     limit = F.expr(f"100 * inter >= {percent} * uni")
 
     first = _star_round(regions, texts, members, shingle, percent)
@@ -398,18 +407,17 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     if absorb:
         # the region's members that its pivot did not reach get a pivot of
         # their own, and so on
-        left = written(open_.filter("NOT linked").select("cell", "doc_id"), "left")
-        popular = regions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pop"))
+        left = written(open_.filter("NOT linked").select("cell", "doc_id", "pop"), "left")
         for _ in range(ROUNDS - 1):
-            best = left.join(popular, "doc_id").groupBy("cell").agg(
+            best = left.groupBy("cell").agg(
                 F.max(F.struct("pop", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("size"))
-            again = left.join(best.filter("size > 1"), "cell").select(
-                "cell", "doc_id", (-F.col("best.neg")).alias("pivot"))
+            again = written(left.join(best.filter("size > 1"), "cell").select(
+                "cell", "doc_id", "pop", (-F.col("best.neg")).alias("pivot")), "again")
             more = _star_round(again, texts, members, shingle, percent)
             measured = measured.unionByName(more)
             reached = more.filter(limit).select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"))
             left = written(again.filter("doc_id <> pivot").join(reached, ["doc_id", "pivot"], "left_anti")
-                           .select("cell", "doc_id"), "left")
+                           .select("cell", "doc_id", "pop"), "left")
         classes = written(components(measured.filter(limit).select(F.col("a").alias("u"), F.col("b").alias("v"))),
                           "classes")
         named_by = classes.toDF("doc_id", "class")
