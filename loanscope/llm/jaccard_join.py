@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 from loanscope.llm.graph import components
 from loanscope.llm.repeats import buckets_for, packed_texts, repeated, slots_of, unpacked, unpacked_length
 from loanscope.llm.tables import read_table, scratch, with_columns_free, with_null_ids, written
-from loanscope.llm.textbatch import LOWER, Rolling, ids_of, mix64, slices, text_buffers, word_hashes, words
+from loanscope.llm.textbatch import LOWER, Rolling, mix64, release_memory, slices, text_buffers, word_hashes, words
 
 SHINGLE = 3
 PERCENT = 90
@@ -291,6 +291,8 @@ def _distances(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                     rows.append((a, b, both, len(sa) + len(sb) - both))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)],
                                                  names=["a", "b", "inter", "uni"])
+        del cache
+        release_memory()
 
     return joined.mapInArrow(run, "a bigint, b bigint, inter bigint, uni bigint")
 
@@ -350,6 +352,8 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                     if (a, b) not in out and may_link(n[i], n[q], sketches[i], sketches[q], percent):
                         out.add((a, b))
         pairs = sorted(out)
+        del raw, sketches, named, levels, out
+        release_memory()
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()),
                          "b": pa.array([p[1] for p in pairs], pa.int64())})
 

@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from loanscope.llm import graph, jaccard_join
+from loanscope.llm import graph, jaccard_join, textbatch
 from loanscope.llm.graph import components
 from tests.llm import brute
 
@@ -57,3 +58,12 @@ def test_copies_few_or_many_give_the_same_classes(llm, monkeypatch, few):
     assert got == brute.jaccard_components(texts, 3, 90)
     # texts are packed only when they have to move
     assert plans["cells"].count("MapInArrow") == (1 if few else 2)
+
+
+def test_a_task_gives_freed_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(textbatch, "release_memory", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["ab", "cd"])], names=["doc_id", "text"])
+    parts = textbatch.slices([batch], max_bytes=2)
+    assert next(parts).num_rows == 1 and len(calls) == 1
+    assert len(list(parts)) == 1 and len(calls) == 2
