@@ -1,11 +1,13 @@
-"""Steps of the near join: few of them, and one Python worker a task."""
+"""Steps of the dedup operators: few of them, and little memory in a worker."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from loanscope.llm import graph, jaccard_join, textbatch
+from loanscope.llm import graph, jaccard_join, suffix_dedup, textbatch
 from loanscope.llm.graph import components
 from tests.llm import brute
 
@@ -67,3 +69,26 @@ def test_a_task_gives_freed_memory_back(monkeypatch):
     parts = textbatch.slices([batch], max_bytes=2)
     assert next(parts).num_rows == 1 and len(calls) == 1
     assert len(list(parts)) == 1 and len(calls) == 2
+
+
+def test_suffix_sort_keeps_no_copies_of_its_strings():
+    rng = np.random.default_rng(3)
+    text = rng.integers(1, 5, 40_000).astype(np.uint8)
+    text[996::997] = text[-1] = 0
+    kept = suffix_dedup.np.argsort
+    seen = []
+
+    def watched(values, **more):
+        seen.append(sum(t.size for t in tracemalloc.take_snapshot().traces))
+        return kept(values, **more)
+
+    wanted = np.flatnonzero(text)
+    tracemalloc.start()
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(suffix_dedup.np, "argsort", watched)
+            order = suffix_dedup.sort_suffixes(text, wanted, 100)
+    finally:
+        tracemalloc.stop()
+    assert sorted(order) == wanted.tolist()
+    assert seen[0] > 100 * 10_000 and max(seen[1:]) < seen[0] / 2  # the strings are there, then gone
