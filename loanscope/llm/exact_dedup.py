@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanscope.llm.tables import read_table, scratch, with_columns_free, with_null_ids, written
+from loanscope.llm.tables import possibly, read_table, scratch, with_columns_free, with_null_ids, without, written
 
 # Tasks over which the rows of one digest are spread in the first merge.
 SALTS = 32
@@ -63,11 +63,14 @@ def _exact_dedup(rows: DataFrame, salts: int) -> DataFrame:
     content = normalised(F.col("text"))
     digests = written(rows.select("doc_id", F.sha2(content, 256).alias("text_sha256")), "digests")
     repeated = digests.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("text_sha256")
-    singles = digests.join(repeated, "text_sha256", "left_anti").select(
+    again = written(digests.join(repeated.withColumn("again", F.lit(True)), "text_sha256", "left"), "again")
+    singles = again.filter("again IS NULL").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "text_sha256"
     )
+    # only these texts move
+    found, _ = possibly(rows, again.filter("again"))
     members = written(
-        rows.select("doc_id", content.alias("content"))
+        found.select("doc_id", content.alias("content"))
         .withColumn("text_sha256", F.sha2("content", 256))
         .join(repeated, "text_sha256", "left_semi"),
         "members",
@@ -86,8 +89,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     text equals its own, and of equal texts without any doc_id one stays."""
     def kept(docs: DataFrame) -> DataFrame:
         with scratch(docs.sparkSession):
-            keep = written(exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep_id")), "kept", keep=True)
-        return docs.join(keep, docs["doc_id"] == keep["_keep_id"], "left_semi")
+            return without(docs, exact_dedup(docs).select("doc_id", "kept"))
 
     return with_null_ids(docs, kept)
 

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from loanscope.llm.graph import components
 from loanscope.llm.repeats import buckets_for, packed_texts, repeated, slots_of, unpacked, unpacked_length
-from loanscope.llm.tables import read_table, scratch, with_columns_free, with_null_ids, written
+from loanscope.llm.tables import among, read_table, scratch, with_columns_free, with_null_ids, without, written
 from loanscope.llm.textbatch import LOWER, Rolling, mix64, release_memory, slices, text_buffers, word_hashes, words
 
 SHINGLE = 3
@@ -150,6 +150,19 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.abs(x - y).sum())
 
 
+def nibbles(sketch: bytes) -> bytes:
+    """A sketch with counts up to 15, two a byte, to be stored and moved: the
+    distance stays a lower bound."""
+    v = np.minimum(np.frombuffer(sketch, np.uint8), 15)
+    return (v[0::2] << 4 | v[1::2]).tobytes()
+
+
+def counts(packed: bytes) -> bytes:
+    """The sketch that ``nibbles`` has packed."""
+    v = np.frombuffer(packed, np.uint8)
+    return np.stack((v >> 4, v & 15), 1).tobytes()
+
+
 def folded(sketches: list[bytes], width: int) -> np.ndarray:
     """Sketches over ``width`` classes (shorter ones stay zero: see ``ruled_out``)."""
     out = np.zeros((len(sketches), width), np.int16)
@@ -189,7 +202,7 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
                 [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()),
                  pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)),
                  pa.array((other[bounds[1:]] - other[bounds[:-1]]).view(np.int64)),
-                 pa.array([sketch(h[x:y]) if y > x else b"" for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())],
+                 pa.array([nibbles(sketch(h[x:y])) if y > x else b"" for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())],
                 names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary")
@@ -266,7 +279,7 @@ def _filtered(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for x in batches:
             _, _, na, nb, sa, sb = (c.to_pylist() for c in x.columns)
-            ok = [may_link(*v, percent) for v in zip(na, nb, sa, sb)]
+            ok = [may_link(m, n, counts(s), counts(t), percent) for m, n, s, t in zip(na, nb, sa, sb)]
             yield pa.RecordBatch.from_arrays(
                 [x.column(0).filter(pa.array(ok, pa.bool_())), x.column(1).filter(pa.array(ok, pa.bool_()))],
                 names=["a", "b"])
@@ -310,6 +323,7 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         .select("cell", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk",
                 "doc_id", "label", "inter", "uni")
         .join(members.select("doc_id", "n_shingles", "sketch").join(firsts, "doc_id"), "doc_id")
+        .withColumn("firsts", F.expr("filter(firsts, c -> c < cell)"))  # the others decide nothing here
     )
     rows = int(open_.agg(F.sum(blocks)).first()[0] or 0)  # after the explode
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("cell", "x", "y"), F.lit(max(64, rows // 5000))))
@@ -324,7 +338,7 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         inter, uni = (table.column(c).to_numpy(zero_copy_only=False).astype(float)[order] for c in ("inter", "uni"))
         far = 1 - inter / uni  # NaN where the distance to the pivot was not needed
         raw = table.column("sketch").to_pylist()
-        sketches = [raw[q] for q in order]
+        sketches = [counts(raw[q]) for q in order]
         named = table.column("firsts").to_pylist()
         named = [frozenset(named[q]) for q in order]
         classes = np.array([len(x) for x in sketches], np.int64)
@@ -346,7 +360,7 @@ def _rest(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 for fold, has in levels:
                     j = j[~ruled_out(i, j, n, fold, has, percent)]
                 for q in j:
-                    if any(c < cell[2, lo] for c in named[i] & named[q]):
+                    if named[i] & named[q]:
                         continue  # both are in that region too
                     a, b = sorted((int(doc[i]), int(doc[q])))
                     if (a, b) not in out and may_link(n[i], n[q], sketches[i], sketches[q], percent):
@@ -447,7 +461,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
 def _named_in(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts of the documents in pairs."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return texts.join(ids, "doc_id", "left_semi")
+    return among(texts, ids)
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -472,9 +486,8 @@ def kept_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     with a null doc_id comes after all that have one: it stays only if its
     class has no doc_id, and then one of them does."""
     def kept(docs: DataFrame) -> DataFrame:
-        keep = jaccard_classes(docs, shingle, percent).filter("doc_id = component_id").select(
-            F.col("doc_id").alias("_keep_id"))
-        return docs.join(keep, docs["doc_id"] == keep["_keep_id"], "left_semi")
+        classes = jaccard_classes(docs, shingle, percent)
+        return without(docs, classes.select("doc_id", F.expr("doc_id = component_id").alias("kept")))
 
     return with_null_ids(docs, kept)
 

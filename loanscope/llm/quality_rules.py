@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanscope.llm.tables import read_table, with_null_ids, written
+from loanscope.llm.tables import read_table, with_null_ids, without, written
 from loanscope.llm.textbatch import ids_of, mix64, owner, slices, text_buffers, word_hashes, words
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -244,8 +244,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the quality rules keep, all columns.  A row
     with a null doc_id is judged by its own text; it has no label."""
     def kept(docs: DataFrame) -> DataFrame:
-        keep = quality_rules(docs, labels).filter("kept").select(F.col("doc_id").alias("_keep_id"))
-        return docs.join(keep, docs["doc_id"] == keep["_keep_id"], "left_semi")
+        return without(docs, quality_rules(docs, labels).select("doc_id", "kept"))
 
     return with_null_ids(docs, kept, labels)
 
