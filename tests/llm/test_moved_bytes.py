@@ -1,6 +1,7 @@
 """What the stages of the pipeline write for shuffles, against the text they read."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -89,3 +90,19 @@ def test_packed_sketches_stay_a_lower_bound():
             assert len(x) == len(jaccard_join.sketch(a))
             assert jaccard_join.sketch_distance(x, y) <= len(np.setxor1d(a, b))
     assert jaccard_join.counts(jaccard_join.nibbles(b"")) == b""
+
+
+def test_sorting_takes_few_keys_at_a_time():
+    rng = np.random.default_rng(4)
+    text = rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 600_000).astype(np.uint8)
+    text[-1] = 0
+    wanted = np.arange(len(text) - 1)
+    tracemalloc.start()
+    order = suffix_dedup.sort_suffixes(text, wanted, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(text), peak  # keys of 100 bytes for half of the positions took more
+    raw = text.tobytes()
+    assert sorted(order.tolist()) == wanted.tolist()
+    some = order[::97].tolist()
+    assert all(raw[a:a + 100].split(b"\0")[0] <= raw[b:b + 100].split(b"\0")[0] for a, b in zip(some, some[1:]))
